@@ -89,9 +89,11 @@ def _(spark, d):
     return tables.dataset_filter(supplier_month(spark, d), wanted)
 
 
-@query("missing_datasets", f"WITH {SM} SELECT n_name AS dataset FROM nation WHERE n_name NOT IN (SELECT dataset FROM sm)")
+@query("missing_datasets", f"WITH {SM} SELECT r_name AS dataset FROM region WHERE r_name NOT IN (SELECT dataset FROM sm)")
 def _(spark, d):
-    return tables.missing_datasets(supplier_month(spark, d), table(spark, d, "nation").select(F.col("n_name").alias("dataset")))
+    wanted = table(spark, d, "region").select(F.col("r_name").alias("dataset"))
+    sm = supplier_month(spark, d)
+    return tables.missing_datasets(sm, wanted.union(sm.select("dataset").distinct()))
 
 
 @query("dataset_profile", f"""WITH {SM} SELECT dataset, n_series, length, n_series * length AS complexity FROM
@@ -105,17 +107,17 @@ def _(spark, d):
     root = scratch_path(spark, "stages")
     sm = supplier_month(spark, d)
     build = lambda rows: rows.groupBy("dataset", "series_id").agg(F.sum("value").alias("total"))
-    first = sm.where("dataset < 'J'")
+    first = sm.where("dataset < 'NATION_2'")
     stages.persist_stage(build(first), root, "totals")
     # the second run computes only the data sets the stage lacks
     return stages.run_stage(sm, root, "totals", build).select("dataset", "series_id", "total")
 
 
-@query("stage_missing", f"""WITH {SM} SELECT DISTINCT dataset FROM sm WHERE NOT dataset < 'J'""")
+@query("stage_missing", f"""WITH {SM} SELECT DISTINCT dataset FROM sm WHERE NOT dataset < 'NATION_2'""")
 def _(spark, d):
     root = scratch_path(spark, "stages")
     sm = supplier_month(spark, d)
-    stages.persist_stage(sm.where("dataset < 'J'").select("dataset", "series_id").distinct(), root, "ids")
+    stages.persist_stage(sm.where("dataset < 'NATION_2'").select("dataset", "series_id").distinct(), root, "ids")
     return stages.stage_missing(sm, root, "ids")
 
 

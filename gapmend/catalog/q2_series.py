@@ -146,7 +146,7 @@ def _(spark, d):
 
 
 for level, on, sql_on in (("clusters", "cluster_id % 3 = 0", "cluster_id % 3 = 0"),
-                          ("datasets", "length(dataset) > 6", "dataset IN (SELECT dataset FROM asg WHERE length(dataset) > 6)"),
+                          ("datasets", "length(dataset) > 8", "dataset IN (SELECT dataset FROM asg WHERE length(dataset) > 8)"),
                           ("timeseries", "series_id % 3 = 1", "series_id % 3 = 1")):
     @query(f"test_membership_{level}", f"WITH {_CELLS}, {ASG} SELECT dataset, series_id, cluster_id, {sql_on} AS in_test FROM asg")
     def _(spark, d, level=level, on=on):
