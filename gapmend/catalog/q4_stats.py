@@ -121,8 +121,8 @@ def student_sql(t, df):
     """Two-sided Student p-value, integer degrees of freedom, as a finite sum"""
     th = f"atan({t} / sqrt({df}))"
     c2 = f"(cos({th}) * cos({th}))"
-    term = (f"list_sum(list_transform(range(0, ({df} - 2 + {df} % 2) // 2 + (1 - {df} % 2) - (CASE WHEN {df} = 1 THEN 0 ELSE {df} % 2 END)), j -> (CASE WHEN {df} % 2 = 1 THEN cos({th}) ELSE 1.0 END) * "
-            f"coalesce(list_aggregate(list_transform(range(1, j + 1), i -> {c2} * (2 * i - 1 + {df} % 2)::DOUBLE / (2 * i + {df} % 2)), 'product'), 1.0)))")
+    term = (f"list_sum(list_transform(range(0, {df} // 2), lambda j: (CASE WHEN {df} % 2 = 1 THEN cos({th}) ELSE 1.0 END) * "
+            f"coalesce(list_aggregate(list_transform(range(1, j + 1), lambda i: {c2} * (2 * i - 1 + {df} % 2)::DOUBLE / (2 * i + {df} % 2)), 'product'), 1.0)))")
     return f"greatest(0.0, 1.0 - (CASE WHEN {df} % 2 = 1 THEN ({th} + sin({th}) * coalesce({term}, 0.0)) * 2 / pi() ELSE sin({th}) * {term} END))"
 
 
