@@ -85,8 +85,9 @@ def _(spark, d):
 
 # --- decomposition ------------------------------------------------------------------
 
-feature("k_chunk_stats", f"""WITH {SM}, g AS (SELECT dataset, series_id, t // 20 c, var_pop(value) v, avg(value) m FROM sm GROUP BY 1, 2, 3),
-  w AS (SELECT dataset, series_id, var_pop(v) a, var_pop(m) b FROM g {G}) """ + long_sql("w", {"lumpiness": "a", "stability": "b"}), D.chunk_stats)
+feature("k_chunk_stats", f"""WITH {ES}, g AS (SELECT dataset, series_id, t // 20 c, var_pop(value) v, avg(value) m FROM es GROUP BY 1, 2, 3),
+  w AS (SELECT dataset, series_id, var_pop(v) a, var_pop(m) b FROM g {G}) """ + long_sql("w", {"lumpiness": "a", "stability": "b"}), D.chunk_stats,
+        lambda s, d: embedding_series(s, d).drop("cluster_id"))
 
 feature("k_simple", f"""WITH {SM}, c AS (SELECT *, lead(value) OVER o nx, avg(value) OVER p mu, quantile_cont(value, 0.5) OVER p md, min(value) OVER p lo, max(value) OVER p hi FROM sm {P}),
   sd AS (SELECT dataset, series_id, t, lo, hi, coalesce(least(floor((value - lo) / nullif((hi - lo) / 10, 0)), 9), 0) AS side FROM c), {RUNS},

@@ -45,19 +45,29 @@ def autocorr(df: DataFrame) -> DataFrame:
     return to_long(tail, out)
 
 
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
 def durbin_levinson(df: DataFrame, rho: Column, order: int) -> DataFrame:
     """Add columns ``pacf1`` .. ``pacf<order>`` from an autocorrelation array.
 
-    Each order is one projection over the coefficients of the previous one.
+    One fold over the orders carries the current coefficients and the result.
     """
-    out = df.withColumn("phi", F.array(rho[1])).withColumn("pacf1", rho[1])
-    for k in range(2, order + 1):
-        num = rho[k] - sum((F.col("phi")[j] * rho[k - 1 - j] for j in range(k - 1)), F.lit(0.0))
-        den = F.lit(1.0) - sum((F.col("phi")[j] * rho[j + 1] for j in range(k - 1)), F.lit(0.0))
-        out = out.withColumn(f"pacf{k}", num / F.nullif(den, F.lit(0.0)))
-        p = F.col(f"pacf{k}")
-        out = out.withColumn("phi", F.array(*[F.col("phi")[j] - p * F.col("phi")[k - 2 - j] for j in range(k - 1)], p))
-    return out.drop("phi")
+    first = F.array(rho[1])
+
+    def step(s, k):
+        past = F.slice(rho, 2, k - 1)
+        top = rho[k] - _dot(s["phi"], F.reverse(past))
+        low = F.nullif(1.0 - _dot(s["phi"], past), F.lit(0.0))
+        # a one-element transform binds the new coefficient once
+        return F.transform(F.array(top / low), lambda p: F.struct(
+            F.concat(F.zip_with(s["phi"], F.reverse(s["phi"]), lambda a, b: a - p * b), F.array(p)).alias("phi"),
+            F.concat(s["pacf"], F.array(p)).alias("pacf")))[0]
+
+    fold = F.aggregate(F.sequence(F.lit(2), F.lit(order)), F.struct(first.alias("phi"), first.alias("pacf")), step, lambda s: s["pacf"])
+    out = df.withColumn("pacf", fold)
+    return out.withColumns({f"pacf{k}": F.col("pacf")[k - 1] for k in range(1, order + 1)}).drop("pacf")
 
 
 def partial_autocorr(df: DataFrame, order: int = 6) -> DataFrame:
