@@ -103,40 +103,55 @@ def ncc_c(df: DataFrame) -> DataFrame:
         "dataset", "cluster_id", "a", "b", (F.col("k") - F.col("h")).cast("bigint").alias("shift"), "ncc")
 
 
+def block_pairs(left: DataFrame, right: DataFrame, keys: list[str], fn, schema: str, block: int = BLOCK) -> DataFrame:
+    """Apply ``fn(key, left_rows, right_rows)`` to every pair of blocks with equal keys.
+
+    Both sides are cut into blocks of about ``block`` rows per key, so a key with a
+    third of all rows is many bounded tasks. A block is sent once per block of the
+    other side; what ``fn`` returns should be aggregated or filtered, not all pairs.
+    Rows carry ``bid``, the number that places them in a block.
+    """
+    fresh = lambda df: df.select(*[F.col(c).alias(c) for c in df.columns])
+    left, right = fresh(left), fresh(right)
+    size = lambda df, n: df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).alias(n))
+    n = size(left, "nl").join(size(right, "nr"), keys)
+    spread = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
+    a = left.join(n, keys).withColumn("lb", F.pmod(F.hash("bid"), F.col("nl"))).withColumn("rb", spread("nr")).drop("nl", "nr")
+    b = right.join(n, keys).withColumn("rb", F.pmod(F.hash("bid"), F.col("nr"))).withColumn("lb", spread("nl")).drop("nl", "nr")
+    g = [*keys, "lb", "rb"]
+    return a.groupBy(*g).cogroup(fresh(b).groupBy(*g)).applyInPandas(fn, schema)
+
+
+def key_schema(df: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+
+
 def mean_ncc(df: DataFrame, keys=("dataset", "cluster_id")) -> DataFrame:
     """Mean over pairs of the best-shift cross-correlation; 1 for a single series.
 
-    A group is cut into blocks of ``BLOCK`` series and only pairs of blocks are
-    formed. One task holds two blocks and returns one partial sum, so a group with
-    a third of all series is spread over many tasks.
+    Pairs are formed between blocks of series; a task holds two blocks and returns one
+    partial sum.
     """
     keys = list(keys)
     arr = series_to_array(df, [*keys, "series_id"])
-    sizes = arr.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    arr = arr.join(sizes, keys).withColumn("nb", F.ceil(F.col("n") / BLOCK)).withColumn(
-        "blk", F.pmod(F.hash("series_id"), F.col("nb")))
-    # each block meets every block: the pair (i, j) is keyed by the sorted indices
-    rep = arr.select(*keys, "series_id", "vals", "blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    rep = rep.withColumn("lo", F.least("blk", "other")).withColumn("hi", F.greatest("blk", "other"))
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("series_id")
-        x = np.stack(pdf["vals"].to_numpy())
-        lo, hi, blk = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0]), pdf["blk"].to_numpy()
-        same = lo == hi
-        rows = np.arange(len(x)) if same else np.flatnonzero(blk == lo)
-        cols = rows if same else np.flatnonzero(blk == hi)
+    return mean_ncc_arrays(arr, keys)
+
+
+def mean_ncc_arrays(arr: DataFrame, keys: list[str]) -> DataFrame:
+    side = arr.select(*keys, F.col("series_id").alias("bid"), "vals")
+
+    def score(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         total, count = 0.0, 0
-        for k, i in enumerate(rows):
-            js = cols[k + 1:] if same else cols
-            if len(js):
-                total += float(_ncc_rows(np.broadcast_to(x[i], (len(js), x.shape[1])), x[js]).max(axis=1).sum())
-                count += len(js)
-        out = {c: [pdf[c].iloc[0]] for c in keys}
-        return pd.DataFrame({**out, "total": [total], "pairs": [count]})
-
-    head = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
-    parts = rep.groupBy(*keys, "lo", "hi").applyInPandas(score, f"{head}, total double, pairs bigint")
+        if len(a) and len(b):
+            xb, ids = np.stack(b["vals"].to_numpy()), b["bid"].to_numpy()
+            for i, v in zip(a["bid"], a["vals"]):
+                later = xb[ids > i]
+                if len(later):
+                    total += float(_ncc_rows(np.broadcast_to(v, later.shape), later).max(axis=1).sum())
+                    count += len(later)
+        return pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, "total": [total], "pairs": [count]})
+
+    parts = block_pairs(side, side, keys, score, f"{key_schema(arr, keys)}, total double, pairs bigint")
     agg = parts.groupBy(*keys).agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
     return agg.select(*keys, F.coalesce(div("total", "pairs"), F.lit(1.0)).alias("mean_ncc"), "pairs")
 

@@ -15,14 +15,16 @@ from pyspark.sql import DataFrame, functions as F
 
 from gapmend.functions.columns import scatter
 
-PIVOTS = 32
+PIVOTS = 256
 BUCKET = 2048
+CELL_ROWS = 512
 MERGE = 64
 
 
 def _pivots(train: DataFrame) -> np.ndarray:
-    """PIVOTS scattered training points; a constant amount of data."""
-    rows = train.select("id", "vec").orderBy(scatter("id"), "id").limit(PIVOTS).collect()
+    """Up to PIVOTS scattered training points, one per CELL_ROWS rows."""
+    n = max(1, min(PIVOTS, -(-train.count() // CELL_ROWS)))
+    rows = train.select("id", "vec").orderBy(scatter("id"), "id").limit(n).collect()
     return np.array([r["vec"] for r in rows], dtype=float)
 
 
@@ -118,13 +120,15 @@ def knn_join(query: DataFrame, train: DataFrame, k: int) -> DataFrame:
         cols = ["id", "dist", "nid", "label"]
         if not len(q) or not len(t):
             return pd.DataFrame(columns=cols)
-        tv, nid, lab = np.stack(t["nvec"].to_numpy()), t["nid"].to_numpy(), t["label"].to_numpy()
-        out = []
-        for i, v in zip(q["id"], q["vec"]):
+        tv, nid = np.stack(t["nvec"].to_numpy()), t["nid"].to_numpy()
+        tops, dist = [], []
+        for v in q["vec"]:
             d = np.round(np.sqrt(((tv - v) ** 2).sum(axis=1)), 9)
-            top = np.lexsort((nid, d))[:k]
-            out.append(pd.DataFrame({"id": i, "dist": d[top], "nid": nid[top], "label": lab[top]}))
-        return pd.concat(out)[cols]
+            tops.append(np.lexsort((nid, d))[:k])
+            dist.append(d[tops[-1]])
+        top = np.concatenate(tops)
+        return pd.DataFrame({"id": np.repeat(q["id"].to_numpy(), len(tops[0])), "dist": np.concatenate(dist), "nid": nid[top],
+                             "label": t["label"].to_numpy()[top]})[cols]
 
     found = left.cogroup(right).applyInPandas(best, "id bigint, dist double, nid bigint, label string")
     # buckets are merged in two steps, so that a query with many buckets stays small
@@ -149,15 +153,18 @@ def radius_votes(query: DataFrame, train: DataFrame, radius: float) -> DataFrame
         cols = ["id", "label", "votes", "exact", "weight"]
         if not len(q) or not len(t):
             return pd.DataFrame(columns=cols)
-        tv, lab = np.stack(t["nvec"].to_numpy()), t["label"].to_numpy()
+        tv, (code, names) = np.stack(t["nvec"].to_numpy()), pd.factorize(t["label"])
         out = []
-        for i, v in zip(q["id"], q["vec"]):
+        for v in q["vec"]:
             d = np.round(np.sqrt(((tv - v) ** 2).sum(axis=1)), 9)
             near = d <= radius
             w = np.where(d > 0, 1.0 / np.where(d > 0, d, 1.0), 0.0)
-            part = pd.DataFrame({"label": lab[near], "votes": 1, "exact": (d[near] == 0).astype(int), "weight": w[near]})
-            out.append(part.groupby("label", as_index=False).sum().assign(id=i))
-        return pd.concat(out)[cols]
+            tally = lambda x: np.bincount(code[near], weights=x[near], minlength=len(names))
+            out.append(np.stack([tally(near), tally(d == 0), tally(w)], axis=1))
+        m = np.concatenate(out)
+        res = pd.DataFrame({"id": np.repeat(q["id"].to_numpy(), len(names)), "label": np.tile(np.asarray(names), len(q)),
+                            "votes": m[:, 0].astype("int64"), "exact": m[:, 1].astype("int64"), "weight": m[:, 2]})
+        return res[res["votes"] > 0][cols]
 
     found = left.cogroup(right).applyInPandas(count, "id bigint, label string, votes bigint, exact bigint, weight double")
     return found.groupBy("id", "label").agg(F.sum("votes").alias("votes"), F.sum("exact").alias("exact"), F.sum("weight").alias("weight"))
