@@ -10,11 +10,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.recommendation import ALS
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from gapmend.functions.columns import SERIES, div, pearson, scatter
+from gapmend.functions.columns import div, pearson, scatter
 from gapmend.operators.blocks import carry, neighbours, ranked
 from gapmend.operators.series import ID_BUCKET
+from gapmend.session import cut_lineage
 
 CLUSTER = ["dataset", "cluster_id"]
 MASK = ["dataset", "cluster_id", "series_id", "miss_perc"]
@@ -331,14 +332,11 @@ def impute_als(masked: DataFrame, cells: DataFrame, rank: int = 4, iterations: i
     span = rows.groupBy(*MASK).agg(F.min("x").alias("lo"), (F.max("x") - F.min("x")).alias("width"))
     span = ranked(span, ["dataset"], ["cluster_id", "series_id", "miss_perc"],
                   F.floor(F.col("cluster_id") / ID_BUCKET).cast("bigint"), "pos")
-    # ALS wants integer ids: a hash of the key folded to 31 bits, unique per (data set, position)
-    ids = span.select("dataset").distinct()
-    ids = ranked(ids, [], ["dataset"], F.lit(0), "ds")
+    # ALS wants integer ids: the position in the data set plus the rows of earlier ones
     width = span.groupBy("dataset").agg(F.max("pos").alias("size"))
-    from pyspark.sql import Window as W
-    offs = ids.join(width, "dataset").select("dataset", F.coalesce(F.sum("size").over(
-        W.orderBy("ds").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    span = span.join(offs, "dataset").withColumn("user", (F.col("pos") + F.col("before")).cast("int")).drop("pos", "before")
+    before = F.coalesce(F.sum("size").over(W.orderBy("dataset").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    span = span.join(width.select("dataset", before.alias("before")), "dataset")
+    span = cut_lineage(span.withColumn("user", (F.col("pos") + F.col("before")).cast("int")).drop("pos", "before"))
     train = rows.join(span, MASK).select(
         "user", F.col("t").cast("int").alias("item"), F.coalesce(div(F.col("x") - F.col("lo"), "width"), F.lit(0.0)).alias("rating"))
     model = ALS(userCol="user", itemCol="item", ratingCol="rating", rank=rank, maxIter=iterations, nonnegative=True,

@@ -14,6 +14,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from gapmend.operators import evaluate as E, models as M, race as R, training as T
+from gapmend.session import cut_lineage
 
 PARALLEL = 4
 
@@ -161,7 +162,8 @@ def per_technique_regressor(perf: DataFrame, techniques: list[str]) -> DataFrame
     """One regression of the performance on the features per technique; the technique
     with the lowest predicted value is chosen. ``perf``: series_id, features, one
     column per technique."""
-    data = perf.withColumn("v", array_to_vector("features"))
+    # every regression reads the table, so it is computed once
+    data = cut_lineage(perf).withColumn("v", array_to_vector("features"))
     for t in techniques:
         model = LinearRegression(featuresCol="v", labelCol=t, predictionCol=f"p_{t}", regParam=0.01, solver="normal").fit(data)
         data = model.transform(data)
