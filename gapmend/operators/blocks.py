@@ -16,16 +16,17 @@ from gapmend.functions.columns import SERIES, as_col
 STEPS = 4096
 
 
-def block_of(order: str = "t", steps: int = STEPS) -> Column:
-    return F.floor(F.col(order) / steps).cast("bigint")
+def block_of(order: str = "t", steps: int | None = None) -> Column:
+    return F.floor(F.col(order) / (steps or STEPS)).cast("bigint")
 
 
 def with_halo(df: DataFrame, before: int = 0, after: int = 0, order: str = "t",
-              steps: int = STEPS) -> DataFrame:
+              steps: int | None = None) -> DataFrame:
     """Add ``blk`` and ``own``; edge rows are copied into neighbouring blocks.
 
     After the windows are evaluated, keep only rows with ``own``.
     """
+    steps = steps or STEPS
     if before > steps or after > steps:
         raise ValueError("halo wider than a block")
     lo = F.greatest(F.lit(0), F.floor((F.col(order) - after) / steps)).cast("bigint")
@@ -39,7 +40,7 @@ def in_block(keys=SERIES, order: str = "t"):
 
 
 def neighbours(df: DataFrame, exprs: dict, before: int = 0, after: int = 0, keys=SERIES,
-               order: str = "t", steps: int = STEPS) -> DataFrame:
+               order: str = "t", steps: int | None = None) -> DataFrame:
     """Evaluate finite-frame window expressions; ``exprs[name](window)`` -> Column."""
     w = in_block(keys, order)
     out = with_halo(df, before, after, order, steps)
@@ -48,7 +49,7 @@ def neighbours(df: DataFrame, exprs: dict, before: int = 0, after: int = 0, keys
 
 
 def prefix_sums(df: DataFrame, cols: dict, keys=SERIES, order: str = "t",
-                steps: int = STEPS) -> DataFrame:
+                steps: int | None = None) -> DataFrame:
     """Inclusive running sums along ``order``, as new columns."""
     base = df.withColumn("blk", block_of(order, steps))
     run = in_block(keys, order).rowsBetween(W.unboundedPreceding, 0)
@@ -63,7 +64,7 @@ def prefix_sums(df: DataFrame, cols: dict, keys=SERIES, order: str = "t",
     return out.drop("blk", *[f"{n}__{s}" for n in cols for s in ("in", "off")])
 
 
-def carry(df: DataFrame, value: str, keys=SERIES, order: str = "t", steps: int = STEPS) -> DataFrame:
+def carry(df: DataFrame, value: str, keys=SERIES, order: str = "t", steps: int | None = None) -> DataFrame:
     """Nearest known point at or before (``prev``) and at or after (``next``) each row.
 
     Both are structs (t, v), NULL where there is none.

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gapmend.operators.blocks import STEPS, neighbours, with_halo
+from gapmend.operators.blocks import neighbours, with_halo
 from gapmend.operators.features.common import K, centred, map_arrays, to_long
 
 AGG_LAGS = 40
@@ -85,7 +85,7 @@ def lag_gram(df: DataFrame, lags: int, width: int, design, head: int = 0) -> Dat
     partial Gram matrix and the partials are added by key, so neither a long series
     nor many series meet in one task. ``head`` first values are kept alongside.
     """
-    b = with_halo(df.select(*K, "t", "value"), before=lags, steps=STEPS)
+    b = with_halo(df.select(*K, "t", "value"), before=lags)
     packed = b.groupBy(*K, "blk").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("r"))
     packed = packed.select(*K, "blk", F.col("r")[0]["t"].alias("t0"), F.transform("r", lambda v: v["value"]).alias("x"))
 

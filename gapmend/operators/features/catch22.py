@@ -118,43 +118,30 @@ def stretches(df: DataFrame) -> DataFrame:
     return to_long(up.join(down, K), {"SB_BinaryStats_mean_longstretch1": F.col("up"), "SB_BinaryStats_diff_longstretch0": F.col("down")})
 
 
-def _letters(x: Column) -> Column:
-    """1, 2 or 3 by the terciles of the array (midpoint quantiles)."""
-    s, n = F.array_sort(x), F.size(x)
-
-    def cut(q):
-        pos = n * q - 0.5
-        lo = F.floor(pos).cast("int")
-        hi = F.least(F.ceil(pos).cast("int"), n - 1)
-        return s[lo] + (pos - lo) * (s[hi] - s[lo])
-    return cut(1 / 3), cut(2 / 3)
+def _words(x: np.ndarray) -> np.ndarray:
+    """Counts of the nine pairs of consecutive tercile letters (midpoint quantiles)."""
+    if len(x) < 2:
+        return np.zeros((3, 3))
+    cuts = np.interp(len(x) * np.array([1 / 3, 2 / 3]) - 0.5, np.arange(len(x)), np.sort(x))
+    letter = (x[:, None] > cuts).sum(axis=1)
+    return np.bincount(letter[:-1] * 3 + letter[1:], minlength=9).reshape(3, 3).astype(float)
+
+
+def _motif(v: np.ndarray) -> np.ndarray:
+    """Entropy of letter pairs, and the trace of the covariance of the transition
+    matrix of the series sampled at its first zero autocorrelation (given first)."""
+    tau, x = int(v[0]), v[1:]
+    p = _words(x).ravel() / max(len(x) - 1, 1)
+    p = p[p > 0]
+    move = _words(x[::tau])
+    trace = (move / move.sum()).var(axis=0, ddof=1).sum() if move.sum() > 0 else np.nan
+    return np.array([-(p * np.log(p)).sum(), trace])
 
 
 def motifs(df: DataFrame) -> DataFrame:
-    a = acf_arrays(df).withColumn("tau", first_zero(F.col("ac"), F.col("n")))
-    x, n, tau = F.col("x"), F.col("n"), F.col("tau")
-    a = a.withColumn("d", F.transform(F.sequence(F.lit(0), F.floor((n - 1) / tau).cast("int")), lambda i: x[i * tau]))
-
-    def pairs(arr, out):
-        nonlocal a
-        q1, q2 = _letters(F.col(arr))
-        a = a.withColumn("q1", q1).withColumn("q2", q2)
-        a = a.withColumn("let", F.transform(arr, lambda v: F.when(v <= F.col("q1"), 0).when(v <= F.col("q2"), 1).otherwise(2)))
-        a = a.withColumn(out, F.transform(_range(1, F.size("let") - 1), lambda i: F.col("let")[i - 1] * 3 + F.col("let")[i]))
-        return [F.size(out) - F.size(F.array_remove(out, k)) for k in range(9)]
-
-    words = pairs("x", "w1")
-    m = F.size("w1").cast("double")
-    hh = sum((F.when(c > 0, -(c / m) * F.log(c / m)).otherwise(0.0) for c in words), F.lit(0.0))
-    a = a.withColumn("hh", hh)
-    moves = pairs("d", "w2")
-    total = F.nullif(F.size("w2"), F.lit(0)).cast("double")
-    trace = F.lit(0.0)
-    for j in range(3):
-        col = [moves[i * 3 + j] / total for i in range(3)]
-        mean = (col[0] + col[1] + col[2]) / 3
-        trace = trace + sum(((c - mean) * (c - mean) for c in col), F.lit(0.0)) / 2
-    return to_long(a, {"SB_MotifThree_quantile_hh": F.col("hh"), "SB_TransitionMatrix_3ac_sumdiagcov": trace})
+    a = acf_arrays(df)
+    a = map_arrays(a.select(*K, F.concat(F.array(first_zero(F.col("ac"), F.col("n")).cast("double")), "x").alias("v")), "m", _motif, "v")
+    return to_long(a, {"SB_MotifThree_quantile_hh": F.col("m")[0], "SB_TransitionMatrix_3ac_sumdiagcov": F.nanvl(F.col("m")[1], F.lit(None))})
 
 
 def local_simple(df: DataFrame) -> DataFrame:
