@@ -12,7 +12,8 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, functions as F
 
-from gapmend.functions.columns import SERIES, div, pearson, scatter
+from gapmend.functions.columns import SERIES, div, pearson
+from gapmend.operators.blocks import ranked
 from gapmend.operators.correlate import (_ncc_rows, block_pairs, key_schema, mean_corr, mean_ncc, mean_ncc_arrays)
 from gapmend.operators.series import explode_large_clusters, global_cluster_id, series_to_array, znormalize
 from gapmend.session import cut_lineage
@@ -46,9 +47,10 @@ def kshape(arrays: DataFrame, keys: list[str], rounds: int = 4) -> DataFrame:
     sums, not a matrix over time.
     """
     data = cut_lineage(arrays.select(*keys, "series_id", "vals", "k", "seed"))
-    base = F.pmod(F.col("series_id"), F.lit(10007))
-    start = F.pmod(F.pmod(base * 7919 + 104729 + 31 * F.col("seed"), F.lit(10007)), F.col("k")).cast("bigint")
-    state = data.select(*keys, "series_id", start.alias("cluster_id"), F.col("vals").alias("push"))
+    # the first k members in the scatter order of the seed are the starting centroids
+    order = F.pmod(F.pmod("series_id", F.lit(10007)) * 7919 + 104729 + 31 * F.col("seed"), F.lit(10007))
+    first = ranked(data, keys, [order, "series_id"], order).where(F.col("rn") <= F.col("k"))
+    state = first.select(*keys, "series_id", (F.col("rn") - 1).alias("cluster_id"), F.col("vals").alias("push"))
     head = key_schema(arrays, keys)
     side = data.select(*keys, F.col("series_id").alias("bid"), "vals")
 

@@ -38,8 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     if shared is None:
         shared = sc.getCheckpointDir()
     if shared is None and sc.master.startswith("local"):
-        shared = tempfile.mkdtemp(prefix="gapmend-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="gapmend-"))
+        shared = sc.getCheckpointDir()
     if shared is None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     return shared
