@@ -64,20 +64,24 @@ def prefix_sums(df: DataFrame, cols: dict, keys=SERIES, order: str = "t",
     return out.drop("blk", *[f"{n}__{s}" for n in cols for s in ("in", "off")])
 
 
-def carry(df: DataFrame, value: str, keys=SERIES, order: str = "t", steps: int | None = None) -> DataFrame:
+def carry(df: DataFrame, value: str, keys=SERIES, order: str = "t", steps: int | None = None,
+          extra: dict | None = None, before: int = 0, after: int = 0) -> DataFrame:
     """Nearest known point at or before (``prev``) and at or after (``next``) each row.
 
-    Both are structs (t, v), NULL where there is none.
+    Both are structs (t, v), NULL where there is none. ``extra`` adds finite-frame
+    expressions (see ``neighbours``) that share the sort of the blocks.
     """
-    base = df.withColumn("blk", block_of(order, steps))
     point = F.when(F.col(value).isNotNull(),
                    F.struct(F.col(order).alias("t"), F.col(value).alias("v")))
     w = in_block(keys, order)
+    base = with_halo(df, before, after, order, steps)
     local = base.select(
-        "*",
+        "*", *[fn(w).alias(name) for name, fn in (extra or {}).items()],
         F.last(point, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("prev_in"),
         F.first(point, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)).alias("next_in"))
-    ends = base.groupBy(*keys, "blk").agg(F.max(point).alias("last_pt"), F.min(point).alias("first_pt"))
+    local = local.where("own")
+    ends = df.withColumn("blk", block_of(order, steps)).groupBy(*keys, "blk").agg(
+        F.max(point).alias("last_pt"), F.min(point).alias("first_pt"))
     wb = W.partitionBy(*keys).orderBy("blk")
     ends = ends.select(
         *keys, "blk",
@@ -85,7 +89,7 @@ def carry(df: DataFrame, value: str, keys=SERIES, order: str = "t", steps: int |
         F.first("first_pt", ignorenulls=True).over(wb.rowsBetween(1, W.unboundedFollowing)).alias("next_out"))
     out = local.join(ends, [*keys, "blk"])
     return out.select(
-        *df.columns,
+        *df.columns, *(extra or {}),
         F.coalesce("prev_in", "prev_out").alias("prev"),
         F.coalesce("next_in", "next_out").alias("next"))
 

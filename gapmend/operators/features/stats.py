@@ -1,4 +1,4 @@
-"""Group statistics of series, in the families of the tsfresh feature list."""
+"""Group statistics of series, in common feature families."""
 
 from __future__ import annotations
 

@@ -106,10 +106,9 @@ def fills() -> dict[str, Column]:
 
 def with_context(masked: DataFrame) -> DataFrame:
     """Add nearest known points, centred means of known cells and series levels."""
-    base = carry(visible(masked), "x", MASK)
-    base = neighbours(base, {
+    base = carry(visible(masked), "x", MASK, extra={
         "ma2": lambda w: F.avg("x").over(w.rowsBetween(-5, 5)),
-        "ma3": lambda w: F.avg("x").over(w.rowsBetween(-10, 10))}, 10, 10, MASK)
+        "ma3": lambda w: F.avg("x").over(w.rowsBetween(-10, 10))}, before=10, after=10)
     return base.join(_level(masked), MASK)
 
 

@@ -65,10 +65,12 @@ def model_race(train: DataFrame, val: DataFrame, grid: DataFrame, n_start: int,
             done = {p: sum(s["pipeline_id"] == p for s in scores) for p in alive}
             budget = max(done.values()) + (next_folds if it else first_folds)
             part = subsets.where(F.col("iteration") == it).drop("iteration")
-            jobs = []
+            jobs, cached = [], []
             for p in alive:
                 k = budget - done[p]
-                folded = T.stratified_kfold(part, max(k, 2), salt=p % 97)
+                # a fit reads its rows several times
+                folded = T.stratified_kfold(part, max(k, 2), salt=p % 97).persist()
+                cached.append(folded)
                 jobs += [(p, done[p] + f, folded.where(F.col("fold") != f).drop("fold")) for f in range(k)]
             # folds of different pipelines alternate, so that early losers show early
             jobs.sort(key=lambda j: (j[1], j[0]))
@@ -90,6 +92,8 @@ def model_race(train: DataFrame, val: DataFrame, grid: DataFrame, n_start: int,
                     full = {q: sum(x["f1"] for x in v) / len(v) for q, v in found.items() if len(v) >= R.MIN_FOLDS}
                     if p in full and full[p] < max(full.values()) - margin:
                         lost.add(p)
+            for folded in cached:
+                folded.unpersist()
             alive = [p for p in alive if p in found and p not in failed and p not in lost]
             scores += [s for p in alive for s in found[p]]
             table = spark.createDataFrame([[s[c] for c in ("pipeline_id", "fold", "f1", "r3", "runtime")] for s in scores], schema)
