@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier)
-from pyspark.ml.feature import PCA, Binarizer, StringIndexer
+from pyspark.ml.feature import Binarizer, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -83,15 +83,25 @@ def fit_quantile(train: DataFrame) -> Transform:
 
 
 def fit_pca(train: DataFrame, k: int | None = None) -> Transform:
-    """All principal components of the centred features."""
-    mu = _lits([r["m"] for r in _columns(train, F.avg("v").alias("m"))])
-    centre = lambda df: df.withColumn("features", F.zip_with("features", mu, lambda v, m: v - m))
-    d = len(train.select("features").first()["features"])
-    model = PCA(k=k or d, inputCol="v", outputCol="p").fit(centre(train).select(array_to_vector("features").alias("v")))
+    """All principal components of the centred features.
+
+    The covariance comes from added moments; its eigenvectors are found on the driver,
+    where it is features x features, and stay stable with fewer rows than features.
+    """
+    (_, mu, cov), = _class_moments(train.select(F.lit("").alias("label"), "features")).values()
+    axes = np.linalg.eigh(cov)[1][:, ::-1][:, :k or len(mu)]
+    # the sign of an axis is free: make its largest entry positive
+    sign = np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
+    axes = axes * np.where(sign == 0, 1, sign)
 
     def apply(df):
-        out = model.transform(centre(df).withColumn("v", array_to_vector("features")))
-        return out.withColumn("features", vector_to_array("p")).drop("v", "p")
+        head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+        def run(batches):
+            for pdf in batches:
+                if len(pdf):
+                    yield pdf.assign(features=list((np.stack(pdf["features"].to_numpy()).astype(float) - mu) @ axes))
+        return df.mapInPandas(run, head)
     return Transform(apply)
 
 

@@ -61,3 +61,18 @@ def test_wide_file_with_datetime_column(spark, tmp_path):
     rows = {(r["t"], r["series_id"]): r for r in files.read_series_wide(spark, str(p), "w").collect()}
     assert len(rows) == 4 and rows[0, 0]["value"] == 1.5 and rows[1, 0]["value"] is None and rows[1, 1]["value"] == 3.0
     assert str(rows[1, 1]["ts"]) == "2020-01-01 01:00:00"
+
+
+def test_pca_components_are_uncorrelated(blobs):
+    train, _ = blobs
+    out = np.array([r["features"] for r in M.fit_pca(train).apply(train).select("features").collect()])
+    cov = np.cov(out.T)
+    assert np.allclose(cov - np.diag(np.diag(cov)), 0, atol=1e-9) and np.all(np.diff(np.diag(cov)) <= 1e-9)
+    assert np.allclose(out.mean(axis=0), 0, atol=1e-9)
+
+
+def test_pca_with_fewer_rows_than_features(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, f"L{i % 2}", [float(v) for v in rng.normal(size=20)]) for i in range(8)]
+    df = spark.createDataFrame(rows, "series_id bigint, label string, features array<double>")
+    assert M.fit(df, M.Spec("lda", reduction="pca")).predict(df).count() == 16
