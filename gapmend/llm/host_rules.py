@@ -63,14 +63,11 @@ def host_rates(rows: DataFrame, host: Column, failed: Column) -> DataFrame:
     shares, the strength is 1e6.
     """
     hosts = rows.groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("n"), F.sum(failed.cast("bigint")).alias("k"))
-    total = hosts.agg(F.sum("n").alias("N"), F.sum("k").alias("K"), F.sum(F.col("k") * F.col("k") / F.col("n")).alias("Q"))
-    m = F.col("K") / F.col("N")
-    v = F.col("Q") / F.col("N") - m * m
-    prior = total.select(m.alias("prior_mean"), F.when(v > 1e-12, F.greatest(F.lit(1.0), F.least(F.lit(1e6), m * (1 - m) / v - 1)))
-                         .otherwise(F.lit(1e6)).alias("strength"))
-    # prior has exactly one row
-    return hosts.crossJoin(F.broadcast(prior)).select(
-        "host", "n", "k", ((F.col("k") + F.col("prior_mean") * F.col("strength")) / (F.col("n") + F.col("strength"))).alias("rate"))
+    n, k, q = hosts.agg(F.sum("n"), F.sum("k"), F.sum(F.col("k") * F.col("k") / F.col("n"))).first()
+    m = k / n if n else 0.0
+    v = q / n - m * m if n else 0.0
+    strength = max(1.0, min(1e6, m * (1 - m) / v - 1)) if v > 1e-12 else 1e6
+    return hosts.select("host", "n", "k", ((F.col("k") + m * strength) / (F.col("n") + strength)).alias("rate"))
 
 
 def judged(docs: DataFrame, host_col: str = "source", max_host_rate: float = 0.5, keep: list[str] | None = None) -> DataFrame:

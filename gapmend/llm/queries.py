@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gapmend.llm import host_rules, secret_scan
+from gapmend.llm import host_rules, merkle, mixing, secret_scan, token_store
 from gapmend.llm.common import table
+from gapmend.session import scratch_path
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -86,3 +87,50 @@ def op10(spark, d):
     return out.withColumns(count).select(
         "doc_id", *count, F.sha2(s.joined(F.col("base")), 256).alias("base_sha256"),
         s.joined(F.array_sort(F.concat("base", "extra"))).alias("spans"), "n_live", "n_example")
+
+
+OP8_SQL = r"""
+WITH s AS (SELECT coalesce(source, '') AS source, sum(length(coalesce(text, '')))::DOUBLE AS chars FROM documents GROUP BY 1),
+r AS (SELECT source, sqrt(chars) / sum(sqrt(chars)) OVER () * sum(chars) OVER () / chars AS rate FROM s),
+c AS (SELECT source, rate, list_transform(range(0, 200), lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(j * ln(rate) - rate - lgamma(j + 1))))) AS cdf FROM r),
+n AS (SELECT doc_id, c.source, rate, len(list_filter(cdf, lambda x: x <= ('0x' || substr(md5('mix:' || doc_id || ':1'), 1, 13))::BIGINT / 4503599627370496.0)) AS times
+      FROM documents d JOIN c ON c.source = coalesce(d.source, ''))
+SELECT doc_id, source, round(rate, 6) AS rate, unnest(range(1, times + 1))::INTEGER AS copy FROM n
+"""
+
+
+@query("op8_poisson_mix", OP8_SQL)
+def op8(spark, d):
+    out = mixing.replicated(table(spark, d, "documents"))
+    return out.select("doc.doc_id", F.coalesce("doc.source", F.lit("")).alias("source"), F.round("rate", 6).alias("rate"), "copy")
+
+
+@query("op2_token_store")
+def op2(spark, d):
+    import public_tokenizers
+
+    docs, path = table(spark, d, "documents"), scratch_path(spark, "tokens")
+    token_store.write_store(docs, path, str(public_tokenizers.path("byte_bpe_50k.json")))
+    return token_store.stored_documents(spark, path, docs.select("doc_id")).select("doc_id", "start", "n_tokens", "ids_crc32", "slot")
+
+
+_RECORD = ("'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) "
+           "|| 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) "
+           "|| chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10)")
+OP9_SQL = f"""
+WITH r AS (SELECT page_id, {_RECORD} AS rec FROM pages), h AS (SELECT page_id, strlen(rec) AS b, sha256(rec) AS d FROM r),
+g AS (SELECT page_id, count(*) AS n_records, sum(b)::BIGINT AS n_bytes, {", ".join(f"sum(('0x' || substr(d, {1 + 15 * k}, 15))::BIGINT)::HUGEINT AS s{k}" for k in range(5))} FROM h GROUP BY page_id)
+SELECT page_id, page_id // 4096 AS shard, (sum(n_bytes) OVER (PARTITION BY page_id // 4096 ORDER BY page_id) - n_bytes)::BIGINT AS record_offset, n_bytes, n_records,
+  sha256(n_records || ':' || s0 || ':' || s1 || ':' || s2 || ':' || s3 || ':' || s4) AS digest,
+  CASE substr(md5(page_id::VARCHAR), 1, 2) WHEN '00' THEN 'changed' WHEN '01' THEN 'missing' ELSE 'ok' END AS status
+FROM g
+"""
+
+
+@query("op9_merkle_audit", OP9_SQL)
+def op9(spark, d):
+    """The replica is the same table with two kinds of planted damage, chosen by a hash of the id."""
+    pages = table(spark, d, "pages")
+    mark = F.substring(F.md5(F.col("page_id").cast("string")), 1, 2)
+    replica = pages.where(mark != "01").withColumn("html", F.when(mark == "00", F.concat("html", F.lit("\x00"))).otherwise(F.col("html")))
+    return merkle.audit(pages, replica)
