@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gapmend.llm import host_rules, merkle, mixing, secret_scan, token_store
+from gapmend.llm import compression, host_rules, merkle, mixing, secret_scan, token_store, toxicity
 from gapmend.llm.common import table
 from gapmend.session import scratch_path
 
@@ -134,3 +134,14 @@ def op9(spark, d):
     mark = F.substring(F.md5(F.col("page_id").cast("string")), 1, 2)
     replica = pages.where(mark != "01").withColumn("html", F.when(mark == "00", F.concat("html", F.lit("\x00"))).otherwise(F.col("html")))
     return merkle.audit(pages, replica)
+
+
+@query("op3_compression_quality")
+def op3(spark, d):
+    out = compression.quality_scores(table(spark, d, "documents"), table(spark, d, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", "difference")
+
+
+@query("op1_ordinal_toxicity")
+def op1(spark, d):
+    return toxicity.severity(table(spark, d, "documents"), table(spark, d, "labels"))
