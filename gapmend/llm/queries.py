@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gapmend.llm import compression, host_rules, merkle, mixing, secret_scan, token_store, toxicity
+from gapmend.llm import compression, decontaminate, host_rules, merkle, mixing, secret_scan, token_store, toxicity
 from gapmend.llm.common import table
 from gapmend.session import scratch_path
 
@@ -145,3 +145,26 @@ def op3(spark, d):
 @query("op1_ordinal_toxicity")
 def op1(spark, d):
     return toxicity.severity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+OP4_SQL = r"""
+WITH b AS (SELECT item_id, """ + SQL_WORDS.format(t="lower(coalesce(text, ''))") + r""" AS w FROM benchmark),
+i AS (SELECT item_id, len(w) - 4 AS si, unnest(list_transform(range(0, len(w) - 4), lambda p: array_to_string(w[p + 1 : p + 5], ' '))) AS s FROM b WHERE len(w) >= 5),
+ic AS (SELECT item_id, si, s, count(*) AS ci FROM i GROUP BY ALL),
+d AS (SELECT doc_id, """ + SQL_WORDS.format(t="lower(coalesce(text, ''))") + r""" AS w FROM documents),
+dw AS (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS p FROM d WHERE len(w) >= 5),
+ds AS (SELECT doc_id, len(w) - 4 AS sd, p, array_to_string(w[p + 1 : p + 5], ' ') AS s FROM dw),
+h AS (SELECT doc_id, item_id, s, p, ci, si, sd, least(si, sd) AS sw FROM ds JOIN ic USING (s)),
+few AS (SELECT doc_id, item_id, si, sd, sw FROM h GROUP BY ALL HAVING count(*) * 9 >= 4 * (si + sw)),
+st AS (SELECT DISTINCT doc_id, item_id, si, sw, unnest(range(greatest(p - sw + 1, 0), least(p, sd - sw) + 1)) AS a FROM h SEMI JOIN few USING (doc_id, item_id)),
+o AS (SELECT st.doc_id, st.item_id, st.si, st.sw, a, h.s, least(count(*), any_value(ci)) AS o FROM st JOIN h ON h.doc_id = st.doc_id AND h.item_id = st.item_id AND h.p BETWEEN a AND a + st.sw - 1 GROUP BY ALL),
+t AS (SELECT doc_id, item_id, si, sw, a, sum(o) AS o FROM (SELECT doc_id, item_id, si, sw, a, s, o FROM o) GROUP BY ALL HAVING 9 * sum(o) >= 4 * (si + sw))
+SELECT doc_id, item_id, a::BIGINT AS start, (sw + 4)::BIGINT AS n_words, round(o / (si + sw - o), 6) AS similarity
+FROM t QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY o / (si + sw - o) DESC, a) = 1
+"""
+
+
+@query("op4_simhash_leaks", OP4_SQL)
+def op4(spark, d):
+    out = decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+    return out.select(F.col("k1").alias("doc_id"), "item_id", "start", "n_words", F.round("similarity", 6).alias("similarity"))
