@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gapmend.llm import compression, decontaminate, host_rules, merkle, mixing, secret_scan, token_store, toxicity
+from gapmend.llm import compression, decontaminate, host_rules, jaccard_join, merkle, mixing, secret_scan, token_store, toxicity
 from gapmend.llm.common import table
 from gapmend.session import scratch_path
 
@@ -168,3 +168,21 @@ FROM t QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY o / (si
 def op4(spark, d):
     out = decontaminate.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
     return out.select(F.col("k1").alias("doc_id"), "item_id", "start", "n_words", F.round("similarity", 6).alias("similarity"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(0, len(w) - 4), lambda p: array_to_string(w[p + 1 : p + 5], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM o JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * o >= 80 * (nx.n + ny.n - o)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id WHERE r.c < e.y)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.c) AS component_id FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+@query("op6_jaccard_join", OP6_SQL)
+def op6(spark, d):
+    return jaccard_join.components(table(spark, d, "documents")).select("doc_id", "n_shingles", "component_id")
