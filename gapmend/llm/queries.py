@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gapmend.llm import compression, decontaminate, host_rules, jaccard_join, merkle, mixing, secret_scan, token_store, toxicity
+from gapmend.llm import compression, decontaminate, host_rules, jaccard_join, merkle, mixing, secret_scan, suffix_dedup, token_store, toxicity
 from gapmend.llm.common import table
 from gapmend.session import scratch_path
 
@@ -186,3 +186,8 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.c) AS
 @query("op6_jaccard_join", OP6_SQL)
 def op6(spark, d):
     return jaccard_join.components(table(spark, d, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op7_suffix_dedup")
+def op7(spark, d):
+    return suffix_dedup.removals(table(spark, d, "documents"))
