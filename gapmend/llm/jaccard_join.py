@@ -79,8 +79,8 @@ def class_key(s: np.ndarray) -> int:
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sets = [shingle_set(t.as_py()) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([class_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())],
-                                         names=["doc_id", "k", "n"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([class_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())],
+                                         names=["doc_id", "t", "k", "n"])
 
 
 def _sample_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,6 +241,17 @@ def linked_classes(docs: DataFrame, heads: DataFrame, text_col: str, id_col: str
         more.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))))
 
 
+def classed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, t, k, n, root) of documents with shingles, and those without (root null); t is a hash of the text."""
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t"))
+    heads = staged(rows.mapInArrow(_heads, "doc_id bigint, t bigint, k bigint, n bigint"), "heads")
+    linked = staged(linked_classes(docs, heads.where("n > 0"), text_col, id_col), "linked")
+    full = heads.where("n > 0").join(linked.select(F.col("node").alias("k"), "root"), "k", "left")
+    full = staged(full.select("doc_id", "t", "k", "n", F.coalesce("root", "k").alias("root")), "classed")
+    return full, heads.where("n = 0")
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, k, n_shingles, component_id) of every row of ``docs``.
 
@@ -249,20 +260,26 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     nothing. Rows with the same id are separate rows; null ids are never the least one
     unless alone. An empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    heads = staged(rows.mapInArrow(_heads, "doc_id bigint, k bigint, n bigint"), "heads")
-    linked = staged(linked_classes(docs, heads.where("n > 0"), text_col, id_col), "linked")
-    full = heads.where("n > 0").join(linked.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("root", F.coalesce("root", "k"))
-    full = staged(full, "classed")
+    full, empty = classed(docs, id_col, text_col)
     least = staged(full.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     out = full.join(least, "root").select("doc_id", "k", F.col("n").alias("n_shingles"), "component_id")
-    return out.unionAll(heads.where("n = 0").select("doc_id", "k", "n", "doc_id"))
+    return out.unionAll(empty.select("doc_id", "k", "n", "doc_id"))
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: the first of each group of linked documents, by id; of rows
-    that share this id, the one with the least text hash. Rows without words all stay, as they are linked with nothing."""
-    comp = components(docs, id_col, text_col)
-    gone = staged(comp.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct(), "gone")
-    packed = docs.select(F.col(id_col).cast("bigint").alias("key"), F.col(text_col).alias("t"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
-    return packed.join(gone.withColumnRenamed("doc_id", "key"), "key", "left_anti").select("doc.*")
+    """The rows of ``docs`` that stay: of each group of linked documents the one with the least id (a null id
+    is the last choice), then the least text hash; of rows equal in both, one. Rows without
+    words all stay, as they are linked with nothing."""
+    full, _ = classed(docs, id_col, text_col)
+    key = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).alias("key")
+    texts = staged(full.groupBy("root", key, "t").agg(F.count(F.lit(1)).alias("c")), "texts")
+    first = staged(texts.groupBy("root").agg(F.min(F.struct("key", "t", "c")).alias("f")).select("root", "f.*"), "first")
+    gone = texts.select("key", "t").exceptAll(first.select("key", "t"))
+    twice = first.where("c > 1").select("key", "t")
+    packed = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1)).alias("key"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t"),
+                         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    stay = packed.join(_small(staged(gone, "gone")), ["key", "t"], "left_anti")
+    if twice.isEmpty():
+        return stay.select("doc.*")
+    again = stay.join(_small(twice), ["key", "t"], "left_semi").dropDuplicates(["key", "t"])
+    return stay.join(_small(twice), ["key", "t"], "left_anti").unionAll(again).select("doc.*")

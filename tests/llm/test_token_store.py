@@ -40,7 +40,8 @@ def test_whole_table_equals_direct_encoding(spark, sf):
 
 
 ODD = ["", None, " ", "  two  blanks ", "a\n b", "tab\t\tend \n", "trailing ", " lead", "it's we'll  ok", "naïve   nbsp  x",
-       "<|endoftext|> end", "中文 \U0001f600 x", "a\x1c b", "word " * 30_000, "1 2  3 !! ?? ' s"]
+       "<|endoftext|> end", "中文 \U0001f600 x", "a\x1c b", "word " * 30_000, "1 2  3 !! ?? ' s",
+       "end.\nStart, x\n\ny it's, a,b,,c É!!\nz ²x. a_, x² word!?\r\nnext", "a. b, c! d# e. a, b. c, d\ne\nf.\ng", "x\n", "\nx y\n z", "e\u0301, a\u0301. \u200b, b"]
 
 
 def test_odd_texts(spark):
