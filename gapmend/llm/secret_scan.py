@@ -15,16 +15,16 @@ KINDS = [
 #: What the ownership step looks up outside the base spans: long strings of letters and digits.
 BARE = r"[A-Za-z0-9+/_=-]+"
 BARE_CHARS = 16
-#: Cheap tests that every match with a secret of the asked length passes.
-PROBE = {"assign": KINDS[0][1], "access": r"AKIA[A-Z0-9]{16}", "hex": r"[0-9a-f]{24}",
-         "bare": r"[A-Za-z0-9+/_=-]{16}"}
+#: The same matches as BARE with enough characters; the look-behind keeps the search out of the middle of a run.
+LONG_BARE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
+KEYWORDS = ("password", "passwd", "secret", "token", "api")
 
 SPAN = "array<struct<start:bigint,kind:int,stop:bigint,value:string>>"
 
 
-def _spans(text: Column, kind: int, pattern: str, group: int, least: int, probe: str) -> Column:
+def _spans(text: Column, kind: int, pattern: str, group: int, least: int, gate: Column) -> Column:
     """Leftmost non-overlapping matches with positions in code points: the pieces between the
-    matches and the matches themselves, in turn, add up to every start."""
+    matches and the matches themselves, in turn, add up to every start. ``gate`` is a cheap test that every text with a match passes."""
     pat = F.lit(pattern)
 
     def cut(found):
@@ -37,21 +37,29 @@ def _spans(text: Column, kind: int, pattern: str, group: int, least: int, probe:
     found = F.struct(F.regexp_extract_all(text, pat, 0).alias("full"), F.regexp_extract_all(text, pat, group).alias("value"),
                      F.split(text, pattern, -1).alias("pieces"))
     spans = F.filter(let(found, cut), lambda s: F.length(s["value"]) >= least)
-    return F.when(text.rlike(probe), spans).otherwise(F.array()).cast(SPAN)
+    return F.when(gate, spans).otherwise(F.array()).cast(SPAN)
+
+
+def _gates(text: Column) -> dict[str, Column]:
+    low = F.lower(text)
+    words = [low.contains(w) for w in KEYWORDS]
+    return {"assign": words[0] | words[1] | words[2] | words[3] | words[4], "access": text.contains("AKIA"), "hex": text.rlike("[0-9a-f]{24}"),
+            "bare": text.rlike("[0-9]") & text.rlike(LONG_BARE)}
 
 
 def base_spans(text: Column) -> Column:
     """All base matches of a text (null: none) by start, then kind as listed."""
     t = F.coalesce(text, F.lit(""))
-    return F.array_sort(F.concat(*[_spans(t, i, pat, group, least, PROBE[name]) for i, (name, pat, group, least) in enumerate(KINDS)]))
+    gates = _gates(t)
+    return F.array_sort(F.concat(*[_spans(t, i, pat, group, least, gates[name]) for i, (name, pat, group, least) in enumerate(KINDS)]))
 
 
 def bare_spans(text: Column, base: Column) -> Column:
     """Long strings with letters and digits that touch no base span; kind number 3."""
     t = F.coalesce(text, F.lit(""))
-    found = _spans(t, len(KINDS), BARE, 0, BARE_CHARS, PROBE["bare"])
-    return F.filter(found, lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & ~F.exists(
-        base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
+    found = _spans(t, len(KINDS), LONG_BARE, 0, BARE_CHARS, _gates(t)["bare"])
+    return let(base, lambda bs: F.filter(found, lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & ~F.exists(
+        bs, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))))
 
 
 def joined(spans: Column) -> Column:
