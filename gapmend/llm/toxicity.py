@@ -35,34 +35,39 @@ def text_features(text: str) -> tuple[Counter, int]:
     return out, sum(words.values())
 
 
-def vocabulary(counted: list[Counter], positive: np.ndarray, size: int, least: int) -> list[str]:
-    """The ``size`` features whose document frequencies tell the positive documents best (chi-square)."""
-    df, dp = Counter(), Counter()
-    for c, y in zip(counted, positive):
-        df.update(c.keys())
+def vocabulary(texts: list[str], positive: np.ndarray, size: int, least: int) -> list[str]:
+    """The ``size`` features whose document frequencies tell the positive documents best (chi-square);
+    only those of at least ``least`` positive documents."""
+    dp: Counter = Counter()
+    for t, y in zip(texts, positive):
         if y:
-            dp.update(c.keys())
-    n, p = len(counted), int(positive.sum())
+            dp.update(text_features(t)[0].keys())
+    dp = Counter({f: n for f, n in dp.items() if n >= least})
+    df = Counter(dp)
+    for t, y in zip(texts, positive):
+        if not y:
+            df.update(f for f in text_features(t)[0] if f in dp)
+    n, p = len(texts), int(positive.sum())
 
     def chi(f):
         a, b = dp[f], df[f] - dp[f]
         c, d = p - a, n - p - b
         under = (a + b) * (c + d) * (a + c) * (b + d)
         return n * (a * d - b * c) ** 2 / under if under else 0.0
-    return sorted((f for f in df if df[f] >= least), key=lambda f: (-chi(f), f))[:size]
+    return sorted(df, key=lambda f: (-chi(f), f))[:size]
 
 
-def design(counted, totals, vocab):
+def design(texts: list[str], vocab: list[str]):
     """Rows, columns and values of the sparse matrix of feature densities in percent."""
     at = {f: j for j, f in enumerate(vocab)}
     r, c, v = [], [], []
-    for i, (fs, n) in enumerate(zip(counted, totals)):
-        for f, k in fs.items():
-            if f in at:
-                r.append(i)
-                c.append(at[f])
-                v.append(100.0 * k / (n + SMOOTH))
-    return np.array(r, np.int64), np.array(c, np.int64), np.array(v)
+    for i, t in enumerate(texts):
+        fs, n = text_features(t)
+        own = [(at[f], 100.0 * k / (n + SMOOTH)) for f, k in fs.items() if f in at]
+        r.append(np.full(len(own), i))
+        c.append(np.array([x[0] for x in own], np.int64))
+        v.append(np.array([x[1] for x in own]))
+    return np.concatenate(r).astype(np.int64), np.concatenate(c), np.concatenate(v)
 
 
 def sigmoid(x):
@@ -117,10 +122,10 @@ def fit(sample, grades: int = 3, features: int = 4_000, least: int = 3) -> dict:
     """
     if len({r[2] for r in sample}) < 2:
         return {"weights": {}, "thresholds": [20.0 + k for k in range(grades - 1)]}
-    counted, totals = zip(*[text_features(r[1]) for r in sample])
+    texts = [r[1] for r in sample]
     toxic, weight = np.array([r[2] for r in sample]), np.array([r[3] for r in sample])
-    vocab = vocabulary(counted, toxic, features, least)
-    matrix = design(counted, totals, vocab)
+    vocab = vocabulary(texts, toxic, features, least)
+    matrix = design(texts, vocab)
     n, p = len(sample), len(vocab)
     w, _ = fit_ordinal(matrix, n, p, toxic, weight, 2)
     eta = np.bincount(matrix[0], weights=matrix[2] * w[matrix[1]], minlength=n)
@@ -155,7 +160,7 @@ def _scorer(model, key: str):
     return run
 
 
-def severity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", grades: int = 3, per_class: int = 6_000,
+def severity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", grades: int = 3, per_class: int = 2_500,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, severity, grade, p_toxic, toxic) of every row of ``docs``.
 
