@@ -9,8 +9,6 @@ from gapmend.llm.common import staged
 FANOUT = 16
 #: Slots of a shard; a power of FANOUT.
 SHARD = FANOUT ** 3
-#: The shard of records without an id.
-NO_ID = -(1 << 53)
 
 
 def warc_record(page_id: Column, url: Column, html: Column) -> Column:
@@ -32,19 +30,24 @@ def leaves(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
     record = warc_record(F.col(id_col), F.col(url_col), F.col(html_col))
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.octet_length(record).cast("bigint").alias("b"), F.sha2(record, 256).alias("d"))
     parts = [F.sum(F.conv(F.substring("d", 1 + 15 * k, 15), 16, 10).cast("decimal(20,0)")).alias(f"s{k}") for k in range(5)]
-    slot = F.coalesce(F.pmod(F.col("page_id"), F.lit(SHARD)), F.lit(0).cast("bigint"))
+    slot = F.coalesce(F.pmod(F.col("page_id"), F.lit(SHARD)).cast("bigint"), F.lit(SHARD).cast("bigint"))
     return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_records"), F.sum("b").alias("n_bytes"), *parts).select(
-        "page_id", F.coalesce(F.floor((F.col("page_id") - slot) / SHARD), F.lit(NO_ID)).cast("bigint").alias("shard"), slot.alias("node"),
+        "page_id", F.coalesce(F.floor((F.col("page_id") - slot) / SHARD), F.lit(0)).cast("bigint").alias("shard"), slot.alias("node"),
         "n_records", "n_bytes", F.sha2(F.concat_ws(":", "n_records", *[f"s{k}" for k in range(5)]), 256).alias("digest"))
 
 
-def parents(nodes: DataFrame, level: int) -> DataFrame:
+def above(shard: Column, level: int, base: int) -> Column:
+    """The number, on the next level, of the node that gathers a shard-level node."""
+    return F.floor((shard - (base if level == 3 else 0)) / FANOUT).cast("bigint")
+
+
+def parents(nodes: DataFrame, level: int, base: int) -> DataFrame:
     """The next level: a node's digest hashes its at most FANOUT children in order.
 
-    Up to three levels lie inside a shard; above them shards are gathered by number.
+    Up to three levels lie inside a shard; above them shards are gathered by number, counted from ``base``.
     """
     place = "node" if level < 3 else "shard"
-    shard = F.col("shard") if level < 3 else F.floor(F.col("at") / FANOUT).cast("bigint").alias("shard")
+    shard = F.col("shard") if level < 3 else above(F.col("at"), level, base).alias("shard")
     node = F.floor(F.col("at") / FANOUT).cast("bigint") if level < 3 else F.lit(0).cast("bigint")
     kids = F.array_sort(F.collect_list(F.struct("at", "digest")))
     return nodes.withColumnRenamed(place, "at").select("at", "digest", shard, node.alias("node")).groupBy("shard", "node").agg(kids.alias("kids")).select(
@@ -62,12 +65,12 @@ def audit(reference: DataFrame, replica: DataFrame, **columns) -> DataFrame:
     """
     levels = [[staged(leaves(x, **columns), "leaves")] for x in (reference, replica)]
     lo, hi = levels[0][0].unionByName(levels[1][0]).agg(F.min("shard"), F.max("shard")).first()
-    level = 0
+    level, base = 0, lo
     while lo is not None and (level < 3 or lo != hi):
         for side in levels:
-            side.append(staged(parents(side[-1], level), f"level{level + 1}"))
+            side.append(staged(parents(side[-1], level, base), f"level{level + 1}"))
         if level >= 3:
-            lo, hi = lo // FANOUT, hi // FANOUT
+            lo, hi = 0, (hi - (base if level == 3 else 0)) // FANOUT
         level += 1
 
     def differing(a, b):
@@ -77,7 +80,7 @@ def audit(reference: DataFrame, replica: DataFrame, **columns) -> DataFrame:
     bad = differing(levels[0][level], levels[1][level])
     for k in range(level - 1, -1, -1):
         up = ([F.col("shard").alias("up_shard"), F.floor(F.col("node") / FANOUT).cast("bigint").alias("up_node")] if k < 3 else
-              [F.floor(F.col("shard") / FANOUT).cast("bigint").alias("up_shard"), F.lit(0).cast("bigint").alias("up_node")])
+              [above(F.col("shard"), k, base).alias("up_shard"), F.lit(0).cast("bigint").alias("up_node")])
         marked = staged(bad.select(F.col("shard").alias("up_shard"), F.col("node").alias("up_node")), f"bad{k + 1}")
         below = [s[k].select("shard", "node", "digest", *up).join(marked, ["up_shard", "up_node"], "left_semi") for s in levels]
         bad = differing(*below)
