@@ -14,7 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 START_YEAR, MONTHS = 1995, 83
-START_DAY, DAYS = "2024-01-01", 30
+START_DAY = "2024-01-01"
 
 
 def query(name: str, sql: str | None = None):
@@ -45,7 +45,7 @@ def nations(spark, d) -> DataFrame:
 def supplier_month(spark, d, fill: float | None = 0.0) -> DataFrame:
     """Quantity shipped per supplier and month: (dataset, series_id, t, value)."""
     li = table(spark, d, "lineitem")
-    s = series_from_table(li, "l_suppkey", month_step("l_shipdate", START_YEAR), F.sum("l_quantity"), MONTHS, fill)
+    s = series_from_table(li, "l_suppkey", month_step("l_shipdate", START_YEAR), F.sum("l_quantity"), fill)
     return s.join(nations(spark, d).drop("cluster_id"), "series_id").select("dataset", "series_id", "t", "value")
 
 
@@ -63,7 +63,7 @@ def clustered_month(spark, d, fill: float | None = 0.0) -> DataFrame:
 def user_day(spark, d) -> DataFrame:
     """Mean event value per user and day, with natural gaps."""
     ev = table(spark, d, "events")
-    s = series_from_table(ev, "user_id", day_step("ts", START_DAY), F.avg("value"), DAYS)
+    s = series_from_table(ev, "user_id", day_step("ts", START_DAY), F.avg("value"))
     return s.select(F.lit("events").alias("dataset"), "series_id", "t", "value")
 
 
@@ -84,7 +84,7 @@ _CELLS = f"""cells AS (
 nat AS (SELECT s_suppkey AS series_id, n_name AS dataset, n_nationkey::BIGINT AS cluster_id
   FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 ids AS (SELECT DISTINCT series_id FROM cells),
-grid AS (SELECT series_id, t FROM ids CROSS JOIN (SELECT unnest(range({MONTHS})) AS t))"""
+grid AS (SELECT series_id, t FROM ids CROSS JOIN (SELECT unnest(range((SELECT min(t) FROM cells), (SELECT max(t) + 1 FROM cells))) AS t))"""
 
 SM = f"""{_CELLS},
 sm AS (SELECT dataset, g.series_id, g.t, coalesce(v, 0.0) AS value
@@ -95,7 +95,7 @@ sm AS (SELECT dataset, g.series_id, g.t, v AS value
   FROM grid g LEFT JOIN cells c ON c.series_id = g.series_id AND c.t = g.t JOIN nat ON nat.series_id = g.series_id)"""
 
 ASG = """asg AS (SELECT dataset, series_id,
-  CASE WHEN n > 15 THEN cluster_id * 1000000 + chunk - 1 ELSE cluster_id END AS cluster_id
+  cluster_id + (chunk - 1) * (max(cluster_id) OVER (PARTITION BY dataset) + 1) AS cluster_id
   FROM (SELECT *, CASE WHEN n <= 15 THEN 1 ELSE
       CASE WHEN pos - 1 < ex * (ea + 1) THEN (pos - 1) // (ea + 1) ELSE ex + (pos - 1 - ex * (ea + 1)) // ea END + 1 END AS chunk
     FROM (SELECT *, n // parts AS ea, n - (n // parts) * parts AS ex
@@ -111,7 +111,7 @@ CM_GAPS = f"{SM_GAPS}, {ASG}, cm AS (SELECT sm.*, asg.cluster_id FROM sm JOIN as
 UD = f"""ucell AS (SELECT user_id AS series_id, date_diff('day', DATE '{START_DAY}', ts::DATE) AS t, avg(value) AS v
   FROM events GROUP BY 1, 2),
 ud AS (SELECT 'events' AS dataset, g.series_id, g.t, v AS value FROM
-  (SELECT series_id, t FROM (SELECT DISTINCT series_id FROM ucell) CROSS JOIN (SELECT unnest(range({DAYS})) AS t)) g
+  (SELECT series_id, t FROM (SELECT DISTINCT series_id FROM ucell) CROSS JOIN (SELECT unnest(range((SELECT min(t) FROM ucell), (SELECT max(t) + 1 FROM ucell))) AS t)) g
   LEFT JOIN ucell c ON c.series_id = g.series_id AND c.t = g.t)"""
 
 ES = """es AS (SELECT 'embeddings' AS dataset, vec_id AS series_id, label::BIGINT AS cluster_id,

@@ -8,7 +8,6 @@ from gapmend.operators import series as S
 from gapmend.session import scratch_path
 from gapmend.sources import files, stages, tables
 
-HOURS = 720
 
 
 def type_hour(spark, d):
@@ -18,13 +17,13 @@ def type_hour(spark, d):
     ids = S.ranked(names, [], ["event_type"], F.ascii("event_type"), "id").select(
         "event_type", (F.col("id") - 1).alias("id"))
     hour = (tables.day_step("ts", "2024-01-01") * 24 + F.hour("ts")).cast("bigint")
-    return tables.series_from_table(ev.join(ids, "event_type"), "id", hour, F.count(F.lit(1)), HOURS, 0.0)
+    return tables.series_from_table(ev.join(ids, "event_type"), "id", hour, F.count(F.lit(1)), 0.0)
 
 
 TH = f"""ty AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS series_id FROM (SELECT DISTINCT event_type FROM events)),
 hc AS (SELECT series_id, date_diff('day', DATE '2024-01-01', ts::DATE) * 24 + hour(ts) AS t, count(*) AS v
   FROM events JOIN ty USING (event_type) GROUP BY 1, 2),
-th AS (SELECT ty.series_id, g.t, coalesce(v, 0)::DOUBLE AS value FROM ty CROSS JOIN (SELECT unnest(range({HOURS})) AS t) g
+th AS (SELECT ty.series_id, g.t, coalesce(v, 0)::DOUBLE AS value FROM ty CROSS JOIN (SELECT unnest(range((SELECT min(t) FROM hc), (SELECT max(t) + 1 FROM hc))) AS t) g
   LEFT JOIN hc ON hc.series_id = ty.series_id AND hc.t = g.t)"""
 
 
@@ -74,11 +73,10 @@ def _(spark, d):
     return tables.resolve_time_index(s).select("dataset", "series_id", "t", "ts")
 
 
-@query("all_datetimes", """SELECT lang, bool_and(try_strptime(substr(text, 1, 10), '%Y-%m-%d') IS NOT NULL) AS text_is_datetime
+@query("all_datetimes", """SELECT lang, bool_and(try_cast(text AS TIMESTAMP) IS NOT NULL) AS text_is_datetime
   FROM documents GROUP BY 1""")
 def _(spark, d):
-    docs = table(spark, d, "documents").select("lang", F.substring("text", 1, 10).alias("x"))
-    return tables.all_datetimes(docs, ["lang"], "x").withColumnRenamed("is_datetime", "text_is_datetime")
+    return tables.all_datetimes(table(spark, d, "documents"), ["lang"], "text").withColumnRenamed("is_datetime", "text_is_datetime")
 
 
 @query("dataset_filter", f"""WITH {SM} SELECT sm.dataset, series_id, t, value FROM sm

@@ -132,14 +132,13 @@ def _(spark, d):
         "dataset", "series_id", "cluster_id", "of_cluster")
 
 
-@query("series_outside_cluster_by_value", f"""WITH {UD}, a AS (SELECT dataset, series_id, t, round(value / 40) AS v FROM ud WHERE t < 6),
+@query("series_outside_cluster_by_value", f"""WITH {UD}, a AS (SELECT dataset, series_id, t, round(value, 6) AS v FROM ud),
   arr AS (SELECT dataset, series_id, list(v ORDER BY t) AS vals FROM a GROUP BY 1, 2),
   once AS (SELECT vals FROM arr GROUP BY vals HAVING count(*) = 1)
   SELECT dataset, series_id, series_id % 3 AS cluster_id, 0::BIGINT AS of_cluster FROM arr WHERE series_id % 3 <> 0 AND vals IN (SELECT vals FROM once)""")
 def _(spark, d):
     s = user_day(spark, d)
-    coarse = s.where("t < 6").withColumn("value", F.round(F.col("value") / 40))
-    arr = S.series_to_array(coarse)
+    arr = S.series_to_array(s.withColumn("value", F.round("value", 6)))
     asg = s.select("dataset", "series_id").distinct().withColumn("cluster_id", F.pmod("series_id", F.lit(3)).cast("bigint"))
     return S.series_outside_cluster(asg, asg.groupBy("dataset").agg(F.min("cluster_id").alias("cluster_id")), arr).select(
         "dataset", "series_id", "cluster_id", "of_cluster")

@@ -174,7 +174,7 @@ def _(spark, d):
     return R.fold_budget(folds(spark, d, 150), False)
 
 
-@query("early_elimination", f"""WITH {fs(150)}, m AS (SELECT pipeline_id, avg(f1) f FROM fs GROUP BY 1 HAVING count(*) >= 5)
+@query("early_elimination", f"""WITH {fs(150)}, m AS (SELECT pipeline_id, round(avg(f1), 12) f FROM fs GROUP BY 1 HAVING count(*) >= 5)
   SELECT pipeline_id, round(f, 6) AS mean_f1 FROM m WHERE f < (SELECT max(f) FROM m) - 0.15""")
 def _(spark, d):
     return rounded(R.early_elimination(folds(spark, d, 150)), "mean_f1")

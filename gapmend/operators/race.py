@@ -35,7 +35,8 @@ def fold_budget(folds: DataFrame, first_round: bool) -> DataFrame:
 
 def early_elimination(folds: DataFrame, margin: float = MARGIN) -> DataFrame:
     """Pipelines with at least five folds whose mean F1 is far below the best one."""
-    m = folds.groupBy("pipeline_id").agg(F.avg("f1").alias("mean_f1"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_FOLDS)
+    # twelve digits: the order of a sum must not decide a comparison
+    m = folds.groupBy("pipeline_id").agg(F.round(F.avg("f1"), 12).alias("mean_f1"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_FOLDS)
     best = m.agg(F.max("mean_f1").alias("best"))
     return m.join(best).where(F.col("mean_f1") < F.col("best") - margin).select("pipeline_id", "mean_f1")
 

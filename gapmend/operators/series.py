@@ -212,9 +212,10 @@ def global_cluster_id(assignment: DataFrame) -> DataFrame:
 def explode_large_clusters(assignment: DataFrame, max_series: int = 15) -> DataFrame:
     """Cut clusters above ``max_series`` into near-equal chunks, in id order.
 
-    The first (n mod chunks) chunks hold one series more. New ids are
-    ``cluster_id * 1000000 + chunk``.
+    The first (n mod chunks) chunks hold one series more. The first chunk keeps its cluster's id, chunk c
+    gets ``cluster_id + c * (largest id of the data set + 1)``, which no other cluster has.
     """
+    top = assignment.groupBy("dataset").agg((F.max("cluster_id") + 1).alias("stride"))
     sizes = assignment.groupBy("dataset", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
     pos = ranked(assignment, ["dataset", "cluster_id"], ["series_id"],
                  F.floor(F.col("series_id") / ID_BUCKET).cast("bigint"), "pos")
@@ -224,6 +225,6 @@ def explode_large_clusters(assignment: DataFrame, max_series: int = 15) -> DataF
     extra = F.col("n") - each * parts
     cut = extra * (each + 1)
     chunk = F.when(x < cut, F.floor(x / (each + 1))).otherwise(extra + F.floor((x - cut) / each))
-    return pos.join(sizes, ["dataset", "cluster_id"]).withColumn(
-        "cluster_id", F.when(F.col("n") > max_series, F.col("cluster_id") * 1000000 + chunk)
+    return pos.join(sizes, ["dataset", "cluster_id"]).join(top, "dataset").withColumn(
+        "cluster_id", F.when(F.col("n") > max_series, F.col("cluster_id") + chunk * F.col("stride"))
         .otherwise(F.col("cluster_id")).cast("bigint")).select("dataset", "series_id", "cluster_id")

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from gapmend.functions.columns import as_col
 
-MAP_GRID_STEPS = 20_000
-
 
 def month_step(ts, start_year: int) -> Column:
     """Months since January of ``start_year``."""
@@ -19,27 +17,28 @@ def day_step(ts, start: str) -> Column:
     return F.datediff(as_col(ts), F.lit(start).cast("date")).cast("bigint")
 
 
-def series_from_table(df: DataFrame, key, step: Column, value: Column, steps: int,
-                      fill: float | None = None) -> DataFrame:
-    """One dense series per key: ``(series_id, t, value)`` for t in [0, steps).
+def series_from_table(df: DataFrame, key, step: Column, value: Column, fill: float | None = None,
+                      span: tuple[int, int] | None = None) -> DataFrame:
+    """One dense series per key: ``(series_id, t, value)`` for every step from the first to the last
+    one of the table, or of ``span`` (both included; rows outside it are left out).
 
     ``step`` maps a row to its bucket and ``value`` is an aggregate. Cells without
-    rows are NULL (a gap) or ``fill``. Rows are pre-aggregated map-side, so a key
-    with most of the rows costs no more than ``steps`` rows per task.
+    rows are NULL (a gap) or ``fill``; rows without a step are left out. Rows are pre-aggregated
+    map-side, so a key with most of the rows costs no more than its steps per task. A series' cells are
+    sorted once and the gaps between neighbours filled, so the work is linear in its length.
     """
-    cells = (df.select(as_col(key).cast("bigint").alias("series_id"), step.alias("t"), "*")
-             .where(F.col("t").between(0, steps - 1))
+    lo, hi = span or df.agg(F.min(step), F.max(step)).first()
+    lo, hi = (0, -1) if lo is None else (lo, hi)
+    cells = (df.select(as_col(key).cast("bigint").alias("series_id"), step.cast("bigint").alias("t"), "*")
+             .where(F.col("t").between(lo, hi))
              .groupBy("series_id", "t").agg(value.cast("double").alias("value")))
-    grid = F.sequence(F.lit(0).cast("bigint"), F.lit(steps - 1).cast("bigint"))
-    if steps <= MAP_GRID_STEPS:
-        # a series is one map of at most `steps` cells: no join with the grid
-        packed = cells.groupBy("series_id").agg(
-            F.map_from_entries(F.collect_list(F.struct("t", "value"))).alias("cell"))
-        out = packed.select("series_id", "cell", F.explode(grid).alias("t")).select(
-            "series_id", "t", F.try_element_at("cell", F.col("t")).alias("value"))
-    else:
-        full = cells.select("series_id").distinct().select("series_id", F.explode(grid).alias("t"))
-        out = full.join(cells, ["series_id", "t"], "left")
+    gap = lambda n: F.array_repeat(F.lit(None).cast("double"), n.cast("int"))
+    packed = cells.groupBy("series_id").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("c"))
+    after = lambda i: F.coalesce(F.get("c", i + 1)["t"], F.lit(hi + 1))
+    filled = F.flatten(F.transform("c", lambda x, i: F.concat(F.array(x["value"]), gap(after(i) - x["t"] - 1))))
+    whole = F.concat(gap(F.get("c", F.lit(0))["t"] - lo), filled)
+    out = packed.select("series_id", F.posexplode(whole).alias("t", "value")).select(
+        "series_id", (F.col("t") + lo).cast("bigint").alias("t"), "value")
     return out if fill is None else out.withColumn("value", F.coalesce("value", F.lit(float(fill))))
 
 
