@@ -6,9 +6,10 @@ from gapmend.catalog.base import CM_GAPS, MONTHS, assignment, clustered_month, q
 from gapmend.catalog.q3_impute import ALGOS, BENCH, COLL, CTX, ERR, FILL, IMP, MK, VOTE, bench
 from gapmend.catalog.q8_training import rk
 from gapmend.catalog.q9_evaluate import MET, PR, RKC, RKM, TR, centroid_predictions, cls_sql, RND
-from gapmend.operators import baselines as X, bench as B, evaluate as E
+from gapmend.operators import baselines as X, bench as B, evaluate as E, training as T
 from gapmend.operators.features import stats
 from gapmend.plans import labeling as L, racing
+from gapmend.session import cut_lineage
 from gapmend.sources.tables import dataset_profile
 
 FE = """ft AS (SELECT dataset, cluster_id, series_id, unnest([{'feature': 'skewness', 'value': skewness(value)}, {'feature': 'kurtosis', 'value': kurtosis(value)}]) AS u
@@ -96,7 +97,10 @@ def _(spark, d):
     f = features(spark, d).unionByName(stats.counts(supplier_month(spark, d)))
     m = X.performance_matrix(B.rank_voting(bench(spark, d)), assignment(spark, d), f, TECH)
     vec = X._vector(f, ["dataset", "series_id"]).withColumnRenamed("vec", "features")
-    return rounded(racing.per_technique_regressor(m.join(vec, ["dataset", "series_id"]), TECH), "score")
+    rows = cut_lineage(m.join(vec, ["dataset", "series_id"]))
+    held = T.reserve_test_series(rows)
+    train, test = (rows.join(held, ["dataset", "series_id"], how) for how in ("left_anti", "left_semi"))
+    return rounded(racing.per_technique_regressor(train, test, TECH), "score")
 
 
 # rules that know only the classes below L8 are judged on the rows they can get right

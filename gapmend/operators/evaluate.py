@@ -1,6 +1,7 @@
 """Predictions, rankings and metrics.
 
-Predictions are long: (series_id, category, true_label, class, probability).
+Predictions are long: (series_id, category, true_label, class, probability), with the column
+``dataset`` where series of several data sets share ids; it is part of a row's key then.
 """
 
 from __future__ import annotations
@@ -15,10 +16,15 @@ ALL = "(all)"
 ROW = ["series_id", "category", "true_label"]
 
 
+def row_key(df: DataFrame) -> list[str]:
+    """The columns that tell one predicted series from another."""
+    return ["dataset", *ROW] if "dataset" in df.columns else ROW
+
+
 def soft_vote(predictions: list[DataFrame]) -> DataFrame:
     """Average the class probabilities of several models."""
     rows = reduce(DataFrame.unionByName, predictions)
-    return rows.groupBy(*ROW, "class").agg(F.avg("probability").alias("probability"))
+    return rows.groupBy(*row_key(rows), "class").agg(F.avg("probability").alias("probability"))
 
 
 def decision_to_proba(df: DataFrame, value: str = "decision") -> DataFrame:
@@ -30,12 +36,12 @@ def decision_to_proba(df: DataFrame, value: str = "decision") -> DataFrame:
 def predict_label(pred: DataFrame) -> DataFrame:
     """The most probable class; the first class wins a tie. No window is needed."""
     best = F.struct((-F.col("probability")).alias("o"), F.col("class").alias("c"))
-    return pred.groupBy(*ROW).agg(F.min(best)["c"].alias("predicted"))
+    return pred.groupBy(*row_key(pred)).agg(F.min(best)["c"].alias("predicted"))
 
 
 def rank_recommendations(pred: DataFrame) -> DataFrame:
     """Classes of each series by probability; the last class comes first in a tie."""
-    w = W.partitionBy("series_id").orderBy(F.desc("probability"), F.desc("class"))
+    w = W.partitionBy(*row_key(pred)[:-2]).orderBy(F.desc("probability"), F.desc("class"))
     return pred.withColumn("rank", F.row_number().over(w))
 
 
@@ -43,9 +49,10 @@ def true_rank(pred: DataFrame) -> DataFrame:
     """Rank of the true label per series, NULL (infinite) when no class matches."""
     p = F.col("probability")
     mine = F.max(F.when(F.col("class") == F.col("true_label"), p))
-    base = pred.groupBy(*ROW).agg(mine.alias("pt"), F.collect_list(F.struct(p.alias("p"), F.col("class").alias("c"))).alias("all"))
+    key = row_key(pred)
+    base = pred.groupBy(*key).agg(mine.alias("pt"), F.collect_list(F.struct(p.alias("p"), F.col("class").alias("c"))).alias("all"))
     ahead = F.size(F.filter("all", lambda x: (x["p"] > F.col("pt")) | ((x["p"] == F.col("pt")) & (x["c"] > F.col("true_label")))))
-    return base.select(*ROW, F.when(F.col("pt").isNotNull(), ahead + 1).alias("rank"))
+    return base.select(*key, F.when(F.col("pt").isNotNull(), ahead + 1).alias("rank"))
 
 
 def with_total(df: DataFrame, keys: list[str]) -> list:

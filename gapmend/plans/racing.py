@@ -146,7 +146,7 @@ def train_cv(df: DataFrame, specs: list[M.Spec], n_splits: int = 3):
 def recommend(models: list[M.Model], new: DataFrame, labels: list[str]) -> DataFrame:
     """Class probabilities of new series, averaged over the models: one column per class."""
     pred = E.soft_vote([m.predict(new) for m in models])
-    return pred.groupBy("series_id").pivot("class", labels).agg(F.first("probability"))
+    return pred.groupBy(*E.row_key(pred)[:-2]).pivot("class", labels).agg(F.first("probability"))
 
 
 def hyperparam_search(df: DataFrame, folds: int = 3) -> DataFrame:
@@ -162,14 +162,15 @@ def hyperparam_search(df: DataFrame, folds: int = 3) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "reg_param double, elastic_net double, f1 double")
 
 
-def per_technique_regressor(perf: DataFrame, techniques: list[str]) -> DataFrame:
-    """One regression of the performance on the features per technique; the technique
-    with the lowest predicted value is chosen. ``perf``: series_id, features, one
+def per_technique_regressor(train: DataFrame, test: DataFrame, techniques: list[str]) -> DataFrame:
+    """One regression of the performance on the features per technique, fitted on ``train``; for each row of
+    ``test`` the technique with the lowest predicted value is chosen. Both: series_id, features, one
     column per technique."""
-    # every regression reads the table, so it is computed once
-    data = cut_lineage(perf).withColumn("v", array_to_vector("features"))
+    # every regression reads the tables, so they are computed once
+    known = cut_lineage(train).withColumn("v", array_to_vector("features"))
+    data = cut_lineage(test).withColumn("v", array_to_vector("features"))
     for t in techniques:
-        model = LinearRegression(featuresCol="v", labelCol=t, predictionCol=f"p_{t}", regParam=0.01, solver="normal").fit(data)
+        model = LinearRegression(featuresCol="v", labelCol=t, predictionCol=f"p_{t}", regParam=0.01, solver="normal").fit(known)
         data = model.transform(data)
     best = F.least(*[F.struct(F.col(f"p_{t}").alias("o"), F.lit(t).alias("algorithm")) for t in techniques])
     truth = F.least(*[F.struct(F.col(t).alias("o"), F.lit(t).alias("algorithm")) for t in techniques])
