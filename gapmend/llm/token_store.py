@@ -22,7 +22,10 @@ BLOCK_BYTES = 1 << 20
 BUCKET_KEYS = 2000
 #: Bits per key still to be placed, on each level.
 GAMMA = 2
-MEMO_CHUNKS = 2_000_000
+#: Chunks remembered by a worker; later ones are encoded anew.
+MEMO_CHUNKS = 1_200_000
+#: Documents encoded together.
+TOGETHER = 200
 
 PAYLOAD = "shard int, block int, first bigint, n_ids bigint, wide boolean, doc_ids array<bigint>, lens array<bigint>, ids binary"
 INDEX = ("bucket bigint, n_keys int, sizes array<int>, bits binary, prints binary, shards array<int>, blocks array<int>, "
@@ -30,13 +33,14 @@ INDEX = ("bucket bigint, n_keys int, sizes array<int>, bits binary, prints binar
 
 
 def text_encoder(path: str):
-    """text -> ids as little-endian bytes, and whether they are 32 bits wide.
+    """list of texts -> list of ids as little-endian bytes, and whether they are 32 bits wide.
 
     The byte-level vocabulary splits text before every single blank between two visible characters,
     so chunks cut there are encoded once and remembered; a text with other white space next to
-    a blank is encoded whole. Strings of special tokens are ordinary text.
+    a blank is encoded whole. New chunks are encoded together in one string and cut apart again by
+    the bytes that each id stands for. Strings of special tokens are ordinary text.
     """
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     cache = worker_cache(f"tokens:{path}")
     if "tok" not in cache:
@@ -44,29 +48,49 @@ def text_encoder(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tok = Tokenizer.from_file(path)
         tok.encode_special_tokens = True
-        cache |= {"tok": tok, "memo": {}, "wide": tok.get_vocab_size() > 1 << 16}
-    tok, memo, wide = cache["tok"], cache["memo"], cache["wide"]
-    kind = "<u4" if wide else "<u2"
-
-    def raw(texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, kind).tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(text: str) -> bytes:
-        head, *rest = text.split(" ")
-        if head[-1:].isspace() or head[:1].isspace():
-            return raw([text])[0]
-        got = list(map(memo.get, rest))
-        if None in got:
-            new = list({w for w, g in zip(rest, got) if g is None})
-            if len(memo) > MEMO_CHUNKS:
-                memo.clear()
-            safe = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
-            memo.update(zip(safe, raw([" " + w for w in safe])))
-            memo.update((w, False) for w in set(new) - set(safe))
-            got = [memo[w] if w in memo else raw([" " + w])[0] for w in rest]
-        if False in got:
-            return raw([text])[0]
-        return b"".join([raw([head])[0] if head else b"", *got])
+        n = tok.get_vocab_size()
+        # a byte-level token's string has one character for each byte
+        plain = Tokenizer(tok.model)
+        plain.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
+        cache |= {"tok": tok, "plain": plain, "chunks": {}, "wide": n > 1 << 16, "bytes": np.array([len(tok.id_to_token(i) or "") for i in range(n)])}
+    tok, plain, chunks, wide, n_bytes = cache["tok"], cache["plain"], cache["chunks"], cache["wide"], cache["bytes"]
+    kind, width = ("<u4", 4) if wide else ("<u2", 2)
+
+    def whole(text: str) -> bytes:
+        return np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, kind).tobytes()
+
+    def cut(encoder, text: str, ends: np.ndarray) -> list[bytes]:
+        """The ids of ``text``, cut after the given numbers of bytes."""
+        ids = np.array(encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        cuts = [0, *(width * (np.searchsorted(np.cumsum(n_bytes[ids]), ends) + 1)).tolist()]
+        got = ids.astype(kind).tobytes()
+        return [got[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def encode_chunks(new: set[str]) -> dict[str, bytes | None]:
+        """None for a chunk with white space at an end, whose context matters. Plain words need no search for
+        boundaries; in the byte alphabet a blank is written as U+0120."""
+        safe = [w for w in new if w and not w[0].isspace() and not w[-1].isspace()]
+        out = dict.fromkeys(new) if len(safe) < len(new) else {}
+        easy = [w for w in safe if w.isascii() and w.isalpha()]
+        if easy:
+            out.update(zip(easy, cut(plain, "\n".join(["\u0120" + w for w in easy]), np.cumsum([1 + len(w) for w in easy]))))
+        hard = [w for w in safe if w not in out]
+        if hard:
+            out.update(zip(hard, cut(tok, " " + " ".join(hard), np.cumsum([1 + len(w.encode("utf-8", "surrogatepass")) for w in hard]))))
+        return out
+
+    def encode(texts: list[str]) -> list[bytes]:
+        split = [t.split(" ") for t in texts]
+        got = [list(map(chunks.get, s[1:])) for s in split]
+        found = encode_chunks({w for s, g in zip(split, got) if None in g for w, v in zip(s[1:], g) if v is None})
+        if len(chunks) < MEMO_CHUNKS:
+            chunks.update(x for x in found.items() if x[1] is not None)
+        out = []
+        for t, s, g in zip(texts, split, got):
+            if None in g:
+                g = [found[w] if v is None else v for w, v in zip(s[1:], g)]
+            out.append(whole(t) if None in g or s[0][-1:].isspace() else b"".join([whole(s[0]), *g]))
+        return out
 
     return encode, wide
 
@@ -92,14 +116,16 @@ def _writer(path: str, end_id: int | None):
             return out
 
         for b in batches:
-            for key, text in zip(b.column(0).to_pylist(), b.column(1)):
-                got = encode(text.as_py() or "") + end
-                ids.append(got)
-                docs.append(key)
-                lens.append(len(got) // width)
-                size += len(got)
-                if size >= BLOCK_BYTES:
-                    yield flush()
+            for i in range(0, b.num_rows, TOGETHER):
+                part = b.slice(i, TOGETHER)
+                for key, got in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()])):
+                    got += end
+                    ids.append(got)
+                    docs.append(key)
+                    lens.append(len(got) // width)
+                    size += len(got)
+                    if size >= BLOCK_BYTES:
+                        yield flush()
         if docs:
             yield flush()
     return run
