@@ -12,8 +12,8 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn until nothing changes; the number of rounds grows with the
     logarithm of the longest path. Each round is written to the shared folder. Minima combine
-    before their shuffle, and both sides of a join are read from files, so a node with very
-    many edges is split by adaptive execution. No edges give no rows.
+    before their shuffle, and a small table of minima is broadcast by Spark's own size check, so a
+    node with very many edges is no hot key. No edges give no rows.
     """
     e = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     last = None
@@ -23,9 +23,10 @@ def connected(edges: DataFrame) -> DataFrame:
             break
         last = state
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = staged(both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
-        large = staged(both.join(least, F.col("a") == F.col("n")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large")
-        small = staged(large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m")), "small")
-        moved = large.join(small, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        e = staged(moved.unionAll(small.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+        least = both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.min("a")).alias("m"))
+        large = both.join(least, F.col("a") == F.col("n")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = staged(large, "large")
+        small = large.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
+        moved = large.join(small, F.col("a") == F.col("n")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x"))
+        e = staged(moved.select("x.*").where("a <> b").distinct(), "edges")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(e.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

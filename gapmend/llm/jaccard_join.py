@@ -12,61 +12,108 @@ pairs remain, else around further pivots.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from gapmend.llm.common import staged, worker_cache
+from gapmend.llm.common import staged
 from gapmend.llm.components import connected
 
 SHINGLE = 5
 SIMILAR, OUT_OF = 80, 100
-MEMO_WORDS = 2_000_000
+#: Bytes of text hashed together.
+CHUNK_BYTES = 1 << 19
+#: Region keys that two linked sets have in common at least.
+COMMON = 8
 #: Shingles per task of the search for region keys that two classes share.
 KEYS_PER_BUCKET = 500_000
 #: Documents looked at to find frequent shingles, which come last in the order; it has no influence on the result.
-ORDER_SAMPLE = 4_000
+ORDER_SAMPLE = 10_000
 FREQUENT_IN_SAMPLE = 3
 MAX_FREQUENT = 500_000
 #: Buckets over which the keys of frequent shingles are spread.
 SPREAD = 64
+#: Parts of the shingle universe in a profile.
+PARTS = 256
+#: New pivots of a region in each further round.
+PIVOTS = 8
 #: Regions are joined directly when at most so many pairs per class remain.
 DIRECT_PAIRS = 20
+#: Profiles (280 bytes each) of at most so many classes are broadcast after they have been counted.
+SMALL_PROFILES = 100_000
 #: A side of at most so many rows is broadcast after it has been counted.
 SMALL_ROWS = 1_000_000
 
+NO_ID = (1 << 63) - 1
 POSTING = "token bigint, k bigint, n int"
 
 
-def shingle_set(text: str | None) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's five-word shingles; A-Z is lower-cased. A
-    shorter text is one shingle, one without words none."""
-    import xxhash
+@lru_cache(maxsize=1)
+def _tables(size: int):
+    """Byte values (A-Z like a-z), blanks, and powers of an odd number and of its inverse modulo 2^64."""
+    rng = np.random.default_rng(20_240_607)
+    value = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    value[65:91] = value[97:123]
+    blank = np.zeros(256, bool)
+    blank[[9, 10, 11, 12, 13, 32]] = True
+    p = 0x9E3779B97F4A7C15
+    power, inverse = (np.cumprod(np.r_[np.uint64(1), np.full(size, x, np.uint64)]) for x in (p, pow(p, -1, 1 << 64)))
+    return value, blank, power, inverse
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII letters; blanks \x20 \x09-\x0D
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < SHINGLE:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    memo = worker_cache("shingle-words")
-    got = list(map(memo.get, words))
-    if None in got:
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        for w in set(words):
-            memo[w] = xxhash.xxh64_digest(w)
-        got = [memo[w] for w in words]
-    w = np.frombuffer(b"".join(got), np.uint64)
-    h = w[:len(w) - SHINGLE + 1].copy()
-    for i in range(1, SHINGLE):
-        h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9)
-        h += w[i:len(w) - SHINGLE + 1 + i]
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(29))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0x94D049BB133111EB)
-    h ^= h >> np.uint64(29)
-    return np.unique(h)
+    return h ^ (h >> np.uint64(29))
+
+
+def _chunk_sets(raws: list[bytes]) -> list[np.ndarray]:
+    buf = np.frombuffer(b" ".join([b"", *raws, b""]), np.uint8)
+    size = CHUNK_BYTES
+    while size < len(buf):
+        size *= 2
+    value, blank, power, inverse = _tables(size)
+    # sums of byte value times power; a word's hash is a difference of two, moved to power 0
+    sums = np.cumsum(value[buf] * power[:len(buf)])
+    gap = blank[buf]
+    starts = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
+    ends = np.flatnonzero(~gap[:-1] & gap[1:])
+    w = _mixed((sums[ends] - sums[starts - 1]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    h = w[:max(0, len(w) - SHINGLE + 1)].copy()
+    for i in range(1, SHINGLE):
+        h = _mixed(h) + w[i:len(w) - SHINGLE + 1 + i]
+    h = _mixed(h)
+    first = np.searchsorted(starts, np.r_[0, np.cumsum([len(r) + 1 for r in raws])] + 1)
+    out = []
+    for a, b in zip(first.tolist(), first[1:].tolist()):
+        if b - a >= SHINGLE:
+            out.append(np.unique(h[a:b - SHINGLE + 1]))
+        elif b > a:
+            x = w[a:a + 1] + np.uint64(b - a)
+            for i in range(a + 1, b):
+                x = _mixed(x) + w[i:i + 1]
+            out.append(_mixed(x))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
+
+
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of each text's five-word shingles; A-Z is lower-cased. A
+    shorter text is one shingle, one without words none."""
+    out, raws, size = [], [], 0
+    for t in texts:
+        raw = (t or "").encode("utf-8", "surrogatepass")
+        if raws and size + len(raw) > CHUNK_BYTES - 2 * len(raws) - 4:
+            out += _chunk_sets(raws)
+            raws, size = [], 0
+        raws.append(raw)
+        size += len(raw)
+    return out + (_chunk_sets(raws) if raws else [])
 
 
 def class_key(s: np.ndarray) -> int:
@@ -78,23 +125,23 @@ def class_key(s: np.ndarray) -> int:
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [shingle_set(t.as_py()) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([class_key(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())],
-                                         names=["doc_id", "t", "k", "n"])
+        each = [(class_key(s), len(s)) for s in _in_parts(b.column(1))]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array([x[i] for x in each], pa.int64()) for i in (0, 1)]], names=["doc_id", "t", "k", "n"])
 
 
 def _sample_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        sets = [shingle_set(t.as_py()) for t in b.column(0)]
+        sets = shingle_sets(b.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([
             pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)),
             pa.array(np.repeat(np.array([class_key(s) for s in sets], np.int64), [len(s) for s in sets]))], names=["token", "k"])
 
 
 def prefix(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The region keys of a set: its first n - ceil(0.8 n) + 1 shingles, rare ones first; and
-    which of them are frequent."""
-    size = len(s) - -(-SIMILAR * len(s) // OUT_OF) + 1
+    """The region keys of a set: its first n - ceil(0.8 n) + COMMON shingles, rare ones first; and
+    which of them are frequent. Two sets with similarity 0.8 have COMMON of them in common (as many as
+    the smaller set can ask for, if it is tiny)."""
+    size = min(len(s), len(s) - -(-SIMILAR * len(s) // OUT_OF) + COMMON)
     if not len(frequent):
         return s[:size], np.zeros(size, bool)
     hot = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
@@ -102,13 +149,17 @@ def prefix(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return s[order], hot[order]
 
 
+def _in_parts(texts) -> Iterator[np.ndarray]:
+    for i in range(0, len(texts), 500):
+        yield from shingle_sets(texts.slice(i, 500).to_pylist())
+
+
 def _keys(frequent, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_list = frequent.value
         for b in batches:
             seen, tokens, hots, keys, sizes = set(), [], [], [], []
-            for t in b.column(0):
-                s = shingle_set(t.as_py())
+            for s in _in_parts(b.column(0)):
                 k = class_key(s)
                 if len(s) and k not in seen:
                     seen.add(k)
@@ -148,25 +199,35 @@ def _shared(buckets: int):
     return run
 
 
+def _lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, sets)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
+
+
+def profile(s: np.ndarray) -> np.ndarray:
+    """How many shingles fall into each of PARTS parts of the universe, 127 at most: the set's distances
+    to PARTS fixed pivots, up to a constant. The sum of differences of two profiles is at most
+    the size of the sets' symmetric difference."""
+    return np.minimum(np.bincount((s >> np.uint64(7)).astype(np.int64) % PARTS, minlength=PARTS), 127).astype(np.int8)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = [shingle_set(t.as_py()) for t in b.column(0)]
-        yield pa.RecordBatch.from_arrays([pa.array([class_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["k", "s"])
+    for whole in batches:
+        for i in range(0, whole.num_rows, 1000):
+            b = whole.slice(i, 1000)
+            sets = shingle_sets(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([class_key(s) for s in sets], pa.int64()), _lists(sets),
+                                              pa.array([profile(s) for s in sets], pa.list_(pa.int8()))], names=["first_id", "k", "s", "q"])
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        both = []
-        for x, y in zip(b.column(2), b.column(3)):
-            u, v = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-            if len(u) > len(v):
-                u, v = v, u
-            both.append(int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum()))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(both, pa.int64()), b.column(4), b.column(5)], names=["x", "y", "o", "nx", "ny"])
+def _small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    return F.broadcast(df) if df.count() <= rows else df
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+def _asked(n: Column) -> Column:
+    """How many region keys a set of n shingles has in common with any partner: COMMON, less only for
+    sets of a few shingles (a partner has 0.8 n at least, of which 0.8 are common)."""
+    return F.greatest(F.lit(1), F.least(F.lit(COMMON), F.floor(n * (SIMILAR / OUT_OF) ** 2).cast("int")))
 
 
 def _fits(a: str, b: str):
@@ -175,12 +236,34 @@ def _fits(a: str, b: str):
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x, y, d, linked) of pairs (x, y): exact Jaccard distance, and the integer test of the contract."""
-    left, right = sets.select(F.col("k").alias("x"), F.col("s").alias("sx")), sets.select(F.col("k").alias("y"), F.col("s").alias("sy"))
-    both = pairs.join(left, "x").join(right, "y").select("x", "y", "sx", "sy", (F.octet_length("sx") / 8).cast("bigint").alias("nx"), (F.octet_length("sy") / 8).cast("bigint").alias("ny"))
-    got = both.mapInArrow(_overlaps, "x bigint, y bigint, o bigint, nx bigint, ny bigint")
+    """(x, y, d, linked) of pairs (x, y): the integer test of the contract, and the exact Jaccard distance.
+
+    Profiles go first: they are small, and a pair whose profiles differ by more than a ninth of both
+    sizes together cannot reach 0.8; its d stays null. Whole sets meet for the other pairs only.
+    """
+    def side(c, *cols):
+        return sets.select(F.col("k").alias(c), *[F.col(v).alias(v + c) for v in cols])
+    apart = F.aggregate(F.zip_with("qx", "qy", lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda t, v: t + v)
+    tried = pairs.join(_small(side("x", "n", "q"), SMALL_PROFILES), "x").join(_small(side("y", "n", "q"), SMALL_PROFILES), "y").select(
+        "x", "y", ((OUT_OF + SIMILAR) * apart <= (OUT_OF - SIMILAR) * (F.col("nx") + F.col("ny"))).alias("near"))
+    tried = staged(tried, "tried")
+    got = tried.where("near").select("x", "y").join(side("x", "n", "s"), "x").join(side("y", "n", "s"), "y").select(
+        "x", "y", "nx", "ny", F.size(F.array_intersect("sx", "sy")).alias("o"))
     union = F.col("nx") + F.col("ny") - F.col("o")
-    return got.select("x", "y", (1 - F.col("o") / union).alias("d"), (OUT_OF * F.col("o") >= SIMILAR * union).alias("linked"))
+    exact = got.select("x", "y", (1 - F.col("o") / union).alias("d"), (OUT_OF * F.col("o") >= SIMILAR * union).alias("linked"))
+    return exact.unionAll(tried.where("NOT near").select("x", "y", F.lit(None).cast("double").alias("d"), F.lit(False).alias("linked")))
+
+
+def _windowed(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """``pairs`` without those that the triangle inequality rules out: distances of x and y to a
+    common pivot that differ by more than 0.2. One pivot of each, the one with the least number, is tried."""
+    ends = known.select(F.col("x").alias("k"), F.col("y").alias("p"), "d").unionAll(known.select(F.col("y").alias("k"), F.col("x").alias("p"), "d"))
+    one = staged(ends.where("d IS NOT NULL").groupBy("k").agg(F.min(F.struct("p", "d")).alias("w")).select("k", "w.p", "w.d"), "windows")
+    x = one.select(F.col("k").alias("x"), F.col("p").alias("px"), F.col("d").alias("dx"))
+    y = one.select(F.col("k").alias("y"), F.col("p").alias("py"), F.col("d").alias("dy"))
+    both = pairs.join(x, "x", "left").join(y, "y", "left")
+    far = (F.col("px") == F.col("py")) & (F.abs(F.col("dx") - F.col("dy")) > 0.2 + 1e-9)
+    return both.where(~F.coalesce(far, F.lit(False))).select("x", "y")
 
 
 def linked_classes(docs: DataFrame, heads: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -197,46 +280,64 @@ def linked_classes(docs: DataFrame, heads: DataFrame, text_col: str, id_col: str
     keyed = texts.mapInArrow(_keys(frequent, buckets), "bucket bigint, tokens binary, ks binary, ns binary")
     region = staged(keyed.groupBy("bucket").applyInPandas(_shared(buckets), POSTING), "regions")
 
+    def enough(r):
+        """Classes with as many shared keys as a link asks for."""
+        return r.groupBy("k", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= _asked(F.col("n"))).select("k")
+
+    for _ in range(2):
+        region = region.join(_small(staged(enough(region), "enough")), "k", "left_semi")
+        both = region.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+        region = staged(region.join(both, "token", "left_semi"), "regions")
+
     members = staged(region.select("k").distinct(), "members")
     chosen = heads.join(_small(members), "k", "left_semi").groupBy("k").agg(F.min("doc_id").alias("first_id"))
     chosen = staged(chosen.select("k", "first_id"), "chosen")
     # the first document of each member class; equal ids with other texts are sorted out by the class key
-    some = docs.select(F.col(id_col).alias("first_id"), F.col(text_col).alias("text")).join(_small(chosen.select("first_id").distinct()), "first_id", "left_semi")
-    sets = some.select("text").mapInArrow(_sets, "k bigint, s binary").join(_small(chosen.select("k")), "k", "left_semi")
-    sets = staged(sets.dropDuplicates(["k"]), "sets")
-
-    links, known, component = None, None, None
+    ids = chosen.select(F.coalesce("first_id", F.lit(NO_ID)).alias("first_id"), "k")
+    some = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("first_id"), F.col(text_col).alias("text"))
+    some = some.join(_small(ids.select("first_id").distinct()), "first_id", "left_semi")
+    sets = some.mapInArrow(_sets, "first_id bigint, k bigint, s array<bigint>, q array<tinyint>").join(_small(ids), ["first_id", "k"], "left_semi").select("k", F.size("s").alias("n"), "s", "q")
+    if not heads.groupBy("doc_id", "k").count().where("count > 1").isEmpty():
+        sets = sets.dropDuplicates(["k"])  # repeated rows
+    sets = staged(sets, "sets")
+
+    known = component = None
+    # the first pivot of a region is its least member
+    pivots = region.groupBy("token").agg(F.min(F.struct("k", "n")).alias("p")).select("token", F.col("p.k").alias("p"), F.col("p.n").alias("np"))
+    going = region
     while True:
-        pivots = staged(region.groupBy("token").agg(F.min(F.struct("k", "n")).alias("p")).select("token", F.col("p.k").alias("p"), F.col("p.n").alias("np")), "pivots")
-        around = region.join(pivots, "token")
-        pairs = around.where((F.col("k") != F.col("p")) & _fits("n", "np")).select(F.col("k").alias("x"), F.col("p").alias("y")).distinct()
+        pivots = staged(pivots, "pivots")
+        around = going.join(pivots, "token").where((F.col("k") != F.col("p")) & _fits("n", "np"))
+        pairs = around.select(F.least("k", "p").alias("x"), F.greatest("k", "p").alias("y")).distinct()
         fresh = pairs if known is None else pairs.join(known.select("x", "y"), ["x", "y"], "left_anti")
         dist = staged(_distances(fresh, sets), "distances")
         known = dist if known is None else known.unionAll(dist)
-        links = known.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        component = staged(connected(links), "component")
-
-        # regions with members of several components go on, without their pivot
-        label = F.coalesce("root", "k")
-        labelled = around.join(component.select(F.col("node").alias("k"), "root"), "k", "left").withColumn("c", label)
-        labelled = staged(labelled.select("token", "k", "n", "p", "c"), "labelled")
-        mixed = labelled.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("m")).where("c0 <> c1")
-        mixed = staged(mixed.select("token", "m"), "mixed")
-        total = mixed.agg(F.coalesce(F.sum(F.col("m") * F.col("m")), F.lit(0))).first()[0]
-        if not total:
+        component = staged(connected(known.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))), "component")
+
+        # a pivot has met all of its region and leaves it; a region with members of several components
+        # goes on, its largest component is the main one
+        rest = going.join(pivots.select("token", F.col("p").alias("k")), ["token", "k"], "left_anti")
+        named = rest.select("token", "k", "n").join(component.select(F.col("node").alias("k"), "root"), "k", "left").select("token", "k", "n", F.coalesce("root", "k").alias("c"))
+        parts = named.groupBy("token", "c").agg(F.count(F.lit(1)).alias("m"))
+        mixed = parts.groupBy("token").agg(F.max(F.struct("m", "c")).alias("main"), F.sum("m").alias("m")).where("main.m < m")
+        mixed = staged(mixed.select("token", F.col("main.c").alias("main"), "m", (F.col("m") - F.col("main.m")).alias("others")), "mixed")
+        todo = mixed.agg(F.coalesce(F.sum(F.col("m") * F.col("others")), F.lit(0))).first()[0]
+        if not todo:
             return component
-        going = labelled.join(mixed.select("token"), "token", "left_semi").where("k <> p")
-        going = going.join(known.select(F.col("x").alias("k"), F.col("y").alias("p"), "d"), ["k", "p"], "left")
-        going = staged(going.select("token", "k", "n", "c", "d"), "going")
-        if total <= DIRECT_PAIRS * n_docs:
+        going = staged(named.join(mixed.select("token", "main"), "token").select("token", "k", "n", "c", (F.col("c") != F.col("main")).alias("other")), "going")
+        if todo <= DIRECT_PAIRS * n_docs:
             break
-        region = going.select("token", "k", "n")
-    a = going.select("token", F.col("k").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), F.col("d").alias("dx"))
-    b = going.select("token", F.col("k").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("d").alias("dy"))
-    window = F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= 0.2 + 1e-9, F.lit(True))
-    pairs = a.join(b, "token").where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & window & _fits("nx", "ny")).select("x", "y").distinct()
-    done = known.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    more = staged(_distances(pairs.join(done, ["x", "y"], "left_anti"), sets), "distances")
+        # the next pivots: members outside the main component
+        place = F.row_number().over(Window.partitionBy("token").orderBy("k"))
+        pivots = going.where("other").withColumn("place", place).where(F.col("place") <= PIVOTS).select("token", F.col("k").alias("p"), F.col("n").alias("np"))
+    # a pair that no pivot has met shares all its keys here; each region counts it once
+    a = going.where("other").select("token", F.col("k").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
+    b = going.select("token", F.col("k").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("other").alias("oy"))
+    met = a.join(b, "token").where((F.col("cx") != F.col("cy")) & (~F.col("oy") | (F.col("x") < F.col("y"))) & _fits("nx", "ny"))
+    pairs = met.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("nx", "ny")).alias("n"))
+    pairs = pairs.where(F.col("c") >= _asked(F.col("n"))).select("x", "y")
+    pairs = staged(pairs.join(known.select("x", "y"), ["x", "y"], "left_anti"), "pairs")
+    more = staged(_distances(_windowed(pairs, known), sets), "distances")
     return connected(component.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(
         more.where("linked").select(F.col("x").alias("a"), F.col("y").alias("b"))))
 

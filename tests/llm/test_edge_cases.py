@@ -182,3 +182,15 @@ def test_held_out_accuracy(spark, scores, label, column, least):
     truth = spark.read.parquet(f"{sf}/labels.parquet")
     p = scores(spark.read.parquet(f"{sf}/documents.parquet"), truth).drop("toxic").join(truth, "doc_id").where("held_out").toPandas()
     assert ((p[column] >= 0.5) == (p[label] == 1)).mean() >= least
+
+
+def test_shingle_sets_cut_into_chunks(monkeypatch):
+    texts = [ROWS[0][1], "A b C d E f", "a B c D e F", "", None, "\t\n", "a b c", "A B C", "a b c d e", LONG[:30_000], "x\u00a0y z"]
+    whole = jaccard_join.shingle_sets(texts)
+    monkeypatch.setattr(jaccard_join, "CHUNK_BYTES", 16)
+    for a, b in zip(whole, jaccard_join.shingle_sets(texts)):
+        assert a.tolist() == b.tolist()
+    n = [len(x) for x in whole]
+    assert n[1:9] == [2, 2, 0, 0, 0, 1, 1, 1] and whole[1].tolist() == whole[2].tolist() and whole[6].tolist() == whole[7].tolist()
+    w = LONG[:30_000].split()
+    assert n[9] == len({tuple(w[i:i + 5]) for i in range(len(w) - 4)}) and n[10] == 1
