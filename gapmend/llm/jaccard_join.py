@@ -1,12 +1,13 @@
 """Exact Jaccard similarity join of documents in metric space, by pivots and distance windows.
 
 Documents with equal shingle sets form a class, and all work is done on classes. The first
-shingles of a set, in an order common to all, are its region keys: two sets with similarity 0.8 or more share one,
-so every link lies inside a region. In each region the members' distances to its pivot are
+shingles of a set, in an order common to all, are its region keys: two sets with similarity 0.8 or more share
+several, so every link lies inside a region. In each region the members' distances to its pivot are
 computed; what lies within 0.2 of the pivot is linked to it. Regions whose members are not
 all in one component yet go on: by the triangle inequality two members can only be linked if
-their distances to the pivot differ by at most 0.2, so only such windows are joined, directly if few
-pairs remain, else around further pivots.
+their distances to a common pivot differ by at most 0.2, so only such windows are joined, directly if few
+pairs remain, else around further pivots. Profiles, distances to fixed pivots, rule out most other pairs
+before whole sets are compared.
 """
 
 from __future__ import annotations
