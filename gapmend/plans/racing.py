@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer
@@ -17,6 +18,8 @@ from gapmend.operators import evaluate as E, models as M, race as R, training as
 from gapmend.session import cut_lineage
 
 PARALLEL = 4
+#: What a fit raises when its parameters do not fit the data (a singular matrix is a ValueError).
+PARAMETER_ERRORS = (IllegalArgumentException, ValueError)
 
 
 def score_fold(train: DataFrame, val: DataFrame, spec: M.Spec) -> dict | None:
@@ -32,7 +35,7 @@ def score_fold(train: DataFrame, val: DataFrame, spec: M.Spec) -> dict | None:
         finally:
             pred.unpersist()
         return {"pipeline_id": spec.id, "f1": float(f1), "r3": float(r3), "runtime": took}
-    except Exception as e:  # noqa: BLE001 - a misconfigured candidate leaves the race
+    except PARAMETER_ERRORS as e:  # a misconfigured candidate leaves the race; anything else, as a lost executor, ends it
         print(f"candidate {spec.id} ({spec.classifier}) leaves the race: {type(e).__name__}: {str(e)[:200]}")
         return None
 
@@ -50,6 +53,7 @@ def model_race(train: DataFrame, val: DataFrame, grid: DataFrame, n_start: int,
     rows = {r["pipeline_id"]: r for r in M.sample_candidates(grid, n_start).collect()}
     alive, scores, used = list(rows), [], set(rows)
     factor = (n_start / target) ** (1 / len(shares))
+    labels = F.array(*[F.lit(r["label"]) for r in train.select("label").distinct().orderBy("label").collect()])
     schema = "pipeline_id bigint, fold int, f1 double, r3 double, runtime double"
     try:
         for it in range(len(shares)):
@@ -65,20 +69,26 @@ def model_race(train: DataFrame, val: DataFrame, grid: DataFrame, n_start: int,
             done = {p: sum(s["pipeline_id"] == p for s in scores) for p in alive}
             budget = max(done.values()) + (next_folds if it else first_folds)
             part = subsets.where(F.col("iteration") == it).drop("iteration")
-            jobs, cached = [], []
+            jobs, cached = [], {}
             for p in alive:
                 k = budget - done[p]
-                # a fit reads its rows several times
-                folded = T.stratified_kfold(part, max(k, 2), salt=p % 97).persist()
-                cached.append(folded)
-                jobs += [(p, done[p] + f, folded.where(F.col("fold") != f).drop("fold")) for f in range(k)]
+                deal = (p % 97, max(k, 2))
+                if deal not in cached:
+                    folded = T.stratified_kfold(part, deal[1], salt=deal[0])
+                    # each class starts at its own fold: else the single members of a small share all lie in fold 0, and nothing is left to train on
+                    folded = folded.withColumn("fold", F.pmod(F.col("fold") + F.array_position(labels, F.col("label")), F.lit(deal[1])).cast("int"))
+                    # a fit reads its rows several times
+                    cached[deal] = folded.persist()
+                jobs += [(p, done[p] + f, deal, f) for f in range(k)]
             # folds of different pipelines alternate, so that early losers show early
             jobs.sort(key=lambda j: (j[1], j[0]))
             found, failed, lost = {}, set(), set()
 
             def run(job):
-                p, fold, data = job
-                return None if p in failed or p in lost else (p, fold, score_fold(data, val, M.spec_of(rows[p])))
+                p, fold, deal, f = job
+                if p in failed or p in lost:
+                    return None
+                return p, fold, score_fold(cached[deal].where(F.col("fold") != f).drop("fold"), val, M.spec_of(rows[p]))
 
             with ThreadPoolExecutor(PARALLEL) as pool:
                 for res in pool.map(run, jobs):
@@ -92,7 +102,7 @@ def model_race(train: DataFrame, val: DataFrame, grid: DataFrame, n_start: int,
                     full = {q: sum(x["f1"] for x in v) / len(v) for q, v in found.items() if len(v) >= R.MIN_FOLDS}
                     if p in full and full[p] < max(full.values()) - margin:
                         lost.add(p)
-            for folded in cached:
+            for folded in cached.values():
                 folded.unpersist()
             alive = [p for p in alive if p in found and p not in failed and p not in lost]
             scores += [s for p in alive for s in found[p]]
