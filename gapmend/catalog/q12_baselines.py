@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gapmend.catalog.base import CM_GAPS, MONTHS, assignment, clustered_month, query, rounded, supplier_month
+from gapmend.catalog.base import CM_GAPS, assignment, clustered_month, query, rounded, supplier_month
 from gapmend.catalog.q3_impute import ALGOS, BENCH, COLL, CTX, ERR, FILL, IMP, MK, VOTE, bench
 from gapmend.catalog.q8_training import rk
 from gapmend.catalog.q9_evaluate import MET, PR, RKC, RKM, TR, centroid_predictions, cls_sql, RND
@@ -42,7 +42,7 @@ def _(spark, d):
 def series_errors(spark, d):
     """RMSE of every single-series imputer on every series, over all shares; one data set."""
     one = supplier_month(spark, d, None).withColumn("cluster_id", F.col("series_id"))
-    return L.bench_table(one, MONTHS).groupBy("dataset", F.col("cluster_id").alias("series_id"), "algorithm").agg(F.avg("rmse").alias("error")).withColumn(
+    return L.bench_table(one).groupBy("dataset", F.col("cluster_id").alias("series_id"), "algorithm").agg(F.avg("rmse").alias("error")).withColumn(
         "dataset", F.concat(F.lit("g"), F.pmod("series_id", F.lit(4)).cast("string")))
 
 

@@ -42,11 +42,11 @@ BENCH = f"{CM_GAPS}, {MK}, {CTX}, {IMP}, {ERR}"
 
 
 def masked(spark, d):
-    return I.mask_miss_perc(clustered_month(spark, d, None), MONTHS)
+    return I.mask_miss_perc(clustered_month(spark, d, None))
 
 
 def bench(spark, d):
-    return L.bench_table(clustered_month(spark, d, None), MONTHS)
+    return L.bench_table(clustered_month(spark, d, None))
 
 
 @query("select_bench_series", f"""WITH {_CELLS}, {ASG}, sz AS (SELECT dataset, cluster_id, count(*) AS size FROM asg GROUP BY 1, 2),
@@ -157,7 +157,7 @@ def _(spark, d):
 
 @query("bench_errors_all")
 def _(spark, d):
-    return rounded(L.full_bench(clustered_month(spark, d, None), MONTHS), "mae", "mse", "rmse")
+    return rounded(L.full_bench(clustered_month(spark, d, None)), "mae", "mse", "rmse")
 
 
 for how, fn in (("mean", "avg"), ("median", "median"), ("sum", "sum"), ("min", "min"), ("max", "max")):
@@ -249,4 +249,4 @@ LABELS = f"lab AS (SELECT asg.dataset, asg.cluster_id, series_id, label FROM asg
 
 @query("label_clusters", f"WITH {BENCH}, {VOTE}, {COLL}, {MONO}, {LABELS} SELECT * FROM lab")
 def _(spark, d):
-    return L.label_clusters(clustered_month(spark, d, None), assignment(spark, d), MONTHS)
+    return L.label_clusters(clustered_month(spark, d, None), assignment(spark, d))

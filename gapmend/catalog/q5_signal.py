@@ -2,7 +2,7 @@
 
 import math
 
-from gapmend.catalog.base import ES, MONTHS, SM, embedding_series, query, rounded, supplier_month
+from gapmend.catalog.base import ES, SM, embedding_series, query, rounded, supplier_month
 from gapmend.catalog.q4_stats import G, P, feature, long_sql
 from gapmend.operators.features import acf as A, entropy as H, spectral as S
 
@@ -30,7 +30,7 @@ _w = "w AS (SELECT dataset, series_id, " + ", ".join(f"max(r) FILTER (WHERE k =
 feature("f_partial_autocorr", f"WITH {SM}, {XC}, {RHO}, {_w}, {levinson_sql('w', lambda k: f'r{k}', 6)} "
         + long_sql("l6", {"partial_autocorrelation__lag_0": "r0"} | {f"partial_autocorrelation__lag_{k}": f"p{k}" for k in range(1, 7)}), A.partial_autocorr)
 feature("f_ar", None, A.ar)
-feature("f_adf", None, lambda df: A.adf(df, MONTHS))
+feature("f_adf", None, lambda df: A.adf(df))
 
 _n = f"c AS (SELECT *, count(*) OVER p AS n FROM sm {P})"
 _cw = ", ".join(f"round(sum(value * cos(2 * pi() * {k} * t / n)), 9) + 0.0 AS re{k}, round(-sum(value * sin(2 * pi() * {k} * t / n)), 9) + 0.0 AS im{k}" for k in range(8))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -133,12 +135,18 @@ def adf_max_lag(n: int) -> int:
     return max(0, min(int(np.ceil(12.0 * (n / 100.0) ** 0.25)), n // 2 - 2))
 
 
-def adf(df: DataFrame, steps: int) -> DataFrame:
+def adf(df: DataFrame, steps: int | None = None) -> DataFrame:
     """Augmented Dickey-Fuller statistic and lag with the lowest AIC (constant term).
 
     All candidate lags are nested in one Gram matrix over the common sample; the
-    final fit adds the few rows that a shorter lag makes available.
+    final fit adds the few rows that a shorter lag makes available. Without ``steps`` the
+    lag bound follows the length of each data set.
     """
+    if steps is None:
+        sets = df.groupBy("dataset").agg((F.max("t") - F.min("t") + 1).alias("n")).collect()
+        lengths = {adf_max_lag(r["n"]): r["n"] for r in sets} or {0: 0}
+        parts = [adf(df.where(F.col("dataset").isin([r["dataset"] for r in sets if adf_max_lag(r["n"]) == top])), n) for top, n in sorted(lengths.items())]
+        return reduce(DataFrame.unionByName, parts)
     top = adf_max_lag(steps)
     c = centred(df).select(*K, "t", F.col("xc").alias("value"))
     width = top + 3

@@ -64,16 +64,19 @@ def select_bench_series(assignment: DataFrame, strategy: str = "RDM_FROM_DATASET
     return inside.unionByName(picked)
 
 
-def mask_miss_perc(df: DataFrame, steps: int, shares=SHARES, start: int = GAP_START) -> DataFrame:
+def mask_miss_perc(df: DataFrame, steps: int | None = None, shares=SHARES, start: int = GAP_START) -> DataFrame:
     """Hide a block of each share of the first series of every cluster.
 
-    ``df`` has cluster_id. Only the masked series are multiplied by the shares.
+    ``df`` has cluster_id. Only the masked series are multiplied by the shares. The
+    block starts ``start`` steps after the first step of the data set, whose length
+    gives the block's size unless ``steps`` does.
     """
     first = df.groupBy(*CLUSTER).agg(F.min("series_id").alias("series_id"))
-    one = df.join(first, [*CLUSTER, "series_id"], "left_semi")
+    span = df.groupBy("dataset").agg(F.min("t").alias("lo"), (F.max("t") - F.min("t") + 1).alias("len"))
+    one = df.join(first, [*CLUSTER, "series_id"], "left_semi").join(span, "dataset")
     many = one.withColumn("miss_perc", F.explode(F.array(*[F.lit(s) for s in shares])))
-    size = F.floor(F.lit(steps) * F.col("miss_perc") / 100)
-    hidden = (F.col("t") >= start) & (F.col("t") < start + size) & F.col("value").isNotNull()
+    size = F.floor((F.col("len") if steps is None else F.lit(steps)) * F.col("miss_perc") / 100)
+    hidden = (F.col("t") >= F.col("lo") + start) & (F.col("t") < F.col("lo") + start + size) & F.col("value").isNotNull()
     return many.select(*MASK, "t", "value", hidden.alias("hidden"))
 
 

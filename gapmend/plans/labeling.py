@@ -8,13 +8,13 @@ from gapmend.operators import bench as B, impute as I
 from gapmend.operators.series import propagate_cluster_label
 
 
-def bench_table(cells: DataFrame, steps: int, algorithms: list[str] | None = None) -> DataFrame:
+def bench_table(cells: DataFrame, steps: int | None = None, algorithms: list[str] | None = None) -> DataFrame:
     """Errors of the single-series imputers on every cluster."""
     masked = I.mask_miss_perc(cells, steps)
     return B.bench_errors(I.impute_simple(masked, algorithms))
 
 
-def full_bench(cells: DataFrame, steps: int, low_rank=("svdimp", "softimp", "svt", "cdrec_k2", "cdrec_k3")) -> DataFrame:
+def full_bench(cells: DataFrame, steps: int | None = None, low_rank=("svdimp", "softimp", "svt", "cdrec_k2", "cdrec_k3")) -> DataFrame:
     """Errors of every imputer."""
     masked = I.mask_miss_perc(cells, steps)
     runs = [I.impute_simple(masked), I.impute_regression(masked, cells), I.impute_knn_series(masked, cells),
@@ -26,7 +26,7 @@ def full_bench(cells: DataFrame, steps: int, low_rank=("svdimp", "softimp", "svt
     return B.bench_errors(out)
 
 
-def label_clusters(cells: DataFrame, assignment: DataFrame, steps: int) -> DataFrame:
+def label_clusters(cells: DataFrame, assignment: DataFrame, steps: int | None = None) -> DataFrame:
     """Mask, impute, score, rank by vote, label and give each series its label."""
     ranking = B.collapse_variants(B.rank_voting(bench_table(cells, steps)))
     return propagate_cluster_label(B.label_mono(ranking), assignment)
