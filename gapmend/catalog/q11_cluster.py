@@ -68,7 +68,7 @@ def _(spark, d):
 @query("kshape")
 def _(spark, d):
     arr = C.z_arrays(embedding_series(spark, d)).select("dataset", "series_id", "vals", F.lit(10).cast("bigint").alias("k"), F.lit(0).alias("seed"))
-    return C.kshape(arr, ["dataset"])
+    return C.kshape(arr, ["dataset"], flag=True)
 
 
 @query("kmeans_series")
@@ -78,19 +78,19 @@ def _(spark, d):
 
 @query("incremental_cluster")
 def _(spark, d):
-    return C.incremental_cluster(by_region(spark, d), accept=0.2, accept_all=0.5, max_rounds=4)
+    return C.incremental_cluster(by_region(spark, d), accept=0.2, accept_all=0.5)
 
 
 @query("merge_clusters")
 def _(spark, d):
     full = nation_clusters(spark, d)
-    return C.merge_clusters(full, full.select("dataset", "series_id", "cluster_id").distinct(), THR, max_rounds=2)
+    return C.merge_clusters(full, full.select("dataset", "series_id", "cluster_id").distinct(), THR)
 
 
 @query("merge_clusters_ratio")
 def _(spark, d):
     full = nation_clusters(spark, d)
-    return C.merge_clusters_ratio(full, full.select("dataset", "series_id", "cluster_id").distinct(), THR, max_rounds=2)
+    return C.merge_clusters_ratio(full, full.select("dataset", "series_id", "cluster_id").distinct(), THR)
 
 
 @query("merge_small_clusters")
@@ -107,7 +107,7 @@ def _(spark, d):
 
 @query("cluster_gridsearch")
 def _(spark, d):
-    return rounded(C.cluster_gridsearch(by_region(spark, d), [2, 3, 4]), "score")
+    return rounded(C.cluster_gridsearch(by_region(spark, d)), "score")
 
 
 @query("best_rerun")
@@ -117,4 +117,4 @@ def _(spark, d):
 
 @query("cluster_all")
 def _(spark, d):
-    return C.cluster_all(by_region(spark, d), 3)
+    return C.cluster_all(by_region(spark, d), accept=0.2, accept_all=0.5, threshold=THR)

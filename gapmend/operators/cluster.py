@@ -6,6 +6,8 @@ one job, and its small state is checkpointed.
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -15,12 +17,15 @@ from pyspark.sql import DataFrame, functions as F
 from gapmend.functions.columns import SERIES, div, pearson
 from gapmend.operators.blocks import ranked
 from gapmend.operators.correlate import (_ncc_rows, block_pairs, key_schema, mean_corr, mean_ncc, mean_ncc_arrays)
-from gapmend.operators.series import explode_large_clusters, global_cluster_id, series_to_array, znormalize
+from gapmend.operators.series import ID_BUCKET, explode_large_clusters, global_cluster_id, series_to_array, znormalize
 from gapmend.session import cut_lineage
+from gapmend.sources.tables import dataset_profile
 
 CLUSTER = ["dataset", "cluster_id"]
 SIMILAR, FAR = 0.55, 0.4
 MIN_SERIES, MAX_SERIES = 5, 15
+# a bound for runs whose labels never settle
+KSHAPE_ROUNDS = 100
 # fixed values: complexity bounds and number of cluster counts to try
 GRID_TESTS = [(50_000, 20), (100_000, 16), (150_000, 13), (200_000, 9), (float("inf"), 6)]
 GRID_RUNS = {"small": 6, "medium": 4, "large": 3}
@@ -38,8 +43,10 @@ def z_arrays(df: DataFrame) -> DataFrame:
     return series_to_array(z.withColumn("value", F.coalesce("value", F.lit(0.0))))
 
 
-def kshape(arrays: DataFrame, keys: list[str], rounds: int = 4) -> DataFrame:
-    """k-Shape per group: (keys, series_id, cluster_id).
+def kshape(arrays: DataFrame, keys: list[str], rounds: int = KSHAPE_ROUNDS, flag: bool = False) -> DataFrame:
+    """k-Shape per group: (keys, series_id, cluster_id), and with ``flag`` also converged.
+
+    Rounds go on until no label changes; after ``rounds`` rounds a group whose labels still changed in the last round is not converged.
 
     ``arrays``: keys, series_id, vals, k, seed. Series go to the centroid with the best
     cross-correlation over all shifts. A centroid moves one power step per round
@@ -78,6 +85,8 @@ def kshape(arrays: DataFrame, keys: list[str], rounds: int = 4) -> DataFrame:
             res[k] = val
         return res[cols]
 
+    labels = state.select(*keys, "series_id", "cluster_id").limit(0)
+    settled, every = labels, side
     for _ in range(rounds):
         summed = state.select(*keys, "cluster_id", F.posexplode("push").alias("i", "v")).groupBy(*keys, "cluster_id", "i").agg(F.sum("v").alias("v"))
         cents = summed.groupBy(*keys, "cluster_id").agg(F.transform(
@@ -87,8 +96,16 @@ def kshape(arrays: DataFrame, keys: list[str], rounds: int = 4) -> DataFrame:
         cents = cut_lineage(cents.select(*keys, F.col("cluster_id").alias("bid"), F.transform("vec", lambda x: x / F.col("norm")).alias("vec")))
         found = block_pairs(side, cents, keys, assign, f"{head}, series_id bigint, ncc double, cluster_id bigint, push array<double>")
         best = F.max_by(F.struct("cluster_id", "push"), F.struct("ncc", (-F.col("cluster_id")).alias("c")))
-        state = found.groupBy(*keys, "series_id").agg(best.alias("b")).select(*keys, "series_id", "b.cluster_id", "b.push")
-    return state.select(*keys, "series_id", "cluster_id")
+        state = cut_lineage(found.groupBy(*keys, "series_id").agg(best.alias("b")).select(*keys, "series_id", "b.cluster_id", "b.push"))
+        old, labels = labels, state.select(*keys, "series_id", "cluster_id")
+        moved = cut_lineage(labels.join(old, [*keys, "series_id", "cluster_id"], "left_anti").select(*keys).distinct())
+        settled = cut_lineage(settled.unionByName(labels.join(moved, keys, "left_anti")))
+        labels, state, side = (x.join(moved, keys, "left_semi") for x in (labels, state, every))
+        if moved.isEmpty():
+            break
+    if flag:
+        settled, labels = settled.withColumn("converged", F.lit(True)), labels.withColumn("converged", F.lit(False))
+    return settled.unionByName(labels)
 
 
 def kmeans_series(df: DataFrame, k: int, seed: int = 7) -> DataFrame:
@@ -105,28 +122,30 @@ def _named_by_first(labels: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def incremental_cluster(df: DataFrame, accept: float = 0.75, accept_all: float = 0.9, k_share: float = 0.2,
-                        patience: int = 5, max_rounds: int = 20, split_rounds: int = 2) -> DataFrame:
+                        patience: int = 5, max_rounds: int | None = None, split_rounds: int = KSHAPE_ROUNDS, start: DataFrame | None = None) -> DataFrame:
     """Refine clusters until each is correlated enough, without a given k.
 
     Every round scores all open clusters at once. A cluster is accepted when it has one
     member or a mean correlation of at least ``accept`` (``accept_all`` in the first
     round); two members are separated; others are split in max(2, n * k_share) parts.
     Clusters that keep failing get more parts and, after 15 * patience failures, an
-    even/odd split. The failure count belongs to a lineage of clusters.
+    split in every other member, which ends the loop. The failure count belongs to a lineage of clusters.
+    ``start`` has clusters to begin with, else each data set is one. Clusters still open after a given
+    ``max_rounds`` are not converged.
     """
     z = z_arrays(df)
     z = cut_lineage(z)
     cells = df.select(*SERIES, "t", "value")
-    open_ = cut_lineage(z.groupBy("dataset").agg(F.min("series_id").alias("cluster_id")).join(z.select(*SERIES), "dataset").select(
-        *SERIES, "cluster_id", F.lit(0).alias("fails")))
+    one = z.groupBy("dataset").agg(F.min("series_id").alias("cluster_id")).join(z.select(*SERIES), "dataset")
+    open_ = cut_lineage((one if start is None else start).select(*SERIES, "cluster_id", F.lit(0).alias("fails")))
     done = None
-    for rnd in range(max_rounds):
+    for rnd in count() if max_rounds is None else range(max_rounds):
         score = mean_corr(cells.join(open_.select(*SERIES, "cluster_id"), SERIES)).withColumn("score", F.coalesce("mean_corr", F.lit(0.0)))
         need = accept_all if rnd == 0 else accept
         verdict = F.when((F.col("n_series") == 1) | (F.col("score") >= need), "accept").when(F.col("n_series") == 2, "single").otherwise("split")
         state = cut_lineage(open_.join(score.select(*CLUSTER, "n_series", verdict.alias("verdict")), CLUSTER))
         ok = state.where("verdict <> 'split'").select(*SERIES, F.when(F.col("verdict") == "single", F.col("series_id")).otherwise(
-            F.col("cluster_id")).alias("cluster_id"))
+            F.col("cluster_id")).alias("cluster_id"), F.lit(True).alias("converged"))
         done = ok if done is None else done.unionByName(ok)
         rest = state.where("verdict = 'split'").withColumn("fails", F.col("fails") + 1)
         if rest.isEmpty():
@@ -135,15 +154,16 @@ def incremental_cluster(df: DataFrame, accept: float = 0.75, accept_all: float =
         boost = F.when(F.col("fails") >= patience, k + F.floor(F.col("fails") / (patience - 1)) * k).otherwise(k)
         rest = rest.withColumn("k", F.least(boost, F.col("n_series")).cast("bigint"))
         stuck = rest.where(F.col("fails") >= 15 * patience).select("dataset", "cluster_id", "series_id", "fails")
-        # the k-th member decides: even and odd ids of a stuck cluster part
-        halves = stuck.select("dataset", F.col("cluster_id").alias("parent"), "series_id", F.pmod("series_id", F.lit(2)).cast("bigint").alias("cluster_id"))
+        # even and odd members of a stuck cluster part; by position, as its ids may all be even
+        halves = ranked(stuck.withColumnRenamed("cluster_id", "parent"), ["dataset", "parent"], ["series_id"], F.floor(F.col("series_id") / ID_BUCKET).cast("bigint"), "pos").select(
+            "dataset", "parent", "series_id", F.pmod("pos", F.lit(2)).cast("bigint").alias("cluster_id"))
         arr = rest.where(F.col("fails") < 15 * patience).join(z, SERIES).select(
             "dataset", F.col("cluster_id").alias("parent"), "series_id", "vals", "k", F.lit(rnd).alias("seed"))
         parts = kshape(arr, ["dataset", "parent"], split_rounds).unionByName(halves)
         named = _named_by_first(parts, ["dataset", "parent"])
         open_ = cut_lineage(named.join(rest.select(*SERIES, "fails"), SERIES))
     # out of rounds: what is open stays as it is
-    return done.unionByName(open_.select(*SERIES, "cluster_id"))
+    return done.unionByName(open_.select(*SERIES, "cluster_id", F.lit(False).alias("converged")))
 
 
 # --- merging ------------------------------------------------------------------------
@@ -228,7 +248,7 @@ def _relabel(assignment: DataFrame, moves: DataFrame) -> DataFrame:
     return assignment.join(m, CLUSTER, "left").select("dataset", "series_id", F.coalesce("dst", "cluster_id").alias("cluster_id"))
 
 
-def merge_clusters(df: DataFrame, assignment: DataFrame, threshold: float = SIMILAR, far: float = FAR, max_rounds: int = 10) -> DataFrame:
+def merge_clusters(df: DataFrame, assignment: DataFrame, threshold: float = SIMILAR, far: float = FAR, max_rounds: int | None = None) -> DataFrame:
     """Merge similar clusters with positive gain, round by round; then move series far
     from their centroid to the cluster with the best positive gain.
 
@@ -236,7 +256,8 @@ def merge_clusters(df: DataFrame, assignment: DataFrame, threshold: float = SIMI
     """
     cells = df.select(*SERIES, "t", "value")
     asg = cut_lineage(assignment.select(*SERIES, "cluster_id"))
-    for _ in range(max_rounds):
+    # each round merges at least one pair, so the loop ends
+    for _ in count() if max_rounds is None else range(max_rounds):
         pairs = similar_clusters(cluster_stats(cells.join(asg, SERIES)), threshold).where("gain > 0")
         moves = cut_lineage(_matched(pairs, "gain"))
         if moves.isEmpty():
@@ -274,12 +295,13 @@ def _move_far(cells: DataFrame, asg: DataFrame, far: float) -> DataFrame:
 
 
 def merge_clusters_ratio(df: DataFrame, assignment: DataFrame, threshold: float = SIMILAR, ratio: float = 0.80,
-                         ratio_single: float = 0.75, max_rounds: int = 10) -> DataFrame:
+                         ratio_single: float = 0.75, max_rounds: int | None = None) -> DataFrame:
     """Older rule: merge when the mean correlation of the union is at least ``ratio`` of
     the other cluster's, best difference first."""
     cells = df.select(*SERIES, "t", "value")
     asg = cut_lineage(assignment.select(*SERIES, "cluster_id"))
-    for _ in range(max_rounds):
+    # each round merges at least one pair, so the loop ends
+    for _ in count() if max_rounds is None else range(max_rounds):
         p = similar_clusters(cluster_stats(cells.join(asg, SERIES)), threshold)
         need = lambda n: F.when(F.col(n) > 1, ratio).otherwise(ratio_single)
         into_b = div("phi_union", "phi_b") >= need("n_b")
@@ -292,7 +314,7 @@ def merge_clusters_ratio(df: DataFrame, assignment: DataFrame, threshold: float
     return asg
 
 
-def merge_small_clusters(df: DataFrame, assignment: DataFrame, least: int = MIN_SERIES, max_rounds: int = 4) -> DataFrame:
+def merge_small_clusters(df: DataFrame, assignment: DataFrame, least: int = MIN_SERIES, max_rounds: int | None = None) -> DataFrame:
     """Join clusters with fewer than ``least`` series to the sibling that gains most in
     mean cross-correlation, among those that make the union large enough.
 
@@ -303,7 +325,8 @@ def merge_small_clusters(df: DataFrame, assignment: DataFrame, least: int = MIN_
     cells = df.select(*SERIES, "t", "value")
     arr = cut_lineage(series_to_array(cells))
     asg = cut_lineage(assignment.select(*SERIES, "cluster_id"))
-    for _ in range(max_rounds):
+    # each round merges at least one pair, so the loop ends
+    for _ in count() if max_rounds is None else range(max_rounds):
         full = arr.join(asg, SERIES)
         sizes = asg.groupBy(*CLUSTER).agg(F.count(F.lit(1)).alias("n"))
         ncc = mean_ncc_arrays(full, CLUSTER).join(sizes, CLUSTER)
@@ -333,7 +356,9 @@ def merge_small_clusters(df: DataFrame, assignment: DataFrame, least: int = MIN_
         # a cluster that moves cannot receive in the same round; of a mutual pair the larger id moves
         busy = pick.select("dataset", F.col("src").alias("dst"), F.col("dst").alias("next"))
         go = pick.join(busy, ["dataset", "dst"], "left").where("next IS NULL OR (next = src AND src > dst)").select("dataset", "src", "dst")
-        moves = cut_lineage(go)
+        # where all wait for each other in a ring, the smallest goes
+        ring = pick.join(go.select("dataset").distinct(), "dataset", "left_anti").groupBy("dataset").agg(F.min(F.struct("src", "dst")).alias("m")).select("dataset", "m.*")
+        moves = cut_lineage(go.unionByName(ring))
         if moves.isEmpty():
             break
         asg = cut_lineage(_relabel(asg, moves))
@@ -379,12 +404,17 @@ def run_scores(df: DataFrame, runs: DataFrame) -> DataFrame:
         F.when(F.min("pairs") == 0, 0.0).otherwise(F.avg("mean_ncc")).alias("score"), F.count(F.lit(1)).alias("n_clusters"))
 
 
-def cluster_gridsearch(df: DataFrame, ks: list[int], seeds: int = 2, rounds: int = 3, enough: float = 0.95) -> DataFrame:
+def cluster_gridsearch(df: DataFrame, ks: list[int] | None = None, seeds: int | None = None, rounds: int = KSHAPE_ROUNDS, enough: float = 0.95) -> DataFrame:
     """The k with the best average run score per data set. Data sets whose mean
-    cross-correlation reaches ``enough`` need no clusters (k = 1)."""
+    cross-correlation reaches ``enough``, or that are too small to part, need no clusters
+    (k = 1). Counts and runs follow ``gridsearch_range`` and ``nb_runs`` unless given."""
+    profile = dataset_profile(df)
+    tries = gridsearch_range(profile).select("dataset", "ks") if ks is None else profile.select("dataset", F.array(*[F.lit(k).cast("bigint") for k in ks]).alias("ks"))
+    tries = tries.join(nb_runs(profile) if seeds is None else profile.select("dataset", F.lit(seeds).alias("runs")), "dataset")
     whole = mean_ncc(df, ["dataset"]).withColumn("easy", F.col("mean_ncc") >= enough)
-    plan = whole.where("NOT easy").select("dataset", F.explode(F.array(*[F.lit(k).cast("bigint") for k in ks])).alias("k")).withColumn(
-        "seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    whole = whole.join(tries, "dataset").withColumn("easy", F.coalesce("easy", F.lit(False)) | (F.size("ks") == 0))
+    plan = whole.where("NOT easy").select("dataset", "runs", F.explode("ks").alias("k")).select(
+        "dataset", "k", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("seed"))
     runs = cut_lineage(_runs(df, plan, rounds))
     per_k = run_scores(df, runs).groupBy("dataset", "run_k").agg(F.avg("score").alias("score"))
     best = per_k.groupBy("dataset").agg(F.max_by(F.struct(F.col("run_k").alias("k"), "score"), F.struct(F.round("score", 9), (-F.col("run_k")).alias("o"))).alias("b"))
@@ -392,15 +422,26 @@ def cluster_gridsearch(df: DataFrame, ks: list[int], seeds: int = 2, rounds: int
     return hard.unionByName(whole.where("easy").select("dataset", F.lit(1).cast("bigint").alias("k"), F.col("mean_ncc").alias("score")))
 
 
-def best_rerun(df: DataFrame, k: int, seeds: int = 3, rounds: int = 3) -> DataFrame:
-    """Of several runs with different starts, the assignment of the best scored one."""
-    plan = df.select("dataset").distinct().select("dataset", F.lit(k).cast("bigint").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).alias("seed"))
+def best_rerun(df: DataFrame, k: int | DataFrame, seeds: int | None = None, rounds: int = KSHAPE_ROUNDS) -> DataFrame:
+    """Of several runs with different starts, the assignment of the best scored one.
+
+    ``k`` is one number or a table (dataset, k); the number of runs follows ``nb_runs`` unless given.
+    """
+    profile = dataset_profile(df)
+    runs = nb_runs(profile, FINAL_RUNS) if seeds is None else profile.select("dataset", F.lit(seeds).alias("runs"))
+    counts = k.select("dataset", "k") if isinstance(k, DataFrame) else profile.select("dataset", F.lit(k).cast("bigint").alias("k"))
+    plan = runs.join(counts, "dataset").select("dataset", "k", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("seed"))
     runs = cut_lineage(_runs(df, plan, rounds))
     best = run_scores(df, runs).groupBy("dataset").agg(F.max_by("run_seed", F.struct(F.round("score", 9), (-F.col("run_seed")).alias("o"))).alias("run_seed"))
     return runs.join(best, ["dataset", "run_seed"], "left_semi").select(*SERIES, "cluster_id")
 
 
-def cluster_all(df: DataFrame, k: int, rounds: int = 4) -> DataFrame:
-    """Cluster all data sets in the same rounds and number the clusters globally."""
-    arr = z_arrays(df).select("dataset", "series_id", "vals", F.lit(k).cast("bigint").alias("k"), F.lit(0).alias("seed"))
-    return global_cluster_id(kshape(arr, ["dataset"], rounds)).select(*SERIES, F.col("global_cluster_id").alias("cluster_id"))
+def cluster_all(df: DataFrame, accept: float = 0.75, accept_all: float = 0.9, threshold: float = SIMILAR) -> DataFrame:
+    """Cluster all data sets in the same rounds: search k, keep the best rerun, refine,
+    merge, constrain, and number the clusters globally."""
+    df = cut_lineage(df)
+    first = best_rerun(df, cluster_gridsearch(df))
+    fine = incremental_cluster(df, accept, accept_all, start=first)
+    merged = merge_clusters(df, fine.drop("converged"), threshold)
+    out = apply_constraints(df, merged)
+    return global_cluster_id(out.select(*SERIES, "cluster_id")).select(*SERIES, F.col("global_cluster_id").alias("cluster_id"))
