@@ -8,6 +8,9 @@ all in one component yet go on: by the triangle inequality two members can only
 their distances to a common pivot differ by at most 0.2, so only such windows are joined, directly if few
 pairs remain, else around further pivots. Profiles, distances to fixed pivots, rule out most other pairs
 before whole sets are compared.
+
+The result is the connected components only: links inside a component are tested no further than
+connectivity needs, so neither all linked pairs nor numbers of links per document can be taken from it.
 """
 
 from __future__ import annotations
