@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gapmend.llm import compression, decontaminate, host_rules, jaccard_join, merkle, mixing, secret_scan, suffix_dedup, token_store, toxicity
-from gapmend.llm.common import table
+from gapmend.llm import (compression, decontaminate, host_rules, jaccard_join, merkle, mixing, piece_bpe, prefix_trie, runs, secret_scan,
+                         suffix_dedup, token_store, toxicity)
+from gapmend.llm.common import staged, table, words
 from gapmend.session import scratch_path
 
 QUERIES: dict = {}
@@ -191,3 +192,101 @@ def op6(spark, d):
 @query("op7_suffix_dedup")
 def op7(spark, d):
     return suffix_dedup.removals(table(spark, d, "documents"))
+
+
+#: crc32 of the decimal text of c in DuckDB, bit by bit: a byte is xored in, -1 shifts by one bit
+SQL_CRC32 = ("xor(list_reduce(flatten([[4294967295], flatten(list_transform(string_split({c}::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))]), "
+             "lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)")
+
+OP11_SQL = r"""
+WITH o AS (SELECT row_number() OVER () AS rid, doc_id, """ + SQL_WORDS.format(t="coalesce(text, '')") + " AS w, " + SQL_CRC32.format(c="coalesce(doc_id, 1)") + r""" AS h FROM documents),
+g AS (SELECT rid, doc_id, w, len(w) AS n, h, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a,
+        CASE WHEN len(w) > 0 THEN 1 + (len(w) - (h // 10) % len(w)) // (3 + (h // 10) % 8) END AS p FROM o),
+d AS (SELECT rid, doc_id, CASE WHEN h % 10 = 0 AND n > 0 AND doc_id IS NOT NULL
+        THEN list_transform(range(0, n), lambda i: CASE WHEN i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END) ELSE w END AS w FROM g),
+f AS (SELECT rid, unnest(range(0, len(w) - 4)) AS i, w FROM d WHERE len(w) >= 6),
+s AS (SELECT rid, i, hash(w[i + 1], w[i + 2], w[i + 3], w[i + 4], w[i + 5]) AS s, len(w) AS n FROM f),
+e AS (SELECT x.rid, y.i - x.i AS q, x.i FROM s x JOIN s y ON x.rid = y.rid AND x.s = y.s AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+k AS (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM e),
+m AS (SELECT rid, q, min(i) AS start, count(*) + 4 + q AS length FROM k GROUP BY rid, q, island),
+r AS (SELECT rid, start, length, min(q) AS q FROM m WHERE length >= greatest(6, 4 * q) GROUP BY rid, start, length),
+b AS (SELECT rid, count(*) AS n_runs, max({'n': length, 's': -start, 'q': -q}) AS top, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS listed,
+        list({'a': start + q, 'b': start + length}) AS cuts FROM r GROUP BY rid),
+x AS (SELECT DISTINCT rid, unnest(range(c.a, c.b)) AS i FROM (SELECT rid, unnest(cuts) AS c FROM b)),
+y AS (SELECT rid, list(i) AS gone FROM x GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, (-top.s)::BIGINT AS start, top.n::BIGINT AS length, (-top.q)::BIGINT AS period, (1000 * top.n // -top.q)::BIGINT AS exponent_milli,
+  sha256(coalesce(listed, '')) AS runs_sha256,
+  sha256(coalesce(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_transform(list_filter(range(0, len(w)), lambda i: NOT list_contains(gone, i)), lambda i: w[i + 1]), ' ') END, '')) AS collapsed_sha256
+FROM d LEFT JOIN b USING (rid) LEFT JOIN y USING (rid)
+"""
+
+
+def _with_periodic_tails(docs):
+    """Input of op11: in documents with crc32(doc_id) % 10 = 0 the words from g % n on repeat with a period that the id fixes."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, n = F.floor(h / 10), F.size("w")
+    w = docs.where(F.col("doc_id").isNotNull() & (h % 10 == 0)).select("doc_id", words(F.col("text")).alias("w"))
+    w = w.withColumn("a", F.when(n > 0, g % n).cast("int")).withColumn("p", F.when(n > 0, 1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    tail = F.transform("w", lambda x, i: F.when(i >= F.col("a"), F.get("w", F.col("a") + (i - F.col("a")) % F.col("p"))).otherwise(x))
+    rest = docs.where(F.col("doc_id").isNull() | (h % 10 != 0)).select("doc_id", F.col("text"))
+    return rest.unionAll(w.select("doc_id", F.array_join(tail, " ").alias("text")))
+
+
+@query("op11_periodic_runs", OP11_SQL)
+def op11(spark, d):
+    out = runs.periodic_runs(_with_periodic_tails(table(spark, d, "documents"))).withColumn("top", runs.longest(F.col("runs")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(line, "\n"), F.lit("\n"))).otherwise("")
+    return out.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), "top.*", F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+                      F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op12_sentencepiece")
+def op12(spark, d):
+    import public_tokenizers
+
+    model = str(public_tokenizers.path("piece_bpe_32k.model"))
+    out = piece_bpe.decode(piece_bpe.encode(table(spark, d, "documents"), model), model)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+OP13_SQL = r"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos,
+        md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, len(""" + SQL_WORDS.format(t="coalesce(text, '')") + r""") AS n FROM conversations WHERE conv_id IS NOT NULL),
+v AS (SELECT c, """ + SQL_CRC32.format(c="c") + r""" % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+o AS (SELECT v.c, 0 AS own, pos, k, n FROM v JOIN t ON t.c = v.c - v.c % 20 AND t.pos < v.h UNION ALL SELECT v.c, 1, pos, k, n FROM v JOIN t ON t.c = v.c AND t.pos >= v.h),
+p AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, pos) AS d, k, n FROM o),
+x AS (SELECT c, d, n, md5(string_agg(k, ',') OVER (PARTITION BY c ORDER BY d)) AS key FROM p UNION ALL SELECT c, 0, 0, 'root' FROM v),
+l AS (SELECT c, max(d) AS last FROM x GROUP BY c),
+u AS (SELECT x.*, coalesce(lag(key) OVER (PARTITION BY c ORDER BY d), '') AS up, d = last AS ends FROM x JOIN l USING (c)),
+g AS (SELECT key, up, d, min(c) AS conv_id, count(*) AS n_convs, any_value(n) AS n, string_agg(c, ',' ORDER BY c) FILTER (WHERE ends) AS ended FROM u GROUP BY key, up, d),
+q AS (SELECT up AS key, count(*) AS n_children FROM g GROUP BY up),
+y AS (SELECT g.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * n AS saved FROM g LEFT JOIN q USING (key)),
+-- each node adds to its ancestors, which lie on the path of its smallest member
+s AS (SELECT u.key, sum((y.n_children = 0)::BIGINT) AS n_leaves, sum(y.saved) AS saved_tokens FROM y JOIN u ON u.c = y.conv_id AND u.d <= y.d GROUP BY u.key)
+SELECT y.conv_id, y.d::BIGINT AS depth, pg.conv_id AS parent_conv_id, y.n_convs::BIGINT AS n_convs, y.n_children::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens,
+  sha256(coalesce(y.ended, '')) AS ends_sha256
+FROM y JOIN s USING (key) LEFT JOIN g pg ON pg.key = y.up
+"""
+
+
+def _rebuilt(conversations):
+    """Input of op13: conversation c gets the first crc32(c) % 4 turns of c - c % 20 in place of its own."""
+    own = staged(prefix_trie.ordered_turns(conversations), "own_turns")
+    h = F.crc32(F.col("conv_id").cast("string")) % 4
+    turn = F.struct("pos", "turn_key", "n_words")
+    heads = own.where("pos < 3").groupBy(F.col("conv_id").alias("base")).agg(F.array_sort(F.collect_list(turn)).alias("head"))  # at most three turns
+    plan = own.where("pos = 0").select("conv_id", h.cast("int").alias("h"), (F.col("conv_id") - F.col("conv_id") % 20).alias("base")).join(heads, "base", "left")
+    plan = plan.select("conv_id", "h", F.when(F.col("h") > 0, F.slice(F.coalesce("head", F.array().cast("array<struct<pos:bigint,turn_key:binary,n_words:bigint>>")), 1, F.greatest("h", F.lit(1))))
+                       .otherwise(F.array().cast("array<struct<pos:bigint,turn_key:binary,n_words:bigint>>")).alias("head"))
+    # a conversation whose base lacks turns moves up
+    short = plan.select("conv_id", (F.col("h") - F.size("head")).cast("bigint").alias("up"))
+    kept = own.where(F.col("pos") >= h).join(short, "conv_id").select("conv_id", (F.col("pos") - F.col("up")).alias("pos"), "turn_key", "n_words")
+    first = plan.select("conv_id", F.explode("head").alias("t")).select("conv_id", "t.*")
+    there = plan.select("conv_id", F.lit(None).cast("bigint").alias("pos"), F.lit(None).cast("binary").alias("turn_key"), F.lit(0).cast("bigint").alias("n_words"))
+    return kept.unionAll(first).unionAll(there)
+
+
+@query("op13_prefix_trie", OP13_SQL)
+def op13(spark, d):
+    return prefix_trie.prefix_trie(_rebuilt(table(spark, d, "conversations")))
