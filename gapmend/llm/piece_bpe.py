@@ -26,23 +26,56 @@ from gapmend.llm.common import worker_cache
 #: Mark of a blank inside pieces.
 BLANK = "▁"
 #: Words, parts of words and pairs of pieces remembered by a worker; later ones are worked out anew.
-MEMO_WORDS, MEMO_PARTS, MEMO_PAIRS = 600_000, 300_000, 600_000
+MEMO_WORDS, MEMO_PARTS, MEMO_PAIRS = 750_000, 250_000, 400_000
 #: Documents handed on together.
 TOGETHER = 200
 
 ENCODED = "ids binary, n_tokens bigint"
 
 
+def _proto(model_file: str):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(sentencepiece.SentencePieceProcessor(model_file=model_file).serialized_model_proto())
+    return proto
+
+
+class Surfaces:
+    """What each id of a model file stands for when decoded."""
+
+    def __init__(self, model_file: str):
+        import codecs
+
+        codecs.register_error("gapmend_each_byte", lambda e: ("\ufffd", e.start + 1))
+        proto = _proto(model_file)
+        kind = proto.pieces[0].Type
+        self.prefix = proto.normalizer_spec.add_dummy_prefix
+        self.of = [b"" if p.type == kind.CONTROL else proto.trainer_spec.unk_surface.encode() if p.type == kind.UNKNOWN
+                   else bytes([int(p.piece[3:5], 16)]) if p.type == kind.BYTE else p.piece.replace(BLANK, " ").encode() for p in proto.pieces]
+        self.control = frozenset(i for i, p in enumerate(proto.pieces) if p.type == kind.CONTROL)
+        self.blank_first = frozenset(i for i, p in enumerate(proto.pieces) if p.type == kind.NORMAL and p.piece[:1] == BLANK)
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids: marks become blanks, the blank put before a text goes, byte pieces become letters (one
+        U+FFFD for each byte that belongs to none), begin and end ids vanish."""
+        raw = b"".join(map(self.of.__getitem__, ids))
+        if self.prefix and next((i for i in ids if i not in self.control), None) in self.blank_first:
+            raw = raw[1:]
+        try:
+            return raw.decode("utf-8")
+        except UnicodeDecodeError:
+            return raw.decode("utf-8", "gapmend_each_byte")
+
+
 class MergeModel:
-    """The pieces of a model file and the searches over them."""
+    """The pieces of a model file and the search over them."""
 
     def __init__(self, model_file: str):
         import ahocorasick
-        import sentencepiece
-        from sentencepiece import sentencepiece_model_pb2
 
-        proto = sentencepiece_model_pb2.ModelProto()
-        proto.ParseFromString(sentencepiece.SentencePieceProcessor(model_file=model_file).serialized_model_proto())
+        proto = _proto(model_file)
         norm, kind = proto.normalizer_spec, proto.pieces[0].Type
         if (proto.trainer_spec.model_type != proto.trainer_spec.BPE or norm.precompiled_charsmap or norm.remove_extra_whitespaces
                 or not norm.escape_whitespaces or proto.trainer_spec.treat_whitespace_as_suffix
@@ -60,15 +93,11 @@ class MergeModel:
         self.ids = {p: np.array([i], "<u4").tobytes() for p, i in normal.items() if self._merges_whole(p)}
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.ids), None) for p in self.ids}
         self.search = ahocorasick.Automaton()
-        for p in self.ids:
-            self.search.add_word(p, p)
+        for p in self.ids:  # a single letter needs no search
+            if len(p) > 1:
+                self.search.add_word(p, p)
         self.search.make_automaton()
         self.words, self.parts, self.pairs = {}, {}, {}
-        # what each id stands for when decoded
-        self.surface = [b"" if p.type == kind.CONTROL else proto.trainer_spec.unk_surface.encode() if p.type == kind.UNKNOWN
-                        else bytes([int(p.piece[3:5], 16)]) if p.type == kind.BYTE else p.piece.replace(BLANK, " ").encode() for p in proto.pieces]
-        self.control = frozenset(i for i, p in enumerate(proto.pieces) if p.type == kind.CONTROL)
-        self.blank_first = [p.type == kind.NORMAL and p.piece[:1] == BLANK for p in proto.pieces]
 
     def _merge(self, symbols: list[str], border: int) -> list[str] | None:
         """Merge until nothing fits; None as soon as a merge would span the ``border`` (a number of letters)."""
@@ -96,37 +125,40 @@ class MergeModel:
 
     def compatible(self, a: str, b: str) -> bool:
         """Whether merging the letters of two pieces again leaves their border in place."""
-        if a[-1] + b[0] not in self.bigrams:
-            return True
-        known = self.pairs.get((a, b))
-        if known is None:
-            known = self._merge(list(a + b), len(a)) is not None
-            if len(self.pairs) < MEMO_PAIRS:
-                self.pairs[a, b] = known
+        known = a[-1] + b[0] not in self.bigrams or self._merge(list(a + b), len(a)) is not None
+        if len(self.pairs) < MEMO_PAIRS:
+            self.pairs[a, b] = known
         return known
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of a text whose blanks are marks already; an unknown letter is a piece of its own."""
         n = len(text)
+        if not n:
+            return []
         longest = list(text)
         for end, piece in self.search.iter(text):  # ends ascend, so the longest piece of a start comes last
             longest[end + 1 - len(piece)] = piece
-        open_at = bytearray(b"\x01") * (n + 1)  # 0: failed
-        out, at, shorter, compatible = [], 0, self.shorter, self.compatible
-        piece = longest[0] if n else None
+        failed = bytearray(n + 1)
+        pairs, shorter = self.pairs, self.shorter
+        piece = last = longest[0]
+        out, at = [piece], len(piece)
         while at < n:
-            if open_at[at + len(piece)] and (not out or compatible(out[-1], piece)):
-                out.append(piece)
-                at += len(piece)
-                if at < n:
-                    piece = longest[at]
-                continue
-            piece = shorter.get(piece)
-            while piece is None:
-                open_at[at] = 0
-                last = out.pop()
-                at -= len(last)
-                piece = shorter.get(last)
+            piece = longest[at]
+            while True:
+                if not failed[at + len(piece)]:
+                    fits = not out or pairs.get((last, piece))
+                    if fits or fits is None and self.compatible(last, piece):
+                        break
+                piece = shorter.get(piece)
+                while piece is None:  # nothing goes on from here: take the last piece back
+                    failed[at] = 1
+                    out.pop()
+                    at -= len(last)
+                    piece = shorter.get(last)
+                    last = out[-1] if out else ""
+            out.append(piece)
+            at += len(piece)
+            last = piece
         return out
 
     def _piece_ids(self, piece: str) -> bytes:
@@ -149,9 +181,10 @@ class MergeModel:
         whole = self.ids.get(word)
         if whole is not None:
             return whole
-        cuts = [k for k in range(1, len(word)) if word[k - 1:k + 1] not in self.bigrams]
-        if not cuts:
+        pairs = list(map(str.__add__, word, word[1:]))
+        if self.bigrams.issuperset(pairs):
             return self._part(word)
+        cuts = [k for k, p in enumerate(pairs, 1) if p not in self.bigrams]
         return b"".join([self._part(word[i:j]) for i, j in zip([0, *cuts], [*cuts, len(word)])])
 
     def encode(self, text: str) -> bytes:
@@ -164,46 +197,30 @@ class MergeModel:
         words = self.words
         if marked[0] == BLANK and BLANK * 2 not in marked:
             cut = marked.split(BLANK)[1:]
-            return b"".join([self._known(w, g) for w, g in zip(cut, map(words.get, cut))])
-        cut = re.findall(f"^[^{BLANK}]+|{BLANK}+[^{BLANK}]*", marked)
-        return b"".join([self._known(w[1:], words.get(w[1:])) if w[0] == BLANK else self._word(w) for w in cut])
-
-    def _known(self, word: str, got: bytes | None) -> bytes:
-        """Ids of a word behind its blank mark."""
-        if got is None:
-            got = self.words.get(word)
+        else:
+            cut = re.findall(f"^[^{BLANK}]+|{BLANK}+[^{BLANK}]*", marked)
+            if cut[0][0] != BLANK:
+                return self._word(cut[0]) + b"".join([self._known(w[1:]) for w in cut[1:]])
+            cut = [w[1:] for w in cut]
+        got = list(map(words.get, cut))
+        if None in got:
+            got = [self._known(w) if g is None else g for w, g in zip(cut, got)]
+        return b"".join(got)
+
+    def _known(self, word: str) -> bytes:
+        """Ids of a stretch behind its first blank mark."""
+        got = self.words.get(word)
         if got is None:
             got = self._word(BLANK + word)
             if len(self.words) < MEMO_WORDS:
                 self.words[word] = got
         return got
 
-    def decode(self, ids) -> str:
-        """The text of ids: marks become blanks, the blank put before a text goes, byte pieces become letters (one
-        U+FFFD for each byte that belongs to none), begin and end ids vanish."""
-        ids = list(ids)
-        raw = b"".join(map(self.surface.__getitem__, ids))
-        if self.prefix:
-            first = next((i for i in ids if i not in self.control), None)
-            if first is not None and self.blank_first[first]:
-                raw = raw[1:]
-        try:
-            return raw.decode("utf-8")
-        except UnicodeDecodeError:
-            return raw.decode("utf-8", "gapmend_each_byte")
-
-
-def _each_byte(e):
-    return "�", e.start + 1
-
-
-def _model(model_file: str) -> MergeModel:
-    import codecs
 
-    cache = worker_cache(f"pieces:{model_file}")
+def _loaded(kind, model_file: str):
+    cache = worker_cache(f"{kind.__name__}:{model_file}")
     if "model" not in cache:
-        codecs.register_error("gapmend_each_byte", _each_byte)
-        cache["model"] = MergeModel(model_file)
+        cache["model"] = kind(model_file)
     return cache["model"]
 
 
@@ -215,7 +232,7 @@ def encode(docs: DataFrame, model_file: str, add_bos: bool = True, add_eos: bool
     readable where tasks run. No shuffle.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _model(model_file)
+        m = _loaded(MergeModel, model_file)
         head = np.array([m.bos] if add_bos else [], "<u4").tobytes()
         tail = np.array([m.eos] if add_eos else [], "<u4").tobytes()
         for b in batches:
@@ -233,7 +250,7 @@ def encode(docs: DataFrame, model_file: str, add_bos: bool = True, add_eos: bool
 def decode(encoded: DataFrame, model_file: str, id_col: str = "doc_id") -> DataFrame:
     """The rows of encode() with ``text``, decoded from ``ids``; null ids give an empty text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _model(model_file)
+        m = _loaded(Surfaces, model_file)
         for b in batches:
             for i in range(0, b.num_rows, TOGETHER):
                 part = b.slice(i, TOGETHER)
