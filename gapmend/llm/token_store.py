@@ -38,7 +38,8 @@ def text_encoder(path: str):
     The byte-level vocabulary splits text before every single blank between two visible characters,
     so chunks cut there are encoded once and remembered; a text with other white space next to
     a blank is encoded whole. New chunks are encoded together in one string and cut apart again by
-    the bytes that each id stands for. Strings of special tokens are ordinary text.
+    the bytes that each id stands for. The string of a special token becomes its id, as the library has it; it
+    holds no blank, so no cut falls into it.
     """
     from tokenizers import Tokenizer, pre_tokenizers
 
@@ -47,7 +48,6 @@ def text_encoder(path: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tok = Tokenizer.from_file(path)
-        tok.encode_special_tokens = True
         n = tok.get_vocab_size()
         # a byte-level token's string has one character for each byte
         plain = Tokenizer(tok.model)

@@ -14,7 +14,6 @@ VOCAB = str(public_tokenizers.path("byte_bpe_50k.json"))
 def expected(rows):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(VOCAB)
-    tok.encode_special_tokens = True
     start, out = 0, []
     for key, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = tok.encode(text or "", add_special_tokens=False).ids + [0]
@@ -40,7 +39,7 @@ def test_whole_table_equals_direct_encoding(spark, sf):
 
 
 ODD = ["", None, " ", "  two  blanks ", "a\n b", "tab\t\tend \n", "trailing ", " lead", "it's we'll  ok", "naïve   nbsp  x",
-       "<|endoftext|> end", "中文 \U0001f600 x", "a\x1c b", "word " * 30_000, "1 2  3 !! ?? ' s",
+       "<|endoftext|> end", "hello <|endoftext|> end", "a <|endoftext|>", "x<|endoftext|>y <|endoftext|><|endoftext|> z", "<|endoftext|>", " <|endoftext|>", "q <|endoftext|>, r\n<|endoftext|>\n s", "<|endof text|>", "中文 \U0001f600 x", "a\x1c b", "word " * 30_000, "1 2  3 !! ?? ' s",
        "end.\nStart, x\n\ny it's, a,b,,c É!!\nz ²x. a_, x² word!?\r\nnext", "a. b, c! d# e. a, b. c, d\ne\nf.\ng", "x\n", "\nx y\n z", "e\u0301, a\u0301. \u200b, b"]
 
 
