@@ -12,11 +12,11 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from gapmend.functions.columns import SERIES, div, pearson
 from gapmend.operators.blocks import ranked
-from gapmend.operators.correlate import (_ncc_rows, block_pairs, key_schema, mean_corr, mean_ncc, mean_ncc_arrays)
+from gapmend.operators.correlate import BLOCK, Spectra, block_pairs, key_schema, mean_ncc, mean_ncc_arrays, vector_sums
 from gapmend.operators.series import ID_BUCKET, explode_large_clusters, global_cluster_id, series_to_array, znormalize
 from gapmend.session import cut_lineage
 from gapmend.sources.tables import dataset_profile
@@ -24,8 +24,12 @@ from gapmend.sources.tables import dataset_profile
 CLUSTER = ["dataset", "cluster_id"]
 SIMILAR, FAR = 0.55, 0.4
 MIN_SERIES, MAX_SERIES = 5, 15
-# a bound for runs whose labels never settle
-KSHAPE_ROUNDS = 100
+# a bound for runs whose labels never settle, and how far a centroid of length 1 may still move at rest
+KSHAPE_ROUNDS, REST = 100, 1e-3
+# series up to this length have their outer products summed
+GRAM_STEPS = 512
+# values of the series that one task holds
+BLOCK_VALUES = 1 << 20
 # fixed values: complexity bounds and number of cluster counts to try
 GRID_TESTS = [(50_000, 20), (100_000, 16), (150_000, 13), (200_000, 9), (float("inf"), 6)]
 GRID_RUNS = {"small": 6, "medium": 4, "large": 3}
@@ -43,69 +47,190 @@ def z_arrays(df: DataFrame) -> DataFrame:
     return series_to_array(z.withColumn("value", F.coalesce("value", F.lit(0.0))))
 
 
+def _fresh(df: DataFrame) -> DataFrame:
+    """The same rows under new column ids, so that a table can meet itself."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
+def _aligned(rows: np.ndarray, shifts: np.ndarray) -> np.ndarray:
+    """Every row moved by its shift, zeros where nothing lies, centred."""
+    m = rows.shape[1]
+    at = np.arange(m)[None, :] - shifts[:, None]
+    y = np.where((at >= 0) & (at < m), np.take_along_axis(rows, np.clip(at, 0, m - 1), 1), 0.0)
+    return y - y.mean(axis=1, keepdims=True)
+
+
+def _nearest(series: Spectra, cents: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best correlation over all shifts, index of that centroid and shift, of every series; ties go to the first centroid."""
+    c = Spectra(cents)
+    n, size = len(series.rows), series.size
+    best, which, shift = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    step = max(1, BLOCK_VALUES // (len(cents) * size))
+    lags = np.r_[size - (c.m - 1):size, 0:c.m]
+    for i in range(0, n, step):
+        cc = np.fft.irfft(c.freq[None] * np.conj(series.freq[i:i + step])[:, None], size)[..., lags]
+        top = cc.max(axis=2).round(9)
+        j = top.argmax(axis=1)
+        at = np.arange(len(j))
+        best[i:i + step], which[i:i + step], shift[i:i + step] = top[at, j], j, cc[at, j].argmax(axis=1) - (c.m - 1)
+    return best, which, shift
+
+
+def _part(members: np.ndarray, old: np.ndarray) -> np.ndarray:
+    """What aligned members add to their next centroid."""
+    return (members.T @ members).ravel() if len(old) <= GRAM_STEPS else members.T @ (members @ old)
+
+
+def _centroid(part: np.ndarray, old: np.ndarray) -> np.ndarray:
+    """The next centroid from the sum of all parts."""
+    if len(part) != len(old):
+        part = np.linalg.eigh(part.reshape(len(old), -1))[1][:, -1]
+        part = part if part @ old >= 0 else -part
+    return _unit(part)
+
+
+def _far(new: np.ndarray, old: np.ndarray) -> bool:
+    return float(((new - old) ** 2).sum()) > REST ** 2
+
+
+def _kshape_block(sid: np.ndarray, rows: np.ndarray, k: int, seed: int, rounds: int) -> tuple[np.ndarray, bool]:
+    """Labels of a group that is one block, and whether they have settled."""
+    order = np.lexsort((sid, (sid % 10007 * 7919 + 104729 + 31 * seed) % 10007))
+    series = Spectra(rows)
+    vec, ids, labels, moved = rows[order[:k]], np.arange(min(k, len(rows))), None, True
+    for _ in range(rounds):
+        _, which, shift = _nearest(series, vec)
+        y = _aligned(series.rows, shift)
+        stay = np.unique(which)
+        new = np.stack([_centroid(_part(y[which == j], vec[j]), vec[j]) for j in stay])
+        moved = labels is None or bool((ids[which] != labels).any()) or any(_far(v, vec[j]) for v, j in zip(new, stay))
+        labels, ids, vec = ids[which], ids[stay], new
+        if not moved:
+            break
+    return ids[_nearest(series, vec)[1]], not moved
+
+
 def kshape(arrays: DataFrame, keys: list[str], rounds: int = KSHAPE_ROUNDS, flag: bool = False) -> DataFrame:
     """k-Shape per group: (keys, series_id, cluster_id), and with ``flag`` also converged.
 
-    Rounds go on until no label changes; after ``rounds`` rounds a group whose labels still changed in the last round is not converged.
+    ``arrays``: keys, series_id, vals, k, seed. Series go to the centroid with the best cross-correlation over
+    all shifts; the centroid of a cluster is the leading eigenvector of the summed outer products of its aligned
+    members. Series of more than ``GRAM_STEPS`` steps need no matrix over time: their centroids move by one step of the power
+    iteration a round. A group rests when no label changes and no centroid moves by ``REST``, so that labels
+    and eigenvectors have both settled. A group still moving after ``rounds`` rounds is not converged.
 
-    ``arrays``: keys, series_id, vals, k, seed. Series go to the centroid with the best
-    cross-correlation over all shifts. A centroid moves one power step per round
-    towards the leading eigenvector of its aligned members, which needs only vector
-    sums, not a matrix over time.
+    A group that is one block, of at most ``BLOCK_VALUES`` values and ``BLOCK`` centroids, settles inside one task. Larger groups are laid out
+    in blocks once. A task sees one block and the centroids of its group, and returns one sum, one count and
+    one checksum of the members per cluster; only the centroids pass from round to round. A group with more than ``BLOCK``
+    centroids compares in blocks of both first. Resting groups take no part; labels are read off once, at the end.
     """
-    data = cut_lineage(arrays.select(*keys, "series_id", "vals", "k", "seed"))
+    rows = arrays.select(*keys, "series_id", "vals", "k", "seed")
+    head = key_schema(arrays, keys)
+    sizes = rows.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * F.max(F.size("vals")) / BLOCK_VALUES)).cast("bigint").alias("nl"),
+                                    F.ceil(F.max("k") / BLOCK).cast("bigint").alias("nr"))
+    data = cut_lineage(rows.join(sizes, keys).withColumn("lb", F.pmod(F.hash("series_id"), F.col("nl"))).repartition(*keys, "lb"))
+    tail = "series_id bigint, cluster_id bigint, converged boolean"
+
+    def settle(key, a: pd.DataFrame) -> pd.DataFrame:
+        a = a.sort_values("series_id")
+        labels, done = _kshape_block(a["series_id"].to_numpy(), np.stack(a["vals"].to_numpy()).astype(float), int(a["k"].iloc[0]), int(a["seed"].iloc[0]), rounds)
+        out = pd.DataFrame({"series_id": a["series_id"].to_numpy(), "cluster_id": labels, "converged": done})
+        for name, v in zip(keys, key):
+            out[name] = v
+        return out[[*keys, "series_id", "cluster_id", "converged"]]
+
+    out = data.where("nl = 1 AND nr = 1").groupBy(*keys).applyInPandas(settle, f"{head}, {tail}")
+    large = data.where("nl > 1 OR nr > 1")
+    if not large.isEmpty():
+        out = out.unionByName(_kshape_blocks(large, keys, head, rounds))
+    out = cut_lineage(out)
+    return out if flag else out.drop("converged")
+
+
+def _kshape_blocks(data: DataFrame, keys: list[str], head: str, rounds: int) -> DataFrame:
+    """k-Shape of groups of several blocks: (keys, series_id, cluster_id, converged)."""
     # the first k members in the scatter order of the seed are the starting centroids
     order = F.pmod(F.pmod("series_id", F.lit(10007)) * 7919 + 104729 + 31 * F.col("seed"), F.lit(10007))
     first = ranked(data, keys, [order, "series_id"], order).where(F.col("rn") <= F.col("k"))
-    state = first.select(*keys, "series_id", (F.col("rn") - 1).alias("cluster_id"), F.col("vals").alias("push"))
-    head = key_schema(arrays, keys)
-    side = data.select(*keys, F.col("series_id").alias("bid"), "vals")
+    cents = cut_lineage(first.select(*keys, (F.col("rn") - 1).alias("bid"), F.col("vals").alias("vec"), F.lit(-1).cast("bigint").alias("n"),
+                                     F.lit(0).cast("bigint").alias("mark"), F.lit(True).alias("moved")))
+    blocks = cut_lineage(data.select(*keys, "lb", "nr").distinct())
+    wide = blocks.agg(F.max("nr")).first()[0] > 1
 
-    def assign(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        cols = [*keys, "series_id", "ncc", "cluster_id", "push"]
+    def spread(c: DataFrame) -> DataFrame:
+        """Every centroid of a group beside every block of its series."""
+        return _fresh(c.join(blocks, keys))
+
+    def compare(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        cols = [*keys, "series_id", "ncc", "cluster_id", "shift"]
         if not len(a) or not len(b):
             return pd.DataFrame(columns=cols)
-        cents, ids = np.stack(b["vec"].to_numpy()), b["bid"].to_numpy()
-        out = []
-        for sid, v in zip(a["bid"], a["vals"]):
-            x = np.asarray(v, dtype=float)
-            cc = _ncc_rows(cents, np.broadcast_to(x, cents.shape))
-            best = cc.max(axis=1).round(9)
-            j = int(np.lexsort((ids, -best))[0])
-            shift = int(cc[j].argmax()) - (len(x) - 1)
-            y = np.zeros(len(x))
-            if shift >= 0:
-                y[shift:] = x[:len(x) - shift]
+        b = b.sort_values("bid")
+        ncc, which, shift = _nearest(Spectra(a["vals"].to_numpy()), np.stack(b["vec"].to_numpy()))
+        out = pd.DataFrame({"series_id": a["series_id"].to_numpy(), "ncc": ncc, "cluster_id": b["bid"].to_numpy()[which], "shift": shift})
+        for k, v in zip(keys, key):
+            out[k] = v
+        return out[cols]
+
+    def best(c: DataFrame) -> DataFrame:
+        """(keys, series_id, cluster_id, shift) by the centroids ``c``."""
+        kinds = f"{head}, series_id bigint, ncc double, cluster_id bigint, shift bigint"
+        if not wide:
+            return data.groupBy(*keys, "lb").cogroup(spread(c).groupBy(*keys, "lb")).applyInPandas(compare, kinds).drop("ncc")
+        at = spread(c).withColumn("rb", F.pmod(F.hash("bid"), F.col("nr")))
+        many = data.withColumn("rb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nr") - 1)))
+        found = many.groupBy(*keys, "lb", "rb").cogroup(at.groupBy(*keys, "lb", "rb")).applyInPandas(compare, kinds)
+        top = F.max_by(F.struct("cluster_id", "shift"), F.struct("ncc", (-F.col("cluster_id")).alias("c")))
+        return found.groupBy(*keys, "series_id").agg(top.alias("b")).select(*keys, "series_id", "b.*")
+
+    def push(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        """The block's part of the next centroids, beside the present ones."""
+        b = b.sort_values("bid")
+        ids = b["bid"].to_numpy()
+        part, n, mark = [np.zeros(0)] * len(ids), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        if len(a) and len(b):
+            vec, series = np.stack(b["vec"].to_numpy()), Spectra(a["vals"].to_numpy())
+            if wide:
+                which, shift = np.searchsorted(ids, a["cluster_id"].to_numpy()), a["shift"].to_numpy()
             else:
-                y[:shift] = x[-shift:]
-            y -= y.mean()
-            out.append((sid, float(best[j]), int(ids[j]), y * float(y @ cents[j])))
-        res = pd.DataFrame(out, columns=cols[len(keys):])
-        for k, val in zip(keys, key):
-            res[k] = val
-        return res[cols]
-
-    labels = state.select(*keys, "series_id", "cluster_id").limit(0)
-    settled, every = labels, side
+                _, which, shift = _nearest(series, vec)
+            y = _aligned(series.rows, shift)
+            sign = (a["series_id"].to_numpy() * 0x9E3779B1 + 12345) % 0x7FFFFFFF
+            for j in np.unique(which):
+                mine = which == j
+                part[j], n[j], mark[j] = _part(y[mine], vec[j]), mine.sum(), sign[mine].sum()
+        out = pd.DataFrame({"bid": ids, "part": part, "n": n, "mark": mark, "vec": b["vec"].to_numpy(), "n0": b["n"].to_numpy(), "mark0": b["mark"].to_numpy(), "live": bool(len(a))})
+        for k, v in zip(keys, key):
+            out[k] = v
+        return out[[*keys, *out.columns[:8]]]
+
+    def total(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        cols = [*keys, "bid", "vec", "n", "mark", "moved"]
+        first = pdf.iloc[0]
+        if not pdf["live"].any():
+            return pd.DataFrame([[*key, first["vec"], first["n0"], first["mark0"], False]], columns=cols)
+        n, mark, old = int(pdf["n"].sum()), int(pdf["mark"].sum()), np.asarray(first["vec"], float)
+        if not n:  # a centroid without members goes; its members have changed the counts of others
+            return pd.DataFrame(columns=cols)
+        vec = _centroid(np.sum([p for p in pdf["part"] if len(p)], axis=0), old)
+        return pd.DataFrame([[*key, vec, n, mark, n != first["n0"] or mark != first["mark0"] or _far(vec, old)]], columns=cols)
+
     for _ in range(rounds):
-        summed = state.select(*keys, "cluster_id", F.posexplode("push").alias("i", "v")).groupBy(*keys, "cluster_id", "i").agg(F.sum("v").alias("v"))
-        cents = summed.groupBy(*keys, "cluster_id").agg(F.transform(
-            F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("vec"))
-        norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x))
-        cents = cents.withColumn("norm", F.when(norm > 1e-12, norm).otherwise(1.0))
-        cents = cut_lineage(cents.select(*keys, F.col("cluster_id").alias("bid"), F.transform("vec", lambda x: x / F.col("norm")).alias("vec")))
-        found = block_pairs(side, cents, keys, assign, f"{head}, series_id bigint, ncc double, cluster_id bigint, push array<double>")
-        best = F.max_by(F.struct("cluster_id", "push"), F.struct("ncc", (-F.col("cluster_id")).alias("c")))
-        state = cut_lineage(found.groupBy(*keys, "series_id").agg(best.alias("b")).select(*keys, "series_id", "b.cluster_id", "b.push"))
-        old, labels = labels, state.select(*keys, "series_id", "cluster_id")
-        moved = cut_lineage(labels.join(old, [*keys, "series_id", "cluster_id"], "left_anti").select(*keys).distinct())
-        settled = cut_lineage(settled.unionByName(labels.join(moved, keys, "left_anti")))
-        labels, state, side = (x.join(moved, keys, "left_semi") for x in (labels, state, every))
-        if moved.isEmpty():
+        live = _fresh(cents.where("moved").select(*keys).distinct())
+        rest = data.join(live, keys, "left_semi")  # resting groups send no series
+        if wide:
+            members = best(cents.join(live, keys, "left_semi")).join(rest, [*keys, "series_id"])
+            hit = _fresh(members.select(*keys, "lb", F.col("cluster_id").alias("bid")).distinct())
+            # a block needs the centroids of its members; one block speaks for those without
+            near = spread(cents).join(hit.withColumn("hit", F.lit(True)), [*keys, "lb", "bid"], "left").where("hit OR lb = 0").drop("hit")
+            parts = members.groupBy(*keys, "lb").cogroup(near.groupBy(*keys, "lb"))
+        else:
+            parts = rest.groupBy(*keys, "lb").cogroup(spread(cents).groupBy(*keys, "lb"))
+        parts = parts.applyInPandas(push, f"{head}, bid bigint, part array<double>, n bigint, mark bigint, vec array<double>, n0 bigint, mark0 bigint, live boolean")
+        cents = cut_lineage(parts.groupBy(*keys, "bid").applyInPandas(total, f"{head}, bid bigint, vec array<double>, n bigint, mark bigint, moved boolean"))
+        if cents.where("moved").isEmpty():
             break
-    if flag:
-        settled, labels = settled.withColumn("converged", F.lit(True)), labels.withColumn("converged", F.lit(False))
-    return settled.unionByName(labels)
+    return best(cents).select(*keys, "series_id", "cluster_id").join(cents.groupBy(*keys).agg((~F.max("moved")).alias("converged")), keys)
 
 
 def kmeans_series(df: DataFrame, k: int, seed: int = 7) -> DataFrame:
@@ -132,24 +257,31 @@ def incremental_cluster(df: DataFrame, accept: float = 0.75, accept_all: float =
     split in every other member, which ends the loop. The failure count belongs to a lineage of clusters.
     ``start`` has clusters to begin with, else each data set is one. Clusters still open after a given
     ``max_rounds`` are not converged.
+
+    The series are read and normalised once; a round sums the vectors of open clusters only, and one table holds the state
+    of all series.
     """
-    z = z_arrays(df)
-    z = cut_lineage(z)
-    cells = df.select(*SERIES, "t", "value")
+    z = cut_lineage(z_arrays(df).withColumn("constant", ~F.exists("vals", lambda x: x != 0)))
     one = z.groupBy("dataset").agg(F.min("series_id").alias("cluster_id")).join(z.select(*SERIES), "dataset")
-    open_ = cut_lineage((one if start is None else start).select(*SERIES, "cluster_id", F.lit(0).alias("fails")))
-    done = None
+    state = cut_lineage((one if start is None else start).select(*SERIES, "cluster_id", F.lit(0).alias("fails"), F.lit(True).alias("open")))
     for rnd in count() if max_rounds is None else range(max_rounds):
-        score = mean_corr(cells.join(open_.select(*SERIES, "cluster_id"), SERIES)).withColumn("score", F.coalesce("mean_corr", F.lit(0.0)))
+        now = z.join(state.where("open"), SERIES)
+        flat = now.groupBy(*CLUSTER).agg(F.max("constant").alias("flat"))
+        size = F.col("n").cast("double")
+        m = F.size("sums")
+        # with z-vectors of length m the mean over pairs follows from the length of their sum; a constant member leaves it undefined
+        corr = F.when(size == 1, 1.0).when(F.col("flat"), 0.0).otherwise((F.aggregate("sums", F.lit(0.0), lambda s, x: s + x * x) / m - size) / (size * (size - 1)))
+        score = vector_sums(now, CLUSTER).join(flat, CLUSTER).select(*CLUSTER, F.col("n").alias("n_series"), corr.alias("score"))
         need = accept_all if rnd == 0 else accept
         verdict = F.when((F.col("n_series") == 1) | (F.col("score") >= need), "accept").when(F.col("n_series") == 2, "single").otherwise("split")
-        state = cut_lineage(open_.join(score.select(*CLUSTER, "n_series", verdict.alias("verdict")), CLUSTER))
-        ok = state.where("verdict <> 'split'").select(*SERIES, F.when(F.col("verdict") == "single", F.col("series_id")).otherwise(
-            F.col("cluster_id")).alias("cluster_id"), F.lit(True).alias("converged"))
-        done = ok if done is None else done.unionByName(ok)
-        rest = state.where("verdict = 'split'").withColumn("fails", F.col("fails") + 1)
+        judged = cut_lineage(state.where("open").join(score.select(*CLUSTER, "n_series", verdict.alias("verdict")), CLUSTER))
+        rest = judged.where("verdict = 'split'").withColumn("fails", F.col("fails") + 1)
+        done = judged.where("verdict <> 'split'").select(*SERIES, F.when(F.col("verdict") == "single", F.col("series_id")).otherwise(
+            F.col("cluster_id")).alias("cluster_id"), "fails", F.lit(False).alias("open"))
+        done = state.where("NOT open").unionByName(done)
         if rest.isEmpty():
-            return done
+            state = done
+            break
         k = F.greatest(F.lit(2), F.floor(F.col("n_series") * k_share)).cast("bigint")
         boost = F.when(F.col("fails") >= patience, k + F.floor(F.col("fails") / (patience - 1)) * k).otherwise(k)
         rest = rest.withColumn("k", F.least(boost, F.col("n_series")).cast("bigint"))
@@ -160,16 +292,21 @@ def incremental_cluster(df: DataFrame, accept: float = 0.75, accept_all: float =
         arr = rest.where(F.col("fails") < 15 * patience).join(z, SERIES).select(
             "dataset", F.col("cluster_id").alias("parent"), "series_id", "vals", "k", F.lit(rnd).alias("seed"))
         parts = kshape(arr, ["dataset", "parent"], split_rounds).unionByName(halves)
-        named = _named_by_first(parts, ["dataset", "parent"])
-        open_ = cut_lineage(named.join(rest.select(*SERIES, "fails"), SERIES))
+        named = _named_by_first(parts, ["dataset", "parent"]).join(rest.select(*SERIES, "fails"), SERIES)
+        state = cut_lineage(done.unionByName(named.select(*SERIES, "cluster_id", "fails", F.lit(True).alias("open"))).coalesce(_parts(df)))
     # out of rounds: what is open stays as it is
-    return done.unionByName(open_.select(*SERIES, "cluster_id", F.lit(False).alias("converged")))
+    return state.select(*SERIES, "cluster_id", (~F.col("open")).alias("converged"))
+
+
+def _parts(df: DataFrame) -> int:
+    """As many partitions as a shuffle has: unions of round-based tables must not add up theirs."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 # --- merging ------------------------------------------------------------------------
 
 def cluster_stats(df: DataFrame) -> DataFrame:
-    """Per cluster: n, phi (mean correlation), s (sum of z-vectors) and the centroid."""
+    """Per cluster: n, phi (mean correlation), s (sum of z-vectors), the centroid c, and ok: no member is constant."""
     raw = df.groupBy(*CLUSTER, "t").agg(F.avg("value").alias("c"))
     z = znormalize(df)
     zs = z.groupBy(*CLUSTER, "t").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("n"), F.count("value").alias("ok"))
@@ -181,20 +318,25 @@ def cluster_stats(df: DataFrame) -> DataFrame:
     phi = F.when(F.col("n") == 1, 1.0).when(F.col("ok") == F.col("n"), (F.col("ss") / F.col("m") - n) / (n * (n - 1)))
     out = out.withColumn("phi", phi)
     tot = out.groupBy("dataset").agg(F.sum("n").alias("n_all"))
-    return out.join(tot, "dataset").select(*CLUSTER, "n", "n_all", "phi", "s", "c")
+    return out.join(tot, "dataset").select(*CLUSTER, "n", "n_all", (F.col("ok") == F.col("n")).alias("ok"), "phi", "s", "c")
+
 
+PAIR = ("dataset string, a bigint, b bigint, similarity double, phi_union double, gain double, phi_a double, phi_b double, n_a bigint, n_b bigint")
 
-def similar_clusters(stats: DataFrame, threshold: float = SIMILAR, gain_only: bool = False) -> DataFrame:
+
+def similar_clusters(stats: DataFrame, threshold: float = SIMILAR, fresh: DataFrame | None = None) -> DataFrame:
     """Pairs of clusters of a data set whose centroids correlate at least ``threshold``.
 
     (dataset, a, b, similarity, phi_union, gain, phi_a, phi_b, n_a, n_b), a < b, with
     gain = (phi(a u b) - phi_a phi_b / N) / 2N. Pairs are tested between blocks of
-    clusters; only those that pass are emitted.
+    clusters; only those that pass are emitted. With ``fresh`` (dataset, cluster_id) only pairs with such a cluster are tested.
     """
-    side = stats.select("dataset", F.col("cluster_id").alias("bid"), "n", "n_all", F.coalesce("phi", F.lit(float("nan"))).alias("phi"), "s", "c")
+    cols = [x.split()[0] for x in PAIR.split(", ")]
+    mark = stats.withColumn("fresh", F.lit(True)) if fresh is None else stats.join(
+        _fresh(fresh.select(*CLUSTER)).withColumn("fresh", F.lit(True)), CLUSTER, "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+    side = mark.select("dataset", F.col("cluster_id").alias("bid"), "n", "n_all", F.coalesce("phi", F.lit(float("nan"))).alias("phi"), "s", "c", "fresh")
 
     def test(key, a, b):
-        cols = ["dataset", "a", "b", "similarity", "phi_union", "gain", "phi_a", "phi_b", "n_a", "n_b"]
         if not len(a) or not len(b):
             return pd.DataFrame(columns=cols)
 
@@ -206,19 +348,22 @@ def similar_clusters(stats: DataFrame, threshold: float = SIMILAR, gain_only: bo
         ca, sa = rows(a)
         cb, sb = rows(b)
         sim = np.round(ca @ cb.T, 9)
-        keep = (sim >= threshold) & (a["bid"].to_numpy()[:, None] < b["bid"].to_numpy()[None, :])
+        ia, ib, other = a["bid"].to_numpy()[:, None], b["bid"].to_numpy()[None, :], b["fresh"].to_numpy()[None, :]
+        # two fresh clusters meet from both sides: one of them counts
+        keep = (sim >= threshold) & np.where(other, ia < ib, ia != ib)
         i, j = np.nonzero(keep)
         na, nb = a["n"].to_numpy()[i], b["n"].to_numpy()[j]
         n, m = na + nb, sa.shape[1]
         pa, pb, total = a["phi"].to_numpy()[i], b["phi"].to_numpy()[j], a["n_all"].to_numpy()[i]
         union = ((((sa[i] + sb[j]) ** 2).sum(axis=1)) / m - n) / (n * (n - 1))
         gain = (union - pa * pb / total) / (2 * total)
-        return pd.DataFrame({"dataset": key[0], "a": a["bid"].to_numpy()[i], "b": b["bid"].to_numpy()[j], "similarity": sim[i, j],
-                             "phi_union": union, "gain": gain, "phi_a": pa, "phi_b": pb, "n_a": na, "n_b": nb})[cols]
+        one, two = a["bid"].to_numpy()[i], b["bid"].to_numpy()[j]
+        turn = one > two
+        swap = lambda x, y: (np.where(turn, y, x), np.where(turn, x, y))
+        (one, two), (pa, pb), (na, nb) = swap(one, two), swap(pa, pb), swap(na, nb)
+        return pd.DataFrame({"dataset": key[0], "a": one, "b": two, "similarity": sim[i, j], "phi_union": union, "gain": gain, "phi_a": pa, "phi_b": pb, "n_a": na, "n_b": nb})[cols]
 
-    out = block_pairs(side, side, ["dataset"], test, "dataset string, a bigint, b bigint, similarity double, phi_union double, gain double, "
-                      "phi_a double, phi_b double, n_a bigint, n_b bigint")
-    return out.where("NOT isnan(gain)")
+    return block_pairs(side.where("fresh"), side, ["dataset"], test, PAIR).where("NOT isnan(gain)")
 
 
 def far_from_centroid(df: DataFrame, threshold: float = FAR) -> DataFrame:
@@ -243,26 +388,55 @@ def _matched(edges: DataFrame, better: str) -> DataFrame:
     return pick.join(back, ["dataset", "x", "y"]).where("x < y").select("dataset", F.col("y").alias("src"), F.col("x").alias("dst"))
 
 
-def _relabel(assignment: DataFrame, moves: DataFrame) -> DataFrame:
-    m = moves.select("dataset", F.col("src").alias("cluster_id"), "dst")
-    return assignment.join(m, CLUSTER, "left").select("dataset", "series_id", F.coalesce("dst", "cluster_id").alias("cluster_id"))
+def _joined(stats: DataFrame, moves: DataFrame) -> DataFrame:
+    """The statistics of merged clusters, from those of their halves alone."""
+    one = _fresh(stats).select("dataset", F.col("cluster_id").alias("src"), F.col("n").alias("n1"), F.col("ok").alias("ok1"), F.col("s").alias("s1"), F.col("c").alias("c1"))
+    both = moves.join(one, ["dataset", "src"]).join(_fresh(stats).withColumnRenamed("cluster_id", "dst"), ["dataset", "dst"])
+    n = F.col("n") + F.col("n1")
+    both = both.select("dataset", F.col("dst").alias("cluster_id"), n.alias("n"), "n_all", (F.col("ok") & F.col("ok1")).alias("ok"), F.zip_with("s", "s1", lambda x, y: x + y).alias("s"),
+                       F.zip_with("c", "c1", lambda x, y: (x * F.col("n") + y * F.col("n1")) / n).alias("c"))
+    size = F.col("n").cast("double")
+    phi = (F.aggregate("s", F.lit(0.0), lambda t, x: t + x * x) / F.size("s") - size) / (size * (size - 1))
+    return both.select(*CLUSTER, "n", "n_all", "ok", F.when(F.col("ok"), phi).alias("phi"), "s", "c")
 
 
-def merge_clusters(df: DataFrame, assignment: DataFrame, threshold: float = SIMILAR, far: float = FAR, max_rounds: int | None = None) -> DataFrame:
-    """Merge similar clusters with positive gain, round by round; then move series far
-    from their centroid to the cluster with the best positive gain.
+def _merge_rounds(cells: DataFrame, assignment: DataFrame, threshold: float, choice: Column, max_rounds: int | None) -> DataFrame:
+    """The assignment after merging pairs that are each other's best ``choice`` (null: not wanted) until none is left.
 
-    In a round, clusters that are each other's best choice merge.
+    The series are read once, for the statistics of the first clusters. After that a round joins the
+    statistics of the merged, keeps the tested pairs of all others, and tests the merged against the rest.
     """
-    cells = df.select(*SERIES, "t", "value")
+    n = _parts(cells)
     asg = cut_lineage(assignment.select(*SERIES, "cluster_id"))
+    stats = cut_lineage(cluster_stats(cells.join(asg, SERIES)))
+    pairs = cut_lineage(similar_clusters(stats, threshold).withColumn("choice", choice))
+    now = None  # where each first cluster is by now
     # each round merges at least one pair, so the loop ends
     for _ in count() if max_rounds is None else range(max_rounds):
-        pairs = similar_clusters(cluster_stats(cells.join(asg, SERIES)), threshold).where("gain > 0")
-        moves = cut_lineage(_matched(pairs, "gain"))
+        moves = cut_lineage(_matched(pairs.where("choice IS NOT NULL"), "choice"))
         if moves.isEmpty():
             break
-        asg = cut_lineage(_relabel(asg, moves))
+        gone = moves.select("dataset", F.explode(F.array("src", "dst")).alias("cluster_id"))
+        merged = cut_lineage(_joined(stats, moves))
+        stats = cut_lineage(stats.join(gone, CLUSTER, "left_anti").unionByName(merged).coalesce(n))
+        kept = pairs
+        for side in ("a", "b"):
+            kept = kept.join(_fresh(gone).withColumnRenamed("cluster_id", side), ["dataset", side], "left_anti")
+        pairs = cut_lineage(kept.unionByName(similar_clusters(stats, threshold, merged).withColumn("choice", choice)).coalesce(n))
+        first = asg.select(*CLUSTER, F.col("cluster_id").alias("now")).distinct() if now is None else now
+        hop = moves.select("dataset", F.col("src").alias("now"), "dst")
+        now = cut_lineage(first.join(hop, ["dataset", "now"], "left").select(*CLUSTER, F.coalesce("dst", "now").alias("now")))
+    return asg if now is None else asg.join(now, CLUSTER).select(*SERIES, F.col("now").alias("cluster_id"))
+
+
+def merge_clusters(df: DataFrame, assignment: DataFrame, threshold: float = SIMILAR, far: float = FAR, max_rounds: int | None = None) -> DataFrame:
+    """Merge similar clusters with positive gain, round by round; then move series far
+    from their centroid to the cluster with the best positive gain.
+
+    In a round, clusters that are each other's best choice merge.
+    """
+    cells = df.select(*SERIES, "t", "value")
+    asg = _merge_rounds(cells, assignment, threshold, F.when(F.col("gain") > 0, F.col("gain")), max_rounds)
     return _move_far(cells, asg, far)
 
 
@@ -298,59 +472,58 @@ def merge_clusters_ratio(df: DataFrame, assignment: DataFrame, threshold: float
                          ratio_single: float = 0.75, max_rounds: int | None = None) -> DataFrame:
     """Older rule: merge when the mean correlation of the union is at least ``ratio`` of
     the other cluster's, best difference first."""
-    cells = df.select(*SERIES, "t", "value")
-    asg = cut_lineage(assignment.select(*SERIES, "cluster_id"))
-    # each round merges at least one pair, so the loop ends
-    for _ in count() if max_rounds is None else range(max_rounds):
-        p = similar_clusters(cluster_stats(cells.join(asg, SERIES)), threshold)
-        need = lambda n: F.when(F.col(n) > 1, ratio).otherwise(ratio_single)
-        into_b = div("phi_union", "phi_b") >= need("n_b")
-        into_a = div("phi_union", "phi_a") >= need("n_a")
-        diff = F.greatest(F.when(into_b, F.col("phi_union") - F.col("phi_b")), F.when(into_a, F.col("phi_union") - F.col("phi_a")))
-        moves = cut_lineage(_matched(p.withColumn("diff", diff).where("diff IS NOT NULL"), "diff"))
-        if moves.isEmpty():
-            break
-        asg = cut_lineage(_relabel(asg, moves))
-    return asg
+    need = lambda n: F.when(F.col(n) > 1, ratio).otherwise(ratio_single)
+    into_b = div("phi_union", "phi_b") >= need("n_b")
+    into_a = div("phi_union", "phi_a") >= need("n_a")
+    diff = F.greatest(F.when(into_b, F.col("phi_union") - F.col("phi_b")), F.when(into_a, F.col("phi_union") - F.col("phi_a")))
+    return _merge_rounds(df.select(*SERIES, "t", "value"), assignment, threshold, diff, max_rounds)
+
+
+def cross_sums(arr: DataFrame) -> DataFrame:
+    """(dataset, a, b, total, pairs): sum of the best cross-correlations between the series of each cluster ``a`` that is
+    ``small`` and each other cluster ``b``. ``arr``: dataset, cluster_id, series_id, vals, small."""
+    cols = ["dataset", "a", "b", "total", "pairs"]
+
+    def cross(key, a, b):
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=cols)
+        left, right, cb = Spectra(a["vals"].to_numpy()), Spectra(b["vals"].to_numpy()), b["cluster_id"].to_numpy()
+        code, names = pd.factorize(cb)
+        parts = []
+        for k, c in enumerate(a["cluster_id"]):
+            best = right.against(left, k).max(axis=1)
+            parts.append(pd.DataFrame({"a": c, "b": names, "total": np.bincount(code, best), "pairs": np.bincount(code)}))
+        out = pd.concat(parts)
+        return out[out["a"] != out["b"]].groupby(["a", "b"], as_index=False).sum().assign(dataset=key[0])[cols]
+
+    side = arr.select("dataset", F.col("series_id").alias("bid"), "cluster_id", "vals", "small")
+    x = block_pairs(side.where("small"), side, ["dataset"], cross, "dataset string, a bigint, b bigint, total double, pairs bigint")
+    return x.groupBy("dataset", "a", "b").agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
 
 
 def merge_small_clusters(df: DataFrame, assignment: DataFrame, least: int = MIN_SERIES, max_rounds: int | None = None) -> DataFrame:
     """Join clusters with fewer than ``least`` series to the sibling that gains most in
     mean cross-correlation, among those that make the union large enough.
 
-    Cross sums between small clusters and all series of the data set are formed block
-    by block. In a round the small clusters that no other small cluster waits for move;
-    a data set that stays too small keeps its clusters.
+    Cross sums between small clusters and all series of the data set are formed once, block
+    by block; those of a union are the sums of its parts', so no round reads a series. In a round the small clusters that no
+    other small cluster waits for move; a data set that stays too small keeps its clusters.
     """
-    cells = df.select(*SERIES, "t", "value")
-    arr = cut_lineage(series_to_array(cells))
+    arr = series_to_array(df.select(*SERIES, "t", "value"))
     asg = cut_lineage(assignment.select(*SERIES, "cluster_id"))
+    sizes = asg.groupBy(*CLUSTER).agg(F.count(F.lit(1)).alias("n"))
+    full = cut_lineage(arr.join(asg, SERIES).join(sizes.withColumn("small", F.col("n") < least).select(*CLUSTER, "small"), CLUSTER))
+    inner = mean_ncc_arrays(full, CLUSTER).join(sizes, CLUSTER)
+    # total and pairs inside each cluster, a lone series with none
+    inner = cut_lineage(inner.select(*CLUSTER, "n", (F.col("mean_ncc") * F.col("pairs")).alias("total"), "pairs"))
+    x = cut_lineage(cross_sums(full))
+    asg_now = None
     # each round merges at least one pair, so the loop ends
     for _ in count() if max_rounds is None else range(max_rounds):
-        full = arr.join(asg, SERIES)
-        sizes = asg.groupBy(*CLUSTER).agg(F.count(F.lit(1)).alias("n"))
-        ncc = mean_ncc_arrays(full, CLUSTER).join(sizes, CLUSTER)
-        small = full.join(sizes.where(F.col("n") < least).select(*CLUSTER), CLUSTER, "left_semi")
-        side = lambda d: d.select("dataset", F.col("series_id").alias("bid"), "cluster_id", "vals")
-
-        def cross(key, a, b):
-            cols = ["dataset", "a", "b", "total", "pairs"]
-            if not len(a) or not len(b):
-                return pd.DataFrame(columns=cols)
-            xb, cb = np.stack(b["vals"].to_numpy()), b["cluster_id"].to_numpy()
-            parts = []
-            for c, v in zip(a["cluster_id"], a["vals"]):
-                best = _ncc_rows(np.broadcast_to(v, xb.shape), xb).max(axis=1)
-                parts.append(pd.DataFrame({"a": c, "b": cb, "total": best, "pairs": 1}))
-            out = pd.concat(parts)
-            return out[out["a"] != out["b"]].groupby(["a", "b"], as_index=False).sum().assign(dataset=key[0])[cols]
-
-        x = block_pairs(side(small), side(full), ["dataset"], cross, "dataset string, a bigint, b bigint, total double, pairs bigint")
-        x = x.groupBy("dataset", "a", "b").agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
-        me = ncc.select("dataset", F.col("cluster_id").alias("a"), F.col("n").alias("na"), F.col("mean_ncc").alias("ma"), F.col("pairs").alias("pa"))
-        other = ncc.select("dataset", F.col("cluster_id").alias("b"), F.col("n").alias("nb"), F.col("mean_ncc").alias("mb"), F.col("pairs").alias("pb"))
-        cand = x.join(me, ["dataset", "a"]).join(other, ["dataset", "b"]).where(F.col("na") + F.col("nb") >= least)
-        union = (F.col("total") + F.col("ma") * F.col("pa") + F.col("mb") * F.col("pb")) / (F.col("pairs") + F.col("pa") + F.col("pb"))
+        mean = F.when(F.col("pairs") > 0, F.col("total") / F.col("pairs")).otherwise(1.0)
+        side = lambda c: inner.select("dataset", F.col("cluster_id").alias(c), F.col("n").alias(f"n{c}"), F.col("total").alias(f"t{c}"), F.col("pairs").alias(f"p{c}"), mean.alias(f"m{c}"))
+        cand = x.join(side("a"), ["dataset", "a"]).join(side("b"), ["dataset", "b"]).where((F.col("na") < least) & (F.col("na") + F.col("nb") >= least))
+        union = (F.col("total") + F.col("ta") + F.col("tb")) / (F.col("pairs") + F.col("pa") + F.col("pb"))
         pick = cand.groupBy("dataset", F.col("a").alias("src")).agg(
             F.max_by("b", F.struct(F.round(union - F.col("mb"), 9), (-F.col("b")).alias("o"))).alias("dst"))
         # a cluster that moves cannot receive in the same round; of a mutual pair the larger id moves
@@ -361,8 +534,29 @@ def merge_small_clusters(df: DataFrame, assignment: DataFrame, least: int = MIN_
         moves = cut_lineage(go.unionByName(ring))
         if moves.isEmpty():
             break
-        asg = cut_lineage(_relabel(asg, moves))
-    return asg
+        x, inner = _after(x, inner, moves)
+        first = asg.select(*CLUSTER, F.col("cluster_id").alias("now")).distinct() if asg_now is None else asg_now
+        asg_now = cut_lineage(first.join(moves.select("dataset", F.col("src").alias("now"), "dst"), ["dataset", "now"], "left").select(*CLUSTER, F.coalesce("dst", "now").alias("now")))
+    return asg if asg_now is None else asg.join(asg_now, CLUSTER).select(*SERIES, F.col("now").alias("cluster_id"))
+
+
+def _after(x: DataFrame, inner: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cross sums and inner sums after small clusters have moved into others; several may move into one."""
+    name = lambda c: moves.select("dataset", F.col("src").alias(c), F.col("dst").alias(f"{c}_to"))
+    to_a, to_b = F.coalesce("a_to", "a"), F.coalesce("b_to", "b")
+    new = x.join(name("a"), ["dataset", "a"], "left").join(name("b"), ["dataset", "b"], "left")
+    # two small clusters have a row in both directions; a pair inside a union counts once
+    inside = new.where(to_a == to_b).groupBy("dataset", to_a.alias("cluster_id"), F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(
+        F.max("total").alias("total"), F.max("pairs").alias("pairs"))
+    parts = inner.join(moves.select("dataset", F.col("src").alias("cluster_id"), "dst"), CLUSTER, "left").select(
+        "dataset", F.coalesce("dst", "cluster_id").alias("cluster_id"), "n", "total", "pairs")
+    sums = parts.unionByName(inside.select(*CLUSTER, F.lit(0).cast("bigint").alias("n"), "total", "pairs"))
+    sums = sums.groupBy(*CLUSTER).agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
+    # what has moved or received is large enough, and needs no partner of its own
+    home = moves.select("dataset", F.col("dst").alias("a")).distinct()
+    left = new.where("a_to IS NULL").join(home, ["dataset", "a"], "left_anti")
+    left = left.groupBy("dataset", "a", to_b.alias("b")).agg(F.sum("total").alias("total"), F.sum("pairs").alias("pairs"))
+    return cut_lineage(left), cut_lineage(sums)
 
 
 def apply_constraints(df: DataFrame, assignment: DataFrame, least: int = MIN_SERIES, most: int = MAX_SERIES) -> DataFrame:

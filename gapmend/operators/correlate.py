@@ -84,6 +84,23 @@ def _ncc_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(den[..., None] > 0, cc / np.where(den > 0, den, 1.0)[..., None], 0.0)
 
 
+class Spectra:
+    """Rows of equal length kept as Fourier transforms, for cross-correlations of many pairs."""
+
+    def __init__(self, rows):
+        self.rows = np.stack(rows).astype(float)
+        self.m = self.rows.shape[1]
+        self.size = 1 << (2 * self.m - 1).bit_length()
+        norm = np.linalg.norm(self.rows, axis=1)
+        # a constant series has correlation 0 with all others
+        self.freq = np.fft.rfft(self.rows, self.size) * np.where(norm > 0, 1 / np.where(norm > 0, norm, 1.0), 0.0)[:, None]
+
+    def against(self, other: Spectra, i: int, which=slice(None)) -> np.ndarray:
+        """Normalised cross-correlation at every shift of the rows ``which`` with row ``i`` of another block."""
+        cc = np.fft.irfft(self.freq[which] * np.conj(other.freq[i]), self.size)
+        return np.concatenate([cc[:, self.size - (self.m - 1):], cc[:, :self.m]], axis=1)
+
+
 def ncc_pairs(pairs: DataFrame) -> DataFrame:
     """Cross-correlation of each pair (va, vb) at every shift in (-m, m): ``shifts``."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,17 +154,41 @@ def mean_ncc(df: DataFrame, keys=("dataset", "cluster_id")) -> DataFrame:
     return mean_ncc_arrays(arr, keys)
 
 
+def vector_sums(rows: DataFrame, keys: list[str], col: str = "vals") -> DataFrame:
+    """(keys, n, sums) of each group: the number of its vectors and their sum.
+
+    Every Arrow batch is reduced to one vector per group before the shuffle, so a group with a third of
+    all rows arrives as a few vectors.
+    """
+    head = f"{key_schema(rows, keys)}, n bigint, sums array<double>"
+
+    def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                code, first = pd.factorize(pd.MultiIndex.from_frame(pdf[keys]))
+                x = np.stack(pdf[col].to_numpy()).astype(float)
+                out = np.zeros((len(first), x.shape[1]))
+                np.add.at(out, code, x)
+                yield pd.DataFrame(list(first), columns=keys).assign(n=np.bincount(code), sums=list(out))
+
+    def total(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([[*key, pdf["n"].sum(), np.sum(np.stack(pdf["sums"].to_numpy()), axis=0)]], columns=[*keys, "n", "sums"])
+
+    return rows.select(*keys, col).mapInPandas(reduce, head).groupBy(*keys).applyInPandas(total, head)
+
+
 def mean_ncc_arrays(arr: DataFrame, keys: list[str]) -> DataFrame:
     side = arr.select(*keys, F.col("series_id").alias("bid"), "vals")
 
     def score(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         total, count = 0.0, 0
         if len(a) and len(b):
-            xb, ids = np.stack(b["vals"].to_numpy()), b["bid"].to_numpy()
-            for i, v in zip(a["bid"], a["vals"]):
-                later = xb[ids > i]
+            left, right, ids = Spectra(a["vals"].to_numpy()), Spectra(b["vals"].to_numpy()), b["bid"].to_numpy()
+            for k, i in enumerate(a["bid"]):
+                later = np.flatnonzero(ids > i)
                 if len(later):
-                    total += float(_ncc_rows(np.broadcast_to(v, later.shape), later).max(axis=1).sum())
+                    # the best of all shifts is the same in both directions
+                    total += float(right.against(left, k, later).max(axis=1).sum())
                     count += len(later)
         return pd.DataFrame({**{k: [v] for k, v in zip(keys, key)}, "total": [total], "pairs": [count]})
 

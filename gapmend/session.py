@@ -57,4 +57,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    # the checkpoint is a second job: without the cache it would compute everything again
+    kept = df.persist()
+    try:
+        return kept.checkpoint(eager=True)
+    finally:
+        kept.unpersist()
