@@ -47,17 +47,23 @@ def text_encoder(path: str):
     if "tok" not in cache:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tok = Tokenizer.from_file(path)
+        # without the search for special tokens where none occurs
+        exact, tok = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        tok.encode_special_tokens = True
+        special = [t.content for t in exact.get_added_tokens_decoder().values()]
         n = tok.get_vocab_size()
         # a byte-level token's string has one character for each byte
         plain = Tokenizer(tok.model)
         plain.pre_tokenizer = pre_tokenizers.Split("\n", "removed")
-        cache |= {"tok": tok, "plain": plain, "chunks": {}, "wide": n > 1 << 16, "bytes": np.array([len(tok.id_to_token(i) or "") for i in range(n)])}
-    tok, plain, chunks, wide, n_bytes = cache["tok"], cache["plain"], cache["chunks"], cache["wide"], cache["bytes"]
+        cache |= {"tok": tok, "exact": exact, "special": special, "plain": plain, "chunks": {}, "wide": n > 1 << 16, "bytes": np.array([len(tok.id_to_token(i) or "") for i in range(n)])}
+    plain, chunks, wide, n_bytes = cache["plain"], cache["chunks"], cache["wide"], cache["bytes"]
     kind, width = ("<u4", 4) if wide else ("<u2", 2)
 
+    def reader(text: str):
+        return cache["exact" if any(s in text for s in cache["special"]) else "tok"]
+
     def whole(text: str) -> bytes:
-        return np.array(tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, kind).tobytes()
+        return np.array(reader(text).encode_batch_fast([text], add_special_tokens=False)[0].ids, kind).tobytes()
 
     def cut(encoder, text: str, ends: np.ndarray) -> list[bytes]:
         """The ids of ``text``, cut after the given numbers of bytes."""
@@ -76,7 +82,8 @@ def text_encoder(path: str):
             out.update(zip(easy, cut(plain, "\n".join(["\u0120" + w for w in easy]), np.cumsum([1 + len(w) for w in easy]))))
         hard = [w for w in safe if w not in out]
         if hard:
-            out.update(zip(hard, cut(tok, " " + " ".join(hard), np.cumsum([1 + len(w.encode("utf-8", "surrogatepass")) for w in hard]))))
+            joint = " " + " ".join(hard)
+            out.update(zip(hard, cut(reader(joint), joint, np.cumsum([1 + len(w.encode("utf-8", "surrogatepass")) for w in hard]))))
         return out
 
     def encode(texts: list[str]) -> list[bytes]:
