@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gapmend.catalog.base import embedding_series, query, rounded
+from gapmend.catalog.base import ORACLE, embedding_series, query, rounded
 from gapmend.catalog.q8_training import LB, labelled, split_sql
 from gapmend.functions.columns import r6
 from gapmend.operators import evaluate as E, models as M, training as T
@@ -177,17 +177,16 @@ def _(spark, d):
     return rounded(racing.recommend([M.fit(tr, s) for s in winners], te, labels), *labels)
 
 
-@query("save_run")
-def _(spark, d):
-    tr, te = parts(spark, d)
-    root = scratch_path(spark, "run")
-    model = M.fit(tr, M.Spec("gaussian_nb"))
-    keep = ["dataset", "series_id", "category", "label", "features"]
-    stages.save_run(root, {"gaussian_nb": model.pipeline}, tr.select(keep), te.select(keep), {"features": 64, "test_share": 0.35})
-    models, _, test, _ = stages.load_run(spark, root)
-    from pyspark.ml.functions import array_to_vector
-    out = models["gaussian_nb"].transform(test.withColumn("v", array_to_vector("features")))
-    return out.select("series_id", "label", F.col("prediction").cast("int").alias("prediction"))
+#: Models of each way of storing one; a loaded model must predict what its own query expects.
+for name, spec, like in (("save_run", M.Spec("gaussian_nb"), "clf_gaussian_nb"), ("load_run", M.Spec("knn", {"n_neighbors": 5, "weights": "distance"}), "clf_knn_distance")):
+    @query(name, ORACLE[like])
+    def _(spark, d, spec=spec):
+        tr, te = parts(spark, d)
+        root = scratch_path(spark, "run")
+        keep = ["dataset", "series_id", "category", "label", "features"]
+        stages.save_run(root, {spec.classifier: M.fit(tr, spec)}, tr.select(keep), te.select(keep), {"features": 64, "test_share": 0.35})
+        models, _, test, _ = stages.load_run(spark, root)
+        return predictions(models[spec.classifier].predict(test))
 
 
 @query("hyperparam_search")

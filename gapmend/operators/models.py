@@ -6,16 +6,17 @@ rows into long predictions: (series_id, category, true_label, class, probability
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import Binarizer, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from gapmend.functions.columns import scatter
 from gapmend.operators.evaluate import decision_to_proba
@@ -24,6 +25,7 @@ from gapmend.operators.neighbors import knn_join, radius_votes
 META = ["series_id", "category", "label"]
 KNOTS = 101
 RIDGE = 1e-6
+ARRAYS = "part int, name string, shape array<int>, data array<double>"
 
 
 # --- transforms: fit on the training table, apply to any ----------------------------
@@ -47,39 +49,52 @@ def _lits(values) -> Column:
 
 @dataclass
 class Transform:
-    """A fitted row transform; ``apply`` maps a DataFrame with features to another."""
-    apply: object
+    """A fitted row transform as data, so that it can be stored; ``apply`` maps a DataFrame with features to another."""
+    kind: str
+    name: str | None = None
+    arrays: dict[str, np.ndarray] = field(default_factory=dict)
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        if self.kind == "normalizer":
+            return normalize_rows(df, self.name)
+        a = self.arrays
+        if self.kind == "maxabs":
+            return df.withColumn("features", F.zip_with("features", _lits(a["top"]), lambda v, m: v / m))
+        if self.kind == "standard":
+            return df.withColumn("features", F.zip_with(F.zip_with("features", _lits(a["mu"]), lambda v, m: v - m), _lits(a["sd"]), lambda v, s: v / s))
+        if self.kind == "quantile":
+            knots, qs = a["knots"], np.arange(KNOTS) / (KNOTS - 1)
+            return _map_features(df, lambda x: np.stack([(np.interp(x[:, j], k, qs) + 1 - np.interp(-x[:, j], -k[::-1], qs)) / 2 for j, k in enumerate(knots)], axis=1))
+        if self.kind == "pca":
+            mu, axes = a["mu"], a["axes"]
+            return _map_features(df, lambda x: (x - mu) @ axes)
+        raise ValueError(f"unknown transform {self.kind}")
+
+
+def _map_features(df: DataFrame, fn) -> DataFrame:
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(features=list(fn(np.stack(pdf["features"].to_numpy()).astype(float))))
+    return df.mapInPandas(run, head)
 
 
 def fit_maxabs(train: DataFrame) -> Transform:
-    top = _lits([r["m"] or 1.0 for r in _columns(train, F.max(F.abs("v")).alias("m"))])
-    return Transform(lambda df: df.withColumn("features", F.zip_with("features", top, lambda v, m: v / m)))
+    return Transform("maxabs", arrays={"top": np.array([r["m"] or 1.0 for r in _columns(train, F.max(F.abs("v")).alias("m"))])})
 
 
 def fit_standard(train: DataFrame) -> Transform:
     rows = _columns(train, F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    mu, sd = _lits([r["m"] for r in rows]), _lits([r["s"] or 1.0 for r in rows])
-    return Transform(lambda df: df.withColumn("features", F.zip_with(
-        F.zip_with("features", mu, lambda v, m: v - m), sd, lambda v, s: v / s)))
+    return Transform("standard", arrays={"mu": np.array([r["m"] for r in rows]), "sd": np.array([r["s"] or 1.0 for r in rows])})
 
 
 def fit_quantile(train: DataFrame) -> Transform:
     """Map every feature to its empirical distribution function in [0, 1]."""
     qs = [i / (KNOTS - 1) for i in range(KNOTS)]
     rows = _columns(train, F.percentile_approx("v", qs, 10000).alias("q"))
-    knots = np.array([r["q"] for r in rows], dtype=float)
-
-    def apply(df):
-        head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
-        def run(batches):
-            for pdf in batches:
-                if len(pdf):
-                    x = np.stack(pdf["features"].to_numpy()).astype(float)
-                    y = np.stack([(np.interp(x[:, j], k, qs) + 1 - np.interp(-x[:, j], -k[::-1], qs)) / 2 for j, k in enumerate(knots)], axis=1)
-                    yield pdf.assign(features=list(y))
-        return df.mapInPandas(run, head)
-    return Transform(apply)
+    return Transform("quantile", arrays={"knots": np.array([r["q"] for r in rows], dtype=float)})
 
 
 def fit_pca(train: DataFrame, k: int | None = None) -> Transform:
@@ -92,17 +107,7 @@ def fit_pca(train: DataFrame, k: int | None = None) -> Transform:
     axes = np.linalg.eigh(cov)[1][:, ::-1][:, :k or len(mu)]
     # the sign of an axis is free: make its largest entry positive
     sign = np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
-    axes = axes * np.where(sign == 0, 1, sign)
-
-    def apply(df):
-        head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
-        def run(batches):
-            for pdf in batches:
-                if len(pdf):
-                    yield pdf.assign(features=list((np.stack(pdf["features"].to_numpy()).astype(float) - mu) @ axes))
-        return df.mapInPandas(run, head)
-    return Transform(apply)
+    return Transform("pca", arrays={"mu": mu, "axes": axes * np.where(sign == 0, 1, sign)})
 
 
 # --- classifiers --------------------------------------------------------------------
@@ -131,10 +136,12 @@ def _all_classes(votes: DataFrame, labels: list[str]) -> DataFrame:
 
 
 class Model:
-    """A fitted candidate."""
+    """A fitted candidate as data: its steps and, by classifier, arrays, a table of points or a Spark ML pipeline."""
 
-    def __init__(self, steps, scorer, labels):
-        self.steps, self.scorer, self.labels = steps, scorer, labels
+    def __init__(self, steps: list[Transform], classifier: str, params: dict, labels: list[str], arrays: dict | None = None,
+                 points: DataFrame | None = None, pipeline: PipelineModel | None = None):
+        self.steps, self.classifier, self.params, self.labels = steps, classifier, params, labels
+        self.arrays, self.points, self.pipeline = arrays or {}, points, pipeline
 
     def prepare(self, df: DataFrame) -> DataFrame:
         for s in self.steps:
@@ -142,7 +149,37 @@ class Model:
         return df
 
     def predict(self, df: DataFrame) -> DataFrame:
-        return self.scorer(self.prepare(_meta(df)))
+        df = self.prepare(_meta(df))
+        if self.points is not None:
+            return {"knn": _knn, "radius": _radius}[self.classifier](df, self.points, self.labels, **self.params)
+        if self.pipeline is not None:
+            return _pipeline_scores(df, self.classifier, self.pipeline, self.labels)
+        return _discriminant_scores(df, self.arrays, self.labels)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write everything below ``path``: the description as JSON, arrays and points as Parquet, a pipeline in Spark's own form."""
+        text = json.dumps({"classifier": self.classifier, "params": self.params, "labels": self.labels, "points": self.points is not None,
+                           "pipeline": self.pipeline is not None, "steps": [[s.kind, s.name] for s in self.steps]}, sort_keys=True)
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
+        rows = [(i, name, [int(n) for n in a.shape], [float(v) for v in a.ravel()])
+                for i, part in enumerate([*[s.arrays for s in self.steps], self.arrays]) for name, a in part.items()]
+        spark.createDataFrame(rows, ARRAYS).write.mode("overwrite").parquet(f"{path}/arrays")
+        if self.points is not None:
+            self.points.write.mode("overwrite").parquet(f"{path}/points")
+        if self.pipeline is not None:
+            self.pipeline.write().overwrite().save(f"{path}/pipeline")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Model:
+        """The model that ``save`` wrote; it predicts the same."""
+        m = json.loads(spark.read.text(f"{path}/model").first()["value"])
+        parts = [{} for _ in range(len(m["steps"]) + 1)]
+        # one row per array of a step or a discriminant, as many numbers as the fitted model has
+        for r in spark.read.schema(ARRAYS).parquet(f"{path}/arrays").collect():
+            parts[r["part"]][r["name"]] = np.array(r["data"]).reshape(r["shape"])
+        steps = [Transform(kind, name, a) for (kind, name), a in zip(m["steps"], parts)]
+        return Model(steps, m["classifier"], m["params"], m["labels"], parts[-1], spark.read.parquet(f"{path}/points") if m["points"] else None,
+                     PipelineModel.load(f"{path}/pipeline") if m["pipeline"] else None)
 
 
 def _labels(train: DataFrame) -> list[str]:
@@ -158,41 +195,37 @@ def _attach(df: DataFrame, probs: DataFrame) -> DataFrame:
     return who.join(probs, "id").select(F.col("id").alias("series_id"), "category", "true_label", "class", "probability")
 
 
-def _knn(train: DataFrame, labels, n_neighbors: int = 5, weights: str = "uniform"):
-    points = _points(train)
-
-    def score(df):
-        near = knn_join(_points(df).drop("label"), points, n_neighbors)
-        if weights == "distance":
-            # a neighbour at distance 0 outweighs all others
-            zero = F.exists("near", lambda x: x["dist"] == 0)
-            w = lambda x: F.when(F.col("zero"), (x["dist"] == 0).cast("double")).otherwise(1 / F.nullif(x["dist"], F.lit(0.0)))
-            near = near.withColumn("zero", zero)
-        else:
-            w = lambda x: F.lit(1.0)
-        rows = near.select("id", F.explode(F.transform("near", lambda x: F.struct(x["label"].alias("label"), w(x).alias("w")))).alias("r"))
-        votes = rows.groupBy("id", "r.label").agg(F.sum("r.w").alias("w")).groupBy("id").agg(
-            F.map_from_entries(F.collect_list(F.struct("label", "w"))).alias("m"))
-        return _attach(df, _all_classes(votes, labels))
-    return score
-
-
-def _radius(train: DataFrame, labels, radius: float = 1.0, weights: str = "uniform"):
-    points = _points(train)
-    common = points.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.min(F.struct((-F.col("n")).alias("o"), "label"))["label"].alias("label")).first()["label"]
-
-    def score(df):
-        v = radius_votes(_points(df).drop("label"), points, radius)
-        v = v.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("label", F.struct("votes", "exact", "weight")))).alias("v"),
-                                F.sum("exact").alias("n_exact"))
-        # map values: votes, or weights unless a neighbour lies at distance 0
-        pick = ((lambda k, x: x["votes"].cast("double")) if weights == "uniform" else
-                (lambda k, x: F.when(F.col("n_exact") > 0, x["exact"].cast("double")).otherwise(x["weight"])))
-        v = v.select("id", F.transform_values("v", pick).alias("m"))
-        every = df.select(F.col("series_id").alias("id")).join(v, "id", "left").withColumn(
-            "m", F.coalesce("m", F.create_map(F.lit(common), F.lit(1.0))))
-        return _attach(df, _all_classes(every, labels))
-    return score
+def _knn(df: DataFrame, points: DataFrame, labels: list[str], n_neighbors: int = 5, weights: str = "uniform") -> DataFrame:
+    near = knn_join(_points(df).drop("label"), points, n_neighbors)
+    if weights == "distance":
+        # a neighbour at distance 0 outweighs all others
+        zero = F.exists("near", lambda x: x["dist"] == 0)
+        w = lambda x: F.when(F.col("zero"), (x["dist"] == 0).cast("double")).otherwise(1 / F.nullif(x["dist"], F.lit(0.0)))
+        near = near.withColumn("zero", zero)
+    else:
+        w = lambda x: F.lit(1.0)
+    rows = near.select("id", F.explode(F.transform("near", lambda x: F.struct(x["label"].alias("label"), w(x).alias("w")))).alias("r"))
+    votes = rows.groupBy("id", "r.label").agg(F.sum("r.w").alias("w")).groupBy("id").agg(
+        F.map_from_entries(F.collect_list(F.struct("label", "w"))).alias("m"))
+    return _attach(df, _all_classes(votes, labels))
+
+
+def _most_common(train: DataFrame) -> str:
+    return train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.min(F.struct((-F.col("n")).alias("o"), "label"))["label"].alias("label")).first()["label"]
+
+
+def _radius(df: DataFrame, points: DataFrame, labels: list[str], common: str, radius: float = 1.0, weights: str = "uniform") -> DataFrame:
+    """A row without neighbours gets the ``common`` label."""
+    v = radius_votes(_points(df).drop("label"), points, radius)
+    v = v.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("label", F.struct("votes", "exact", "weight")))).alias("v"),
+                            F.sum("exact").alias("n_exact"))
+    # map values: votes, or weights unless a neighbour lies at distance 0
+    pick = ((lambda k, x: x["votes"].cast("double")) if weights == "uniform" else
+            (lambda k, x: F.when(F.col("n_exact") > 0, x["exact"].cast("double")).otherwise(x["weight"])))
+    v = v.select("id", F.transform_values("v", pick).alias("m"))
+    every = df.select(F.col("series_id").alias("id")).join(v, "id", "left").withColumn(
+        "m", F.coalesce("m", F.create_map(F.lit(common), F.lit(1.0))))
+    return _attach(df, _all_classes(every, labels))
 
 
 def _class_moments(train: DataFrame):
@@ -214,11 +247,12 @@ def _class_moments(train: DataFrame):
     return out
 
 
-def _discriminant(train: DataFrame, labels, quadratic: bool):
+def _discriminant(train: DataFrame, labels: list[str], quadratic: bool) -> dict[str, np.ndarray]:
+    """Centre, inverse covariance and bias of every class."""
     mom = _class_moments(train)
     total = sum(v[0] for v in mom.values())
     pooled = sum(v[0] / total * v[2] for v in mom.values())
-    parts = []
+    mus, invs, bias = [], [], []
     for c in labels:
         n, mu, cov = mom[c]
         cov = (cov if quadratic else pooled) + RIDGE * np.trace(pooled) / len(mu) * np.eye(len(mu))
@@ -226,20 +260,22 @@ def _discriminant(train: DataFrame, labels, quadratic: bool):
             # a class smaller than the feature count borrows from the pooled covariance
             cov = cov if n > len(mu) + 1 else 0.5 * cov + 0.5 * pooled
             cov = cov + RIDGE * np.eye(len(mu))
-        sign, logdet = np.linalg.slogdet(cov)
-        parts.append((mu, np.linalg.inv(cov), -0.5 * logdet + np.log(n / total)))
-
-    def score(df):
-        def run(batches):
-            for pdf in batches:
-                if len(pdf):
-                    x = np.stack(pdf["features"].to_numpy()).astype(float)
-                    s = np.stack([b - 0.5 * np.einsum("ij,jk,ik->i", x - mu, inv, x - mu) for mu, inv, b in parts], axis=1)
-                    e = np.exp(s - s.max(axis=1, keepdims=True))
-                    yield pdf[META].assign(p=list(e / e.sum(axis=1, keepdims=True)))
-        out = df.select(*META, "features").mapInPandas(run, "series_id bigint, category string, label string, p array<double>")
-        return _explode_classes(out, "p", labels)
-    return score
+        mus.append(mu)
+        invs.append(np.linalg.inv(cov))
+        bias.append(-0.5 * np.linalg.slogdet(cov)[1] + np.log(n / total))
+    return {"mu": np.array(mus), "inv": np.array(invs), "bias": np.array(bias)}
+
+
+def _discriminant_scores(df: DataFrame, arrays: dict[str, np.ndarray], labels: list[str]) -> DataFrame:
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["features"].to_numpy()).astype(float)
+                s = np.stack([b - 0.5 * np.einsum("ij,jk,ik->i", x - mu, inv, x - mu) for mu, inv, b in zip(arrays["mu"], arrays["inv"], arrays["bias"])], axis=1)
+                e = np.exp(s - s.max(axis=1, keepdims=True))
+                yield pdf[META].assign(p=list(e / e.sum(axis=1, keepdims=True)))
+    out = df.select(*META, "features").mapInPandas(run, "series_id bigint, category string, label string, p array<double>")
+    return _explode_classes(out, "p", labels)
 
 
 def _explode_classes(df: DataFrame, col: str, labels: list[str]) -> DataFrame:
@@ -275,10 +311,6 @@ def _estimator(spec: Spec, n_features: int, n_classes: int, n_rows: int):
     raise ValueError(f"unknown classifier {c}")
 
 
-CUSTOM = {"knn": _knn, "radius": _radius,
-          "lda": lambda t, l, **p: _discriminant(t, l, False), "qda": lambda t, l, **p: _discriminant(t, l, True)}
-
-
 def fit(train: DataFrame, spec: Spec) -> Model:
     """Fit the steps of a candidate in order, then its classifier."""
     steps = []
@@ -286,15 +318,17 @@ def fit(train: DataFrame, spec: Spec) -> Model:
     for kind, name in (("normalizer", spec.normalizer), ("scaler", spec.scaler), ("reduction", spec.reduction)):
         if name is None:
             continue
-        if kind == "normalizer":
-            step = Transform(lambda df, norm=name: normalize_rows(df, norm))
-        else:
-            step = {"maxabs": fit_maxabs, "standard": fit_standard, "quantile": fit_quantile, "pca": fit_pca}[name](train)
+        step = Transform("normalizer", name) if kind == "normalizer" else {
+            "maxabs": fit_maxabs, "standard": fit_standard, "quantile": fit_quantile, "pca": fit_pca}[name](train)
         steps.append(step)
         train = step.apply(train)
-    if spec.classifier in CUSTOM:
+    clf = spec.classifier
+    if clf in ("knn", "radius"):
+        params = dict(spec.params) if clf == "knn" else {**spec.params, "common": _most_common(train)}
+        return Model(steps, clf, params, _labels(train), points=_points(train))
+    if clf in ("lda", "qda"):
         labels = _labels(train)
-        return Model(steps, CUSTOM[spec.classifier](train, labels, **spec.params), labels)
+        return Model(steps, clf, {}, labels, arrays=_discriminant(train, labels, clf == "qda"))
     rows = train.select("label", array_to_vector("features").alias("v"))
     stages = []
     if spec.classifier == "bernoulli_nb":
@@ -313,17 +347,16 @@ def fit(train: DataFrame, spec: Spec) -> Model:
         est = est.setWeightCol("weight")
     model = Pipeline(stages=[*stages, est]).fit(index.transform(rows))
 
-    def score(df):
-        x = df.select(*META, array_to_vector("features").alias("raw" if stages else "v"))
-        out = model.transform(x)
-        if spec.classifier == "gbt":
-            raw = _explode_classes(out.select(*META, vector_to_array("rawPrediction").alias("p")), "p", labels)
-            return decision_to_proba(raw.withColumnRenamed("probability", "decision")).drop("decision")
-        return _explode_classes(out.select(*META, vector_to_array("probability").alias("p")), "p", labels)
-
-    m = Model(steps, score, labels)
-    m.pipeline = model
-    return m
+    return Model(steps, clf, {}, list(labels), pipeline=model)
+
+
+def _pipeline_scores(df: DataFrame, classifier: str, pipeline: PipelineModel, labels: list[str]) -> DataFrame:
+    raw = "raw" if classifier == "bernoulli_nb" else "v"
+    out = pipeline.transform(df.select(*META, array_to_vector("features").alias(raw)))
+    if classifier == "gbt":
+        rows = _explode_classes(out.select(*META, vector_to_array("rawPrediction").alias("p")), "p", labels)
+        return decision_to_proba(rows.withColumnRenamed("probability", "decision")).drop("decision")
+    return _explode_classes(out.select(*META, vector_to_array("probability").alias("p")), "p", labels)
 
 
 # --- candidate grid -------------------------------------------------------------------

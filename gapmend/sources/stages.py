@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from gapmend.operators.models import Model
+
 
 def persist_stage(df: DataFrame, root: str, stage: str) -> None:
     """Write a stage; only the data sets present in ``df`` are replaced."""
@@ -42,12 +43,12 @@ def run_stage(df: DataFrame, root: str, stage: str, build) -> DataFrame:
     return load_stage(df.sparkSession, root, stage)
 
 
-def save_run(root: str, models: dict[str, PipelineModel], train: DataFrame, test: DataFrame,
+def save_run(root: str, models: dict[str, Model], train: DataFrame, test: DataFrame,
              manifest: dict) -> None:
-    """Save a training run: models, the train and test tables and a JSON manifest."""
+    """Save a training run: whole models with their steps, of any classifier, the train and test tables and a JSON manifest."""
     spark = train.sparkSession
     for name, model in models.items():
-        model.write().overwrite().save(f"{root}/models/{name}")
+        model.save(spark, f"{root}/models/{name}")
     train.write.mode("overwrite").parquet(f"{root}/train")
     test.write.mode("overwrite").parquet(f"{root}/test")
     text = json.dumps({**manifest, "models": sorted(models)}, sort_keys=True)
@@ -57,7 +58,7 @@ def save_run(root: str, models: dict[str, PipelineModel], train: DataFrame, test
 def load_run(spark: SparkSession, root: str):
     """-> (models by name, train, test, manifest)"""
     manifest = json.loads(spark.read.text(f"{root}/manifest").first()["value"])
-    models = {m: PipelineModel.load(f"{root}/models/{m}") for m in manifest["models"]}
+    models = {m: Model.load(spark, f"{root}/models/{m}") for m in manifest["models"]}
     return models, spark.read.parquet(f"{root}/train"), spark.read.parquet(f"{root}/test"), manifest
 
 
