@@ -72,18 +72,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     Pairs whose fingerprints differ in more than RADIUS bits although they reach 0.8 are the
     method's only loss; at 0.8 the expected difference is about 10 bits. Items with fewer than five words have no shingle and
-    are skipped, as are null texts. Repeated items count under each id. Rows alike in
+    are skipped, as are null texts. Each text of an item is searched by itself; an id with several
+    texts has one row per document, for the best of them, and a null id is an id like others. Rows alike in
     id and text give one row. A shingle common to many documents only makes more rows of step 1.
     """
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), shingles(F.col(item_text_col)).alias("sh")).where(F.size("sh") > 0)
-    items = staged(items.dropDuplicates(["item_id", "sh"]), "items")
-    item_sh = items.select("item_id", F.size("sh").alias("s_item"), F.explode("sh").alias("s")).groupBy("item_id", "s_item", "s").agg(F.count(F.lit(1)).alias("c_item"))
+    # a number of its own for each text of an item: ids may be null, and texts may share one
+    items = staged(items.dropDuplicates(["item_id", "sh"]).withColumn("item", F.monotonically_increasing_id()), "items")
+    item_sh = items.select("item", F.size("sh").alias("s_item"), F.explode("sh").alias("s")).groupBy("item", "s_item", "s").agg(F.count(F.lit(1)).alias("c_item"))
     item_sh = staged(item_sh, "item-shingles")
 
     read = keyed(docs, id_col, text_col).select(*KEY, shingles(F.col("doc")[text_col]).alias("sh"))
     at = read.where(F.size("sh") > 0).select(*KEY, F.size("sh").alias("s_doc"), F.posexplode("sh").alias("p", "s"))
-    hits = at.join(small(item_sh.select("s", "item_id", "s_item")), "s")
-    found = hits.groupBy(*KEY, "item_id", "s_item").agg(F.array_sort(F.collect_set("p")).alias("h"), F.max("s_doc").alias("s_doc"))
+    hits = at.join(small(item_sh.select("s", "item", "s_item")), "s")
+    found = hits.groupBy(*KEY, "item", "s_item").agg(F.array_sort(F.collect_set("p")).alias("h"), F.max("s_doc").alias("s_doc"))
     found = found.withColumn("s_win", F.least("s_item", "s_doc")).withColumn("m", least_overlap(F.col("s_item"), F.col("s_win")))
     found = found.where(F.size("h") >= F.col("m"))
     # a start between h[k + m - 1] - s_win + 1 and h[k] has h[k] .. h[k + m - 1] in its window
@@ -99,16 +101,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     w_sh = staged(w_sh.groupBy(*WINDOW, "s_win", "s").agg(F.count(F.lit(1)).alias("c")), "window-shingles")
 
     w_fp = w_sh.groupBy(*WINDOW).agg(fingerprint(F.col("s"), F.col("c")).alias("fp"))
-    i_fp = item_sh.groupBy("item_id", F.col("s_item").alias("size")).agg(fingerprint(F.col("s"), F.col("c_item")).alias("item_fp"))
+    i_fp = item_sh.groupBy("item", F.col("s_item").alias("size")).agg(fingerprint(F.col("s"), F.col("c_item")).alias("item_fp"))
     left = w_fp.select(*WINDOW, "fp", F.inline(blocks("fp")))
-    right = i_fp.select("item_id", "size", "item_fp", F.inline(blocks("item_fp")))
+    right = i_fp.select("item", "size", "item_fp", F.inline(blocks("item_fp")))
     near = left.join(small(right), ["size", "block", "bits"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    near = near.select(*WINDOW, "item_id").distinct()
+    near = near.select(*WINDOW, "item").distinct()
 
-    both = near.join(w_sh, WINDOW).join(small(item_sh), ["item_id", "s"])
-    scored = both.groupBy(*WINDOW, "s_win", "item_id").agg(F.sum(F.least("c", "c_item")).alias("o"))
+    both = near.join(w_sh, WINDOW).join(small(item_sh), ["item", "s"])
+    scored = both.groupBy(*WINDOW, "s_win", "item").agg(F.sum(F.least("c", "c_item")).alias("o"))
     scored = scored.where(9 * F.col("o") >= 4 * (F.col("s_win") + F.col("size")))
     similarity = F.col("o") / (F.col("s_win") + F.col("size") - F.col("o"))
+    scored = scored.join(small(items.select("item", "item_id")), "item")
     best = scored.groupBy(*KEY, "item_id").agg(F.max(F.struct(similarity.alias("similarity"), (-F.col("start")).alias("neg"), "s_win")).alias("b"))
     return best.select(*KEY, "item_id", (-F.col("b.neg")).cast("bigint").alias("start"), (F.col("b.s_win") + SHINGLE - 1).cast("bigint").alias("n_words"),
                        F.col("b.similarity").alias("similarity"))

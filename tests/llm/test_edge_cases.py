@@ -168,6 +168,19 @@ def test_decontamination(docs, none, bench):
     assert decontaminate.clean_documents(none, bench).count() == 0 and decontaminate.clean_documents(docs, bench.limit(0)).count() == len(ROWS)
 
 
+def test_items_without_id_and_items_with_several_texts(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in ("lost", "one", "two", "other")}
+    bench = spark.createDataFrame([(None, text["lost"]), (7, text["one"]), (7, text["two"]), (7, text["two"] + " with three words"), (8, "a b")], "item_id bigint, text string")
+    near = text["two"].split()
+    near[14] = "changed"
+    rows = [(1, "before " + text["lost"] + " after", "en", "a", 1), (2, text["one"], "en", "a", 1), (3, "x " + " ".join(near) + " y", "en", "a", 1),
+            (4, text["one"] + " " + text["two"], "en", "a", 1), (5, text["other"], "en", "a", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.k1, r.item_id): (r.start, r.n_words, round(r.similarity, 6)) for r in decontaminate.leaks(docs, bench).collect()}
+    assert got.keys() == {(1, None), (2, 7), (4, 7)} and got[1, None] == (1, 30, 1.0) and got[2, 7] == (0, 30, 1.0) and got[4, 7] == (0, 30, 1.0)
+    assert {r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()} == {3, 5}
+
+
 @pytest.mark.parametrize("scores,column", [(compression.quality_scores, "score"), (toxicity.severity, "p_toxic")])
 def test_scores(docs, none, labels, scores, column):
     got = scores(docs, labels).collect()
