@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gapmend.catalog.base import (ASG, CM, CM_GAPS, MONTHS, _CELLS, assignment, clustered_month, query, rounded)
-from gapmend.operators import bench as B, impute as I
+from gapmend.operators import bench as B, impute as I, lowrank as R
 from gapmend.plans import labeling as L
 
 K4 = "dataset, cluster_id, series_id, miss_perc"
@@ -144,6 +144,14 @@ for algo, name in (("svdimp", "impute_svd"), ("softimp", "impute_softimpute"), (
         return rounded(I.impute_low_rank(masked(spark, d), clustered_month(spark, d, None), algo), "imputed")
 
 
+@query("low_rank_rounds")
+def _(spark, d):
+    """How many rounds each low-rank imputer took, and whether it came to rest."""
+    fit = R.low_rank_fit(masked(spark, d), clustered_month(spark, d, None))
+    return fit.groupBy("dataset", "cluster_id", "series_id", "miss_perc", "algorithm").agg(
+        F.count(F.lit(1)).alias("n_sets"), F.max("rounds").alias("rounds"), F.min("converged").alias("converged"))
+
+
 @query("impute_als")
 def _(spark, d):
     return rounded(I.impute_als(masked(spark, d), clustered_month(spark, d, None)), "imputed")
@@ -247,6 +255,44 @@ def _(spark, d):
 LABELS = f"lab AS (SELECT asg.dataset, asg.cluster_id, series_id, label FROM asg JOIN mono ON mono.dataset = asg.dataset AND mono.cluster_id = asg.cluster_id)"
 
 
-@query("label_clusters", f"WITH {BENCH}, {VOTE}, {COLL}, {MONO}, {LABELS} SELECT * FROM lab")
+@query("label_clusters")
 def _(spark, d):
+    """All imputers compete."""
     return L.label_clusters(clustered_month(spark, d, None), assignment(spark, d))
+
+
+@query("label_clusters_single", f"WITH {BENCH}, {VOTE}, {COLL}, {MONO}, {LABELS} SELECT * FROM lab")
+def _(spark, d):
+    return L.label_clusters(clustered_month(spark, d, None), assignment(spark, d), algorithms=L.SINGLE)
+
+
+#: The series that each cluster's imputers see: its own first ones, some of its end, and scattered others.
+CONTEXT = f"""sz AS (SELECT dataset, cluster_id, count(*) AS size FROM asg GROUP BY 1, 2),
+  tot AS (SELECT dataset, count(*) AS total FROM asg GROUP BY 1),
+  inn AS (SELECT asg.*, size, row_number() OVER (PARTITION BY asg.dataset, asg.cluster_id ORDER BY series_id) AS pos,
+    greatest(5 - (least(size, 2) + least(total - size, 10)), 0) AS lack FROM asg JOIN sz ON sz.dataset = asg.dataset AND sz.cluster_id = asg.cluster_id
+    JOIN tot ON tot.dataset = asg.dataset),
+  rnd AS (SELECT sz.dataset, sz.cluster_id, o.series_id, row_number() OVER (PARTITION BY sz.dataset, sz.cluster_id
+     ORDER BY ((o.series_id % 10007) * 7919 + 104729) % 10007, o.series_id) AS rn
+    FROM sz JOIN asg o ON o.dataset = sz.dataset AND o.cluster_id <> sz.cluster_id),
+  sel AS (SELECT dataset, cluster_id, series_id FROM inn WHERE (lack > 0 AND size - 2 < lack) OR pos <= 2 OR pos > size - lack
+    UNION ALL SELECT dataset, cluster_id, series_id FROM rnd WHERE rn <= 10),
+  ctxcells AS (SELECT sel.dataset, sel.cluster_id, sel.series_id, sm.t, sm.value FROM sel JOIN sm ON sm.dataset = sel.dataset AND sm.series_id = sel.series_id)"""
+SEEN = [q.replace(" cm ", " ctxcells ") for q in (SIB, REG, KNN, PATTERN)]
+TEN = f"""{CM_GAPS}, {CONTEXT}, {MK}, {CTX}, {SEEN[0]}, {SEEN[3]},
+  imp AS ({" UNION ALL ".join(one(a) for a in FILL)} UNION ALL {SEEN[1]} UNION ALL {SEEN[2]} UNION ALL SELECT * FROM pat), {ERR}"""
+
+
+@query("label_clusters_ten", f"WITH {TEN}, {VOTE}, {COLL}, {MONO}, {LABELS} SELECT * FROM lab")
+def _(spark, d):
+    """The ten imputers that SQL can express compete, on the selected series."""
+    ten = (*L.SINGLE, "regression", "knn_series", "pattern_knn")
+    return L.label_clusters(clustered_month(spark, d, None), assignment(spark, d), algorithms=ten)
+
+
+@query("bench_errors_ten", f"""WITH {TEN} SELECT dataset, cluster_id, algorithm, miss_perc, round(mae, 6) AS mae, round(mse, 6) AS mse,
+  round(rmse, 6) AS rmse FROM bench""")
+def _(spark, d):
+    cells, asg = clustered_month(spark, d, None), assignment(spark, d)
+    ten = (*L.SINGLE, "regression", "knn_series", "pattern_knn")
+    return rounded(L.full_bench(cells, None, ten, L.bench_context(cells, asg)), "mae", "mse", "rmse")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gapmend.functions.columns import div, pearson, scatter
 from gapmend.operators.blocks import carry, neighbours, ranked
+from gapmend.operators.lowrank import impute_low_rank, impute_low_rank_all  # noqa: F401
 from gapmend.operators.series import ID_BUCKET
 from gapmend.session import cut_lineage
 
@@ -43,18 +44,20 @@ def select_bench_series(assignment: DataFrame, strategy: str = "RDM_FROM_DATASET
         return head.unionByName(rest.withColumn("role", F.lit("dataset")))
     if strategy != "RDM_FROM_DATASET":
         raise ValueError(f"unknown strategy {strategy}")
-    # no cluster needs more than n_random + (largest cluster) of the data set's order
-    need = sizes.groupBy("dataset").agg((F.max("size") + n_random).alias("need"), F.sum("size").alias("total"))
+    total = sizes.groupBy("dataset").agg(F.sum("size").alias("total"))
+    # pos: place in the data set's order; own: place among the series of the same cluster
     order = ranked(out, ["dataset"], [scatter("series_id"), "series_id"], scatter("series_id"), "pos")
-    pool = order.join(need, "dataset").where("pos <= need").select(
-        "dataset", "series_id", "pos", F.col("cluster_id").alias("home"))
-    # one short array per cluster, so that nothing but the kept ids is shuffled
-    packed = pool.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("pos", "series_id", "home"))).alias("pool"))
-    others = sizes.join(packed, "dataset").select(
-        *CLUSTER, F.explode(F.slice(F.filter("pool", lambda p: p["home"] != F.col("cluster_id")), 1, n_random)).alias("p"))
-    picked = others.select(*CLUSTER, F.col("p.series_id").alias("series_id"), F.lit("random").alias("role"))
+    order = ranked(order, CLUSTER, [scatter("series_id"), "series_id"], scatter("series_id"), "own")
+    # a member with fewer than n_random foreign series before it moves the cluster's cut by one
+    ahead = order.where(F.col("pos") - F.col("own") < n_random).groupBy(*CLUSTER).agg(F.count(F.lit(1)).alias("ahead"))
+    foreign = order.select("dataset", "series_id", "pos", F.col("cluster_id").alias("home"))
+    # the first places serve every cluster; only the (at most n_random) clusters with members there look further
+    near = sizes.select(*CLUSTER).join(foreign.where(F.col("pos") <= n_random), "dataset").where("home <> cluster_id")
+    far = ahead.join(foreign.where(F.col("pos") > n_random), "dataset").where(
+        (F.col("pos") <= F.col("ahead") + n_random) & (F.col("home") != F.col("cluster_id")))
+    picked = near.select(*CLUSTER, "series_id").unionByName(far.select(*CLUSTER, "series_id")).withColumn("role", F.lit("random"))
     inside = ranked(out, CLUSTER, ["series_id"], F.floor(F.col("series_id") / ID_BUCKET).cast("bigint"), "pos")
-    inside = inside.join(sizes, CLUSTER).join(need, "dataset")
+    inside = inside.join(sizes, CLUSTER).join(total, "dataset")
     n_used = F.least(F.col("size"), F.lit(2)) + F.least(F.col("total") - F.col("size"), F.lit(n_random))
     lack = F.greatest(F.lit(least) - n_used, F.lit(0))
     enough = F.col("size") - 2 >= lack
@@ -234,117 +237,41 @@ def impute_pattern_knn(masked: DataFrame, cells: DataFrame, k: int = 3) -> DataF
         *MASK, "z.c.t", "z.c.value", "z.c.hidden", F.lit("pattern_knn").alias("algorithm"), F.col("z.g").alias("imputed"))
 
 
-# --- low-rank completion ---------------------------------------------------------
-
-def _shrink_svd(x: np.ndarray, rule) -> np.ndarray:
-    u, s, v = np.linalg.svd(x, full_matrices=False)
-    return (u * rule(s)) @ v
-
-
-def _sign_vector(x: np.ndarray) -> np.ndarray:
-    """Sign vector that (locally) maximises |x^T z| by single flips."""
-    z = np.ones(len(x))
-    gram = x @ x.T
-    for _ in range(4 * len(x)):
-        gain = -z * (gram @ z) + np.diag(gram)
-        best = int(np.argmax(gain))
-        if gain[best] <= 1e-12:
-            break
-        z[best] = -z[best]
-    return z
-
-
-def _centroid_rank(x: np.ndarray, k: int) -> np.ndarray:
-    rest, total = x.copy(), np.zeros_like(x)
-    for _ in range(min(k, min(x.shape))):
-        c = rest.T @ _sign_vector(rest)
-        size = np.linalg.norm(c)
-        if size < 1e-12:
-            break
-        part = np.outer(rest @ (c / size), c / size)
-        total, rest = total + part, rest - part
-    return total
-
-
-def _completion(name: str, x: np.ndarray, rounds: int) -> np.ndarray:
-    """Fill the NaN cells of a (series x time) matrix."""
-    gap = np.isnan(x)
-    known = np.where(gap, 0.0, x)
-    count = (~gap).sum(axis=1, keepdims=True)
-    mu = known.sum(axis=1, keepdims=True) / np.maximum(count, 1)
-    full = np.where(gap, mu, x)
-    if name == "svt":
-        top = np.linalg.norm(known, 2) or 1.0
-        y, tau, step = known.copy(), 0.5 * top, 1.2
-        low = known
-        for _ in range(rounds):
-            low = _shrink_svd(y, lambda s: np.maximum(s - tau, 0))
-            y = y + step * np.where(gap, 0.0, x - low)
-        return np.where(gap, low, x)
-    for _ in range(rounds):
-        if name == "svdimp":
-            low = _shrink_svd(full, lambda s: np.where(np.arange(len(s)) < 3, s, 0.0))
-        elif name == "softimp":
-            low = _shrink_svd(full, lambda s: np.maximum(s - 0.05 * s.max(), 0.0))
-        else:
-            low = _centroid_rank(full, int(name[-1]))
-        full = np.where(gap, low, x)
-    return full
-
-
-def impute_low_rank(masked: DataFrame, cells: DataFrame, algorithm: str, rounds: int = 20) -> DataFrame:
-    """Low-rank completion of each cluster's matrix: svdimp, softimp, svt, cdrec_k2/_k3.
-
-    Clusters are bounded, so one group is one small dense matrix; clusters run in
-    parallel and each is shuffled once for all shares.
-    """
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            wide = right.pivot(index="series_id", columns="t", values="value").astype(float)
-            target = left["series_id"].iloc[0]
-            row, cols = wide.index.get_loc(target), wide.columns.get_indexer
-            for _, part in left.groupby("miss_perc"):
-                m = wide.to_numpy(copy=True)
-                at = cols(part["t"])
-                m[row, at[part["hidden"].to_numpy()]] = np.nan
-                out.append(part.assign(imputed=_completion(algorithm, m, rounds)[row, at]))
-        cols = [*MASK, "t", "value", "hidden", "imputed"]
-        return pd.concat(out)[cols] if out else pd.DataFrame(columns=cols)
-
-    schema = ("dataset string, cluster_id bigint, series_id bigint, miss_perc int, t bigint, value double, "
-              "hidden boolean, imputed double")
-    # fresh column identities: both sides often stem from the same cells
-    side = cells.select(*[F.col(c).alias(c) for c in (*CLUSTER, "series_id", "t", "value")])
-    done = masked.groupBy(*CLUSTER).cogroup(side.groupBy(*CLUSTER)).applyInPandas(run, schema)
-    return done.select(*MASK, "t", "value", "hidden", F.lit(algorithm).alias("algorithm"),
-                       F.when(~F.col("hidden") & F.col("value").isNotNull(), F.col("value")).otherwise(
-                           F.col("imputed")).alias("imputed"))
-
-
 def impute_als(masked: DataFrame, cells: DataFrame, rank: int = 4, iterations: int = 8, seed: int = 7) -> DataFrame:
-    """Non-negative matrix factorisation of all masked and complete series at once.
+    """Non-negative matrix factorisation of the masked and the complete series of a data set.
 
-    Values are scaled to [0, 1] per series before the factorisation.
+    Values are scaled to [0, 1] per series before. Each (data set, share) has rows and
+    columns of its own in the factorised matrix, so its factors see no cell that its
+    share hides and nothing of other data sets; a series that is masked in any cluster
+    takes part only as masked. Ids beyond the integers that ALS knows are an error.
     """
-    first = masked.select(*CLUSTER, "series_id").distinct()
-    others = cells.join(first, [*CLUSTER, "series_id"], "left_anti").where("value IS NOT NULL").select(
-        *CLUSTER, "series_id", F.lit(0).alias("miss_perc"), "t", F.col("value").alias("x"))
+    block = ["dataset", "miss_perc"]
+    first = masked.select("dataset", "series_id").distinct()
+    whole = cells.join(first, ["dataset", "series_id"], "left_anti").where("value IS NOT NULL").groupBy("dataset", "series_id", "t").agg(
+        F.max("value").alias("x"))
+    # a complete series belongs to no cluster here, and to every share
+    others = whole.join(masked.select(*block).distinct(), "dataset").select(
+        "dataset", F.lit(-1).cast("bigint").alias("cluster_id"), "series_id", "miss_perc", "t", "x")
     rows = visible(masked).where("x IS NOT NULL").select(*MASK, "t", "x").unionByName(others)
-    span = rows.groupBy(*MASK).agg(F.min("x").alias("lo"), (F.max("x") - F.min("x")).alias("width"))
-    span = ranked(span, ["dataset"], ["cluster_id", "series_id", "miss_perc"],
-                  F.floor(F.col("cluster_id") / ID_BUCKET).cast("bigint"), "pos")
-    # ALS wants integer ids: the position in the data set plus the rows of earlier ones
-    width = span.groupBy("dataset").agg(F.max("pos").alias("size"))
-    before = F.coalesce(F.sum("size").over(W.orderBy("dataset").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    span = span.join(width.select("dataset", before.alias("before")), "dataset")
-    span = cut_lineage(span.withColumn("user", (F.col("pos") + F.col("before")).cast("int")).drop("pos", "before"))
-    train = rows.join(span, MASK).select(
-        "user", F.col("t").cast("int").alias("item"), F.coalesce(div(F.col("x") - F.col("lo"), "width"), F.lit(0.0)).alias("rating"))
+    span = rows.groupBy(*MASK).agg(F.min("x").alias("lo"), (F.max("x") - F.min("x")).alias("width"),
+                                   F.min("t").alias("t0"), F.max("t").alias("t1"))
+    span = ranked(span, block, ["series_id", "cluster_id"], F.floor(F.col("series_id") / ID_BUCKET).cast("bigint"), "pos")
+    span = cut_lineage(span)
+    # ids: the place in the block plus what earlier blocks hold; one row per block
+    sizes = span.groupBy(*block).agg(F.max("pos").alias("users"), F.min("t0").alias("first_t"), (F.max("t1") - F.min("t0") + 1).alias("items"))
+    earlier = W.orderBy(*block).rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select(*block, "first_t", "items", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("users", "items")])
+    ids = span.join(sizes, block).withColumn("user", (F.col("pos") + F.col("users_before")).cast("int")).select(
+        *MASK, "lo", "width", "user", "first_t", "items", "items_before")
+    place = F.col("t") - F.col("first_t")
+    # a step outside of all known ones has no factors, so any id that is not in use will do
+    item = F.when((place >= 0) & (place < F.col("items")), place + F.col("items_before")).otherwise(-1).cast("int")
+    train = rows.join(ids, MASK).select(
+        "user", item.alias("item"), F.coalesce(div(F.col("x") - F.col("lo"), "width"), F.lit(0.0)).alias("rating"))
     model = ALS(userCol="user", itemCol="item", ratingCol="rating", rank=rank, maxIter=iterations, nonnegative=True,
                 regParam=0.05, seed=seed, coldStartStrategy="nan").fit(train)
-    target = masked.join(span, MASK, "left").withColumn("item", F.col("t").cast("int"))
-    scored = model.transform(target)
+    scored = model.transform(masked.join(ids, MASK, "left").withColumn("item", F.coalesce(item, F.lit(-1))).withColumn(
+        "user", F.coalesce("user", F.lit(-1))))
     guess = F.nanvl(F.col("prediction").cast("double"), F.lit(0.0)) * F.coalesce("width", F.lit(0.0)) + F.coalesce("lo", F.lit(0.0))
     return scored.select(*masked.columns, F.lit("als").alias("algorithm"), F.when(
         ~F.col("hidden") & F.col("value").isNotNull(), F.col("value")).otherwise(guess).alias("imputed"))
