@@ -15,6 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from gapmend.session import cut_lineage
+
 CLUSTER = ["dataset", "cluster_id"]
 MASK = ["dataset", "cluster_id", "series_id", "miss_perc"]
 MAX_MEMBERS = 15
@@ -197,8 +199,16 @@ def low_rank_fit(masked: DataFrame, cells: DataFrame, algorithms=ALGORITHMS, rou
     a constant. A task holds the sums of one masked copy: 136 numbers for each set of
     known series that occurs (at most 2^15), however many steps there are.
     """
-    place = members(cells)
-    return _fit(_steps(masked, cells, place), masked, place, list(algorithms), rounds, tol)
+    return _fit(*_inputs(masked, cells), list(algorithms), rounds, tol)
+
+
+def _inputs(masked: DataFrame, cells: DataFrame):
+    """Steps, masked rows and places, each computed once: both results below read them."""
+    # fresh column identities: both sides often stem from the same cells
+    cells = cells.select(*[F.col(c).alias(c) for c in (*CLUSTER, "series_id", "t", "value")])
+    masked = cut_lineage(masked.select(*MASK, "t", "value", "hidden"))
+    place = cut_lineage(members(cells))
+    return cut_lineage(_steps(masked, cells, place)), masked, place
 
 
 def _fit(steps, masked, place, algorithms, rounds, tol):
@@ -225,7 +235,9 @@ def _fit(steps, masked, place, algorithms, rounds, tol):
                 out.append((*key, name, int(sets[q]), wide, n, rest))
         return pd.DataFrame(out, columns=[*MASK, "algorithm", "bits", "coef", "rounds", "converged"])
 
-    return _problem_sums(steps, masked, place).groupBy(*MASK).applyInPandas(
+    # the rows are few but the rounds are not, so small partitions must not be put together
+    tasks = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _problem_sums(steps, masked, place).repartition(tasks, *MASK).groupBy(*MASK).applyInPandas(
         solve, "dataset string, cluster_id bigint, series_id bigint, miss_perc int, algorithm string, bits int, "
                "coef array<double>, rounds int, converged boolean")
 
@@ -237,12 +249,9 @@ def impute_low_rank_all(masked: DataFrame, cells: DataFrame, algorithms=ALGORITH
     ones among them. A series without any known value is filled with zeros, and steps at
     which nothing is known with what the means lead to.
     """
-    # fresh column identities: both sides often stem from the same cells
-    cells = cells.select(*[F.col(c).alias(c) for c in (*CLUSTER, "series_id", "t", "value")])
-    place = members(cells)
-    steps = _steps(masked, cells, place)
+    steps, masked, place = _inputs(masked, cells)
     fit = _fit(steps, masked, place, list(algorithms), rounds, tol).drop("rounds", "converged")
-    rows = masked.select(*MASK, "t", "value", "hidden").join(place, [*CLUSTER, "series_id"]).join(steps, [*CLUSTER, "t"])
+    rows = masked.join(place, [*CLUSTER, "series_id"]).join(steps, [*CLUSTER, "t"])
     rows = rows.withColumn("bits", _seen_bits()).withColumn(
         "algorithm", F.explode(F.array(*[F.lit(a) for a in algorithms])))
     done = rows.join(fit, [*MASK, "algorithm", "bits"], "left")

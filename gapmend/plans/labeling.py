@@ -42,6 +42,13 @@ def bench_context(cells: DataFrame, assignment: DataFrame) -> DataFrame:
     return chosen.join(cells.select("dataset", "series_id", "t", "value"), ["dataset", "series_id"])
 
 
+def selected_bench(cells: DataFrame, assignment: DataFrame, steps: int | None = None, algorithms=ALL) -> DataFrame:
+    """``full_bench`` in which imputers that use other series see the selected ones."""
+    # every imputer reads both tables
+    cells = cut_lineage(cells)
+    return full_bench(cells, steps, algorithms, cut_lineage(bench_context(cells, assignment)))
+
+
 def label_clusters(cells: DataFrame, assignment: DataFrame, steps: int | None = None, algorithms=ALL) -> DataFrame:
     """Mask, impute, score, rank by vote, label and give each series its label.
 
@@ -50,7 +57,6 @@ def label_clusters(cells: DataFrame, assignment: DataFrame, steps: int | None =
     if set(algorithms) <= set(SINGLE):
         bench = bench_table(cells, steps, list(algorithms))
     else:
-        # every imputer reads both tables
-        bench = full_bench(cut_lineage(cells), steps, algorithms, cut_lineage(bench_context(cells, assignment)))
+        bench = selected_bench(cells, assignment, steps, algorithms)
     ranking = B.collapse_variants(B.rank_voting(bench))
     return propagate_cluster_label(B.label_mono(ranking), assignment)
