@@ -235,9 +235,7 @@ def _fit(steps, masked, place, algorithms, rounds, tol):
                 out.append((*key, name, int(sets[q]), wide, n, rest))
         return pd.DataFrame(out, columns=[*MASK, "algorithm", "bits", "coef", "rounds", "converged"])
 
-    # the rows are few but the rounds are not, so small partitions must not be put together
-    tasks = int(steps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _problem_sums(steps, masked, place).repartition(tasks, *MASK).groupBy(*MASK).applyInPandas(
+    return _problem_sums(steps, masked, place).groupBy(*MASK).applyInPandas(
         solve, "dataset string, cluster_id bigint, series_id bigint, miss_perc int, algorithm string, bits int, "
                "coef array<double>, rounds int, converged boolean")
 
@@ -250,7 +248,7 @@ def impute_low_rank_all(masked: DataFrame, cells: DataFrame, algorithms=ALGORITH
     which nothing is known with what the means lead to.
     """
     steps, masked, place = _inputs(masked, cells)
-    fit = _fit(steps, masked, place, list(algorithms), rounds, tol).drop("rounds", "converged")
+    fit = cut_lineage(_fit(steps, masked, place, list(algorithms), rounds, tol).drop("rounds", "converged"))
     rows = masked.join(place, [*CLUSTER, "series_id"]).join(steps, [*CLUSTER, "t"])
     rows = rows.withColumn("bits", _seen_bits()).withColumn(
         "algorithm", F.explode(F.array(*[F.lit(a) for a in algorithms])))

@@ -9,7 +9,7 @@ QUERIES, ORACLE = load_catalog()
 #: With the few series per nation of the smallest tables these have no rows.
 EMPTY_HERE = {"corr_summary", "dataset_size_filter", "far_from_centroid", "ncc_c", "pairwise_corr", "pairwise_series", "prune_final",
               "series_outside_cluster", "upper_triangle"}
-SLOW = {"model_race", "feature_set_sweep", "clf_gbt", "bench_errors_all", "hyperparam_search", "train_cv"}
+SLOW = {"model_race", "feature_set_sweep", "clf_gbt", "hyperparam_search", "train_cv"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
