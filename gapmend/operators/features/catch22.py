@@ -9,13 +9,18 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from gapmend.operators.blocks import carry, neighbours
+from gapmend.operators.blocks import block_of, carry, neighbours, prefix_sums
+from gapmend.operators.correlate import key_schema
 from gapmend.operators.features.common import K, arrays, map_arrays, to_long, with_stats
 from gapmend.operators.features.entropy import bin_of, entropy_of
+from gapmend.session import cut_lineage
 
 TAU_STEPS, MIN_POINTS = 50, 6
+#: Every step, and every second step.
+LAGS = (1, 2)
 
 
 def _first(idx: Column, cond, default: Column) -> Column:
@@ -231,26 +236,103 @@ def _line_residuals(y: np.ndarray, x: np.ndarray) -> np.ndarray:
     return y - y.mean(axis=-1, keepdims=True) - ((y * xc).sum(axis=-1, keepdims=True) / (xc * xc).sum()) * xc
 
 
-def _fluctuation(x: np.ndarray, lag: int, ranged: bool) -> float:
-    """Where the log-log fluctuation curve is best split in two lines."""
-    taus = fluctuation_scales(len(x)) if len(x) >= 10 else []
-    if len(taus) < 2 * MIN_POINTS:
-        return 0.0
-    cs = np.cumsum(x[::lag][:len(x) // lag])
-    f = []
-    for tau in taus:
-        k = len(cs) // tau
-        res = _line_residuals(cs[:k * tau].reshape(k, tau), np.arange(tau, dtype=float))
-        f.append(np.sqrt((np.ptp(res, axis=1) ** 2).mean() if ranged else (res ** 2).mean()))
-    lt, lf = np.log(np.array(taus, dtype=float)), np.log(np.maximum(np.array(f), 1e-300))
-    err = [np.linalg.norm(_line_residuals(lf[:i], lt[:i])) + np.linalg.norm(_line_residuals(lf[i - 1:], lt[i - 1:]))
-           for i in range(MIN_POINTS, len(taus) - MIN_POINTS + 1)]
-    return (int(np.argmin(np.round(err, 9))) + MIN_POINTS) / len(taus)
+def _best_split(v: np.ndarray) -> np.ndarray:
+    """Share of the scales left of where the log-log curve is best split in two lines (scales, then fluctuations)."""
+    m = len(v) // 2
+    lt, lf = np.log(v[:m]), np.log(np.maximum(v[m:], 1e-300))
+    cut = np.arange(MIN_POINTS, m - MIN_POINTS + 1)[:, None]
+    err = 0
+    for w in (np.arange(m) < cut, np.arange(m) >= cut - 1):  # one row per split
+        n = w.sum(axis=1, keepdims=True)
+        xc = (lt - (w * lt).sum(axis=1, keepdims=True) / n) * w
+        yc = (lf - (w * lf).sum(axis=1, keepdims=True) / n) * w
+        slope = (xc * yc).sum(axis=1, keepdims=True) / (xc * xc).sum(axis=1, keepdims=True)
+        err = err + np.sqrt(((yc - slope * xc) ** 2).sum(axis=1))
+    return np.array([(int(np.argmin(np.round(err, 9))) + MIN_POINTS) / m])
+
+
+def _places(seg: int, tau: int, first: int, size: int) -> np.ndarray:
+    """Places in window ``seg`` of ``size`` steps from step ``first`` on, as distances from its middle."""
+    return np.arange(first, first + size) - seg * tau - (tau - 1) / 2
+
+
+def _windows(y: np.ndarray, first: int, m: int, tau: int):
+    """The windows of ``tau`` steps in a block: squared range and squares of residuals of those that lie in it
+    whole, summed, and (window, sum of y, sum of place times y) of the parts of others. ``m`` is the series' length."""
+    y = y[:max(0, m // tau * tau - first)]
+    s = -(-first // tau)
+    k = max(0, (first + len(y)) // tau - s)
+    begin = min(s * tau - first, len(y))
+    whole = y[begin:begin + k * tau].reshape(k, tau)
+    res = _line_residuals(whole, np.arange(tau, dtype=float))
+    parts = []
+    for seg, at, part in ((s - 1, first, y[:begin]), (s + k, first + begin + k * tau, y[begin + k * tau:])):
+        if len(part):
+            parts.append((seg, part.sum(), (_places(seg, tau, at, len(part)) * part).sum()))
+    return k, (np.ptp(res, axis=1) ** 2).sum() if k else 0.0, (res ** 2).sum(), parts
+
+
+def _block_windows(batches):
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples(index=False):
+            for tau in fluctuation_scales(r.n):
+                for lag in LAGS:
+                    first = -(-r.t0 // lag)
+                    k, span, ss, parts = _windows(np.asarray(r.c[lag - 1])[first * lag - r.t0::lag], first, r.n // lag, tau)
+                    out += [(*r[:2], r.blk, r.n, lag, tau, seg, a, b) for seg, a, b in [(-1, span, ss)][:k] + parts]
+        yield pd.DataFrame(out, columns=[*K, "blk", "n", "lag", "tau", "seg", "a", "b"])
+
+
+def _part_residuals(batches):
+    for pdf in batches:
+        out = []
+        for r in pdf.itertuples(index=False):
+            for q in r.lines:
+                lag, tau, seg = q["lag"], q["tau"], q["seg"]
+                first = -(-r.t0 // lag)
+                y = np.asarray(r.c[lag - 1])[first * lag - r.t0::lag]
+                lo = max(0, seg * tau - first)
+                y = y[lo:max(0, (seg + 1) * tau - first)]
+                res = y - q["mean"] - q["slope"] * _places(seg, tau, first + lo, len(y))
+                out.append((*r[:2], r.n, lag, tau, seg, res.max(), res.min(), (res ** 2).sum()))
+        yield pd.DataFrame(out, columns=[*K, "n", "lag", "tau", "seg", "hi", "lo", "ss"])
 
 
 def fluctuation(df: DataFrame) -> DataFrame:
-    a = map_arrays(arrays(df), "f", lambda x: np.array([_fluctuation(x, 1, True), _fluctuation(x, 2, False)]))
-    return to_long(a, {"SC_FluctAnal_2_rsrangefit_50_1_logi_prop_r1": F.col("f")[0], "SC_FluctAnal_2_dfa_50_1_2_logi_prop_r1": F.col("f")[1]})
+    """Where the fluctuation of the running sum, as a curve over window lengths, is best split in two lines.
+
+    Running sums come from time blocks. Windows inside one block are settled there; those that cross blocks
+    send two sums per block, get their line back and send their residuals' extremes and squares, so a task holds
+    one block of a series. Series too short for twelve scales get 0.
+    """
+    ids = key_schema(df, K)
+    sums = prefix_sums(with_stats(df, n=F.count("t")), {"c1": F.col("value"), "c2": F.when(F.col("t") % 2 == 0, F.col("value")).otherwise(0.0)})
+    steps = F.array_sort(F.collect_list(F.struct("t", "c1", "c2")))
+    blocks = sums.where("n >= 10").groupBy(*K, block_of("t").alias("blk")).agg(F.max("n").alias("n"), steps.alias("p"))
+    blocks = blocks.select(*K, "blk", "n", F.col("p")[0]["t"].alias("t0"), F.array(*[F.col(f"p.c{k}") for k in LAGS]).alias("c"))
+    # few bytes but much work per row: a given number of partitions is not lowered by size
+    blocks = cut_lineage(blocks.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *K, "blk"))
+
+    g = [*K, "n", "lag", "tau"]
+    found = cut_lineage(blocks.mapInPandas(_block_windows, f"{ids}, blk bigint, n bigint, lag int, tau int, seg bigint, a double, b double"))
+    cut, tau = found.where("seg >= 0"), F.col("tau").cast("double")
+    line = cut.groupBy(*g, "seg").agg((F.sum("a") / tau).alias("mean"), (F.sum("b") * 12 / (tau * (tau * tau - 1))).alias("slope"))
+    lines = cut.select(*g, "seg", "blk").join(line, [*g, "seg"]).groupBy(*K, "blk").agg(
+        F.collect_list(F.struct("lag", "tau", "seg", "mean", "slope")).alias("lines"))  # at most two windows per scale and lag
+    res = blocks.join(lines, [*K, "blk"]).select(*K, "n", "t0", "c", "lines").mapInPandas(
+        _part_residuals, f"{ids}, n bigint, lag int, tau int, seg bigint, hi double, lo double, ss double")
+    res = res.groupBy(*g, "seg").agg((F.max("hi") - F.min("lo")).alias("span"), F.sum("ss").alias("b")).select(*g, (F.col("span") * F.col("span")).alias("a"), "b")
+
+    size = F.floor(F.floor(F.col("n") / F.col("lag")) / F.col("tau"))
+    curve = found.where("seg < 0").select(*g, "a", "b").unionAll(res).groupBy(*g).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    curve = curve.select(*K, "lag", "tau", F.sqrt(F.when(F.col("lag") == 1, F.col("a") / size).otherwise(F.col("b") / (size * F.col("tau")))).alias("f"))
+    curve = curve.groupBy(*K, "lag").agg(F.array_sort(F.collect_list(F.struct("tau", "f"))).alias("c"))  # at most TAU_STEPS entries
+    curve = curve.where(F.size("c") >= 2 * MIN_POINTS).select(
+        *K, "lag", F.concat(F.transform("c", lambda q: q["tau"].cast("double")), F.transform("c", lambda q: q["f"])).alias("v"))
+    split = map_arrays(curve, "p", _best_split, "v").groupBy(*K).agg(*[F.max(F.when(F.col("lag") == k, F.col("p")[0])).alias(f"p{k}") for k in LAGS])
+    w = df.select(*K).distinct().join(split, K, "left")
+    return to_long(w, {"SC_FluctAnal_2_rsrangefit_50_1_logi_prop_r1": F.coalesce("p1", F.lit(0.0)), "SC_FluctAnal_2_dfa_50_1_2_logi_prop_r1": F.coalesce("p2", F.lit(0.0))})
 
 
 def periodicity(df: DataFrame, threshold: float = 0.01) -> DataFrame:

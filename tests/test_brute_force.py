@@ -91,6 +91,36 @@ def test_embedding_fit(series):
     assert len(v) == 6 and all(0 <= x < 10 for x in v)
 
 
+def residuals(y, x):
+    return y - np.polyval(np.polyfit(x, y, 1), x)
+
+
+def fluctuation_direct(x, lag, ranged):
+    taus = catch22.fluctuation_scales(len(x))
+    if len(x) < 10 or len(taus) < 12:
+        return 0.0
+    cs = np.cumsum(x[::lag][:len(x) // lag])
+    f = []
+    for tau in taus:
+        res = [residuals(cs[i * tau:(i + 1) * tau], np.arange(tau)) for i in range(len(cs) // tau)]
+        f.append(np.sqrt(np.mean([np.ptp(r) ** 2 for r in res]) if ranged else np.mean(np.square(res))))
+    lt, lf = np.log(taus), np.log(f)
+    err = [np.linalg.norm(residuals(lf[:i], lt[:i])) + np.linalg.norm(residuals(lf[i - 1:], lt[i - 1:])) for i in range(6, len(taus) - 5)]
+    return (int(np.argmin(np.round(err, 9))) + 6) / len(taus)
+
+
+@pytest.mark.parametrize("steps", [4096, 50, 7])
+def test_fluctuation(spark, monkeypatch, steps):
+    monkeypatch.setattr(blocks, "STEPS", steps)
+    rng = np.random.default_rng(11)
+    data = {i: rng.normal(size=n) if i % 2 else np.cumsum(rng.normal(size=n)) for i, n in enumerate((5, 20, 64, 99, 300, 401))}
+    rows = [("a", i, t, float(v)) for i, x in data.items() for t, v in enumerate(x)]
+    got = values(catch22.fluctuation(spark.createDataFrame(rows, "dataset string, series_id bigint, t bigint, value double")))
+    for i, x in data.items():
+        assert got["a", i, "SC_FluctAnal_2_rsrangefit_50_1_logi_prop_r1"] == pytest.approx(fluctuation_direct(x, 1, True))
+        assert got["a", i, "SC_FluctAnal_2_dfa_50_1_2_logi_prop_r1"] == pytest.approx(fluctuation_direct(x, 2, False))
+
+
 def test_topology(series):
     df, data = series
     pts = {}
