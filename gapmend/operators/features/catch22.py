@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from gapmend.operators import blocks
 from gapmend.operators.blocks import block_of, carry, neighbours, prefix_sums
 from gapmend.operators.correlate import key_schema
 from gapmend.operators.features.common import K, arrays, map_arrays, to_long, with_stats
@@ -309,18 +310,18 @@ def fluctuation(df: DataFrame) -> DataFrame:
     ids = key_schema(df, K)
     sums = prefix_sums(with_stats(df, n=F.count("t")), {"c1": F.col("value"), "c2": F.when(F.col("t") % 2 == 0, F.col("value")).otherwise(0.0)})
     steps = F.array_sort(F.collect_list(F.struct("t", "c1", "c2")))
-    blocks = sums.where("n >= 10").groupBy(*K, block_of("t").alias("blk")).agg(F.max("n").alias("n"), steps.alias("p"))
-    blocks = blocks.select(*K, "blk", "n", F.col("p")[0]["t"].alias("t0"), F.array(*[F.col(f"p.c{k}") for k in LAGS]).alias("c"))
+    rows = sums.where("n >= 10").groupBy(*K, block_of("t").alias("blk")).agg(F.max("n").alias("n"), steps.alias("p"))
+    rows = rows.select(*K, "blk", "n", F.col("p")[0]["t"].alias("t0"), F.array(*[F.col(f"p.c{k}") for k in LAGS]).alias("c"))
     # few bytes but much work per row: a given number of partitions is not lowered by size
-    blocks = cut_lineage(blocks.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *K, "blk"))
+    rows = cut_lineage(rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *K, "blk"))
 
     g = [*K, "n", "lag", "tau"]
-    found = cut_lineage(blocks.mapInPandas(_block_windows, f"{ids}, blk bigint, n bigint, lag int, tau int, seg bigint, a double, b double"))
+    found = cut_lineage(rows.mapInPandas(_block_windows, f"{ids}, blk bigint, n bigint, lag int, tau int, seg bigint, a double, b double"))
     cut, tau = found.where("seg >= 0"), F.col("tau").cast("double")
     line = cut.groupBy(*g, "seg").agg((F.sum("a") / tau).alias("mean"), (F.sum("b") * 12 / (tau * (tau * tau - 1))).alias("slope"))
     lines = cut.select(*g, "seg", "blk").join(line, [*g, "seg"]).groupBy(*K, "blk").agg(
         F.collect_list(F.struct("lag", "tau", "seg", "mean", "slope")).alias("lines"))  # at most two windows per scale and lag
-    res = blocks.join(lines, [*K, "blk"]).select(*K, "n", "t0", "c", "lines").mapInPandas(
+    res = rows.join(lines, [*K, "blk"]).select(*K, "n", "t0", "c", "lines").mapInPandas(
         _part_residuals, f"{ids}, n bigint, lag int, tau int, seg bigint, hi double, lo double, ss double")
     res = res.groupBy(*g, "seg").agg((F.max("hi") - F.min("lo")).alias("span"), F.sum("ss").alias("b")).select(*g, (F.col("span") * F.col("span")).alias("a"), "b")
 
@@ -335,19 +336,60 @@ def fluctuation(df: DataFrame) -> DataFrame:
     return to_long(w, {"SC_FluctAnal_2_rsrangefit_50_1_logi_prop_r1": F.coalesce("p1", F.lit(0.0)), "SC_FluctAnal_2_dfa_50_1_2_logi_prop_r1": F.coalesce("p2", F.lit(0.0))})
 
 
+def _lag_products(steps: int):
+    """Sums of products of two blocks' values at every lag from 1 to ``top``; block pairs of one distance share a spectrum."""
+    def run(batches):
+        for pdf in batches:
+            spectra, top = {}, {}
+            for r in pdf.itertuples(index=False):
+                m = min(steps, r.n)
+                size = 1 << (2 * m - 1).bit_length()
+                key = (*r[:2], r.d, m, size)
+                spectra[key] = spectra.get(key, 0) + np.conj(np.fft.rfft(r.a, size)) * np.fft.rfft(r.b, size)
+                top[key] = r.top
+            out = []
+            for key, p in spectra.items():
+                *ids, d, m, size = key
+                lag = np.arange(max(1, d * steps - m + 1), min(top[key], d * steps + m - 1) + 1)
+                out.append((ids, lag, np.fft.irfft(p, size)[lag - d * steps]))
+            if out:
+                ids, lags, sums = zip(*out)
+                each = [len(x) for x in lags]
+                named = {k: np.repeat(np.array([i[j] for i in ids]), each) for j, k in enumerate(K)}
+                yield pd.DataFrame({**named, "lag": np.concatenate(lags), "s": np.concatenate(sums)})
+    return run
+
+
+def lag_sums(df: DataFrame, top: Column) -> DataFrame:
+    """(dataset, series_id, lag, s): the sum of y(t) * y(t + lag) for the lags from 1 to ``top``.
+
+    ``df`` has the columns t (0..n-1), n and y. Pairs of time blocks no further apart than ``top`` meet; a task
+    adds the products of their spectra per distance and sends two values per lag.
+    """
+    steps = blocks.STEPS
+    b = df.groupBy(*K, block_of("t").alias("blk")).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("t", "y"))).alias("p"))
+    b = b.select(*K, "blk", "n", F.col("p.y").alias("y"))
+    # few bytes but much work per row: a given number of partitions is not lowered by size
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    apart = F.least(F.floor((top + steps - 1) / steps), F.floor((F.col("n") - 1) / steps) - F.col("blk"))
+    left = b.select(*K, "blk", "n", top.cast("bigint").alias("top"), F.col("y").alias("a"), F.explode(F.sequence(F.lit(0).cast("bigint"), apart.cast("bigint"))).alias("d"))
+    left = left.withColumn("blk", F.col("blk") + F.col("d")).repartition(parts, *K, "blk")
+    pairs = left.join(b.select(*K, "blk", F.col("y").alias("b")), [*K, "blk"]).select(*K, "n", "top", "d", "a", "b")
+    part = pairs.mapInPandas(_lag_products(steps), f"{key_schema(df, K)}, lag bigint, s double")
+    return part.groupBy(*K, "lag").agg(F.sum("s").alias("s"))
+
+
 def periodicity(df: DataFrame, threshold: float = 0.01) -> DataFrame:
     """First peak of the autocovariance that rises above the trough before it
-    (after removing a linear trend)."""
-    def autocov(x):
-        y = _line_residuals(x, np.arange(len(x), dtype=float))
-        return np.array([(y[:-k] * y[k:]).mean() for k in range(1, int(math.ceil(len(y) / 3)) + 1)])
-    a = map_arrays(arrays(df), "c", autocov)
-    c = F.col("c")
-    inner = _range(1, F.size(c) - 2)
-    a = a.withColumn("low", F.filter(inner, lambda i: (c[i] < c[i - 1]) & (c[i] < c[i + 1])))
-    a = a.withColumn("high", F.filter(inner, lambda i: (c[i] > c[i - 1]) & (c[i] > c[i + 1])))
-
-    def counts(i):
-        before = F.array_max(F.filter("low", lambda j: j < i))
-        return before.isNotNull() & (c[i] - c[before] >= threshold) & (c[i] >= 0)
-    return to_long(a, {"PD_PeriodicityWang_th0_01": _first(F.col("high"), counts, F.lit(0))})
+    (after removing a linear trend); 0 if there is none."""
+    t, v = F.col("t"), F.col("value")
+    fit = with_stats(df, n=F.count("t"), mt=F.avg("t"), mv=F.avg("value"), slope=F.covar_pop("t", "value") / F.nullif(F.var_pop("t"), F.lit(0.0)))
+    flat = fit.select(*K, "t", "n", (v - F.col("mv") - F.coalesce("slope", F.lit(0.0)) * (t - F.col("mt"))).alias("y"))
+    n = df.groupBy(*K).agg(F.count("t").alias("n"))
+    c = lag_sums(flat, F.ceil(F.col("n") / 3)).join(n, K).select(*K, (F.col("lag") - 1).alias("i"), (F.col("s") / F.nullif(F.col("n") - F.col("lag"), F.lit(0))).alias("c"))
+    c = neighbours(c, {"before": lambda w: F.lag("c").over(w), "after": lambda w: F.lead("c").over(w)}, 1, 1, order="i")
+    trough = F.when((F.col("c") < F.col("before")) & (F.col("c") < F.col("after")), F.col("c"))
+    c = carry(c.withColumn("trough", trough), "trough", order="i")
+    peak = (F.col("c") > F.col("before")) & (F.col("c") > F.col("after")) & (F.col("c") - F.col("prev.v") >= threshold) & (F.col("c") >= 0)
+    first = c.where(peak).groupBy(*K).agg(F.min("i").alias("i"))
+    return to_long(n.join(first, K, "left"), {"PD_PeriodicityWang_th0_01": F.coalesce("i", F.lit(0))})

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gapmend.operators import blocks, impute as I
 from gapmend.operators.features import acf, catch22, decomp, entropy, topology
@@ -91,6 +92,21 @@ def test_embedding_fit(series):
     assert len(v) == 6 and all(0 <= x < 10 for x in v)
 
 
+@pytest.mark.parametrize("steps", [4096, 50, 7])
+def test_lag_sums(spark, monkeypatch, steps):
+    monkeypatch.setattr(blocks, "STEPS", steps)
+    rng = np.random.default_rng(12)
+    data = {n: rng.normal(size=n) for n in (1, 2, 3, 49, 50, 51, 230)}
+    rows = [("a", n, t, n, float(v)) for n, x in data.items() for t, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "dataset string, series_id bigint, t bigint, n bigint, y double")
+    got = {(r["series_id"], r["lag"]): r["s"] for r in catch22.lag_sums(df, F.ceil(F.col("n") / 3)).collect()}
+    for n, x in data.items():
+        for k in range(1, -(-n // 3) + 1):
+            if k < n:
+                assert got.pop((n, k)) == pytest.approx((x[:-k] * x[k:]).sum(), abs=1e-9)
+    assert all(k >= n for n, k in got)
+
+
 def residuals(y, x):
     return y - np.polyval(np.polyfit(x, y, 1), x)
 

@@ -8,7 +8,7 @@ from gapmend.operators import blocks, correlate, neighbors, series
 
 QUERIES, ORACLE = load_catalog()
 NAMES = ["impute_locf", "impute_nocb", "impute_linear", "impute_movavg_k3", "f_strikes", "f_mass_quantile", "f_peaks", "f_autocorr",
-         "f_entropy_perm", "f_nonlinear", "k_kpss", "k_simple", "c22_stretch", "c22_fluct", "explode_large_clusters", "global_series_id",
+         "f_entropy_perm", "f_nonlinear", "k_kpss", "k_simple", "c22_stretch", "c22_fluct", "c22_periodicity", "explode_large_clusters", "global_series_id",
          "stratified_kfold", "split_weighted_clusters", "smote", "clf_knn_distance", "clf_radius_uniform", "mean_ncc", "similarity_recommend"]
 
 
