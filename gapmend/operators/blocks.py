@@ -12,8 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gapmend.functions.columns import SERIES, as_col
+from gapmend.session import cut_lineage
 
 STEPS = 4096
+#: Rows of one range where rows are numbered by ranges.
+RANGE_ROWS = 1 << 20
 
 
 def block_of(order: str = "t", steps: int | None = None) -> Column:
@@ -121,3 +124,21 @@ def ranked(df: DataFrame, part: list[str], order: list, bucket: Column, name: st
     out = local.join(sizes, keys)
     return out.withColumn(name, (F.col("rn_in") + F.col("before")).cast("bigint")).drop(
         "bkt", "rn_in", "before")
+
+
+def numbered(df: DataFrame, part: list[str], order: list[str], name: str = "rn") -> DataFrame:
+    """Exact ``row_number`` in ``part`` along ``order``, whatever the values are.
+
+    Spark samples splitters and cuts the table into ranges of about RANGE_ROWS rows; rows are numbered
+    inside (part, range) and one row per range carries the count before it. The ranges are written once, as
+    the number of a range holds for one layout only. Rows that tie in all columns stay in one range.
+    """
+    ranges = max(1, -(-df.count() // RANGE_ROWS))
+    base = cut_lineage(df.repartitionByRange(ranges, *part, *order).withColumn("rng", F.spark_partition_id()))
+    keys = [*part, "rng"]
+    local = base.withColumn("rn_in", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"))
+    wb = W.partitionBy(*(part or [F.lit(0)])).orderBy("rng")
+    sizes = sizes.select(*keys, F.coalesce(F.sum("cnt").over(wb.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    out = local.join(sizes, keys)
+    return out.withColumn(name, (F.col("rn_in") + F.col("before")).cast("bigint")).drop("rng", "rn_in", "before")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from gapmend.functions.columns import BIG, SERIES, div
-from gapmend.operators.blocks import ranked
+from gapmend.operators.blocks import numbered, ranked
 
 ID_BUCKET = 10_000
 
@@ -178,19 +178,8 @@ def cids_unique_check(assignment: DataFrame) -> DataFrame:
 
 
 def global_series_id(df: DataFrame) -> DataFrame:
-    """Dense id over the union, ordered by data set and series id.
-
-    Rows are numbered inside (dataset, id bucket); one row per bucket carries the
-    count of everything before it.
-    """
-    bkt = F.floor(F.col("series_id") / ID_BUCKET).cast("bigint")
-    base = df.withColumn("bkt", bkt)
-    local = base.withColumn("rn", F.row_number().over(W.partitionBy("dataset", "bkt").orderBy("series_id")))
-    sizes = base.groupBy("dataset", "bkt").agg(F.count(F.lit(1)).alias("cnt"))
-    before = sizes.select("dataset", "bkt", F.coalesce(F.sum("cnt").over(
-        W.orderBy("dataset", "bkt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return local.join(before, ["dataset", "bkt"]).withColumn(
-        "global_id", (F.col("rn") - 1 + F.col("before")).cast("bigint")).drop("bkt", "rn", "before")
+    """Dense id over the union, ordered by data set and series id, however sparse the ids are."""
+    return numbered(df, [], ["dataset", "series_id"], "rn").withColumn("global_id", F.col("rn") - 1).drop("rn")
 
 
 def global_cluster_id(assignment: DataFrame) -> DataFrame:
@@ -199,8 +188,7 @@ def global_cluster_id(assignment: DataFrame) -> DataFrame:
     Clusters are aggregated first; what is numbered is one row per cluster.
     """
     firsts = assignment.groupBy("dataset", "cluster_id").agg(F.min("series_id").alias("first_series"))
-    per_ds = ranked(firsts, ["dataset"], ["first_series"],
-                    F.floor(F.col("first_series") / ID_BUCKET).cast("bigint"), "pos")
+    per_ds = numbered(firsts, ["dataset"], ["first_series"], "pos")
     sizes = firsts.groupBy("dataset").agg(F.count(F.lit(1)).alias("cnt"))
     offs = sizes.select("dataset", F.coalesce(F.sum("cnt").over(
         W.orderBy("dataset").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))

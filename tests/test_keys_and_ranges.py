@@ -1,8 +1,9 @@
 """Series cover the steps of their data; equal ids of different data sets stay apart."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from gapmend.operators import evaluate as E
+from gapmend.operators import blocks, evaluate as E, series
 from gapmend.operators.series import explode_large_clusters
 from gapmend.sources.tables import series_from_table
 
@@ -38,3 +39,17 @@ def test_equal_ids_in_two_data_sets(spark):
     for f in (E.predict_label, E.rank_recommendations, E.true_rank, lambda p: E.soft_vote([p, p])):
         got = sorted(map(str, (r.asDict() for r in f(both).collect())))
         assert got == sorted(str(r.asDict()) for x in (a, b) for r in f(x).collect())
+
+
+def test_sparse_ids_are_numbered_by_ranges(spark, monkeypatch):
+    """Ids of 60 bits far apart: few ranges, none with many rows, the same numbers as a sort gives."""
+    monkeypatch.setattr(blocks, "RANGE_ROWS", 100)
+    rng = np.random.default_rng(4)
+    ids = sorted({(d, int(x)) for d in ("a", "b") for x in rng.integers(-(1 << 60), 1 << 60, size=700 if d == "a" else 40)})
+    df = spark.createDataFrame([ids[i] for i in rng.permutation(len(ids))], "dataset string, series_id bigint")
+    got = {(r["dataset"], r["series_id"]): r["global_id"] for r in series.global_series_id(df).collect()}
+    assert got == {k: i for i, k in enumerate(ids)}
+    own = {(r["dataset"], r["series_id"]): r["pos"] for r in blocks.numbered(df, ["dataset"], ["series_id"], "pos").collect()}
+    n_a = sum(d == "a" for d, _ in ids)
+    assert own == {k: i + 1 - (n_a if k[0] == "b" else 0) for i, k in enumerate(ids)}
+    assert series.global_series_id(df.limit(0)).count() == 0
