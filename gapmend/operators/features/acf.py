@@ -135,6 +135,11 @@ def adf_max_lag(n: int) -> int:
     return max(0, min(int(np.ceil(12.0 * (n / 100.0) ** 0.25)), n // 2 - 2))
 
 
+def _max_lag(n: Column) -> Column:
+    """``adf_max_lag`` of a column."""
+    return F.greatest(F.lit(0), F.least(F.ceil(F.round(12 * F.pow(n / 100, F.lit(0.25)), 9)), F.floor(n / 2) - 2)).cast("int")
+
+
 def adf(df: DataFrame, steps: int | None = None) -> DataFrame:
     """Augmented Dickey-Fuller statistic and lag with the lowest AIC (constant term).
 
@@ -142,12 +147,17 @@ def adf(df: DataFrame, steps: int | None = None) -> DataFrame:
     final fit adds the few rows that a shorter lag makes available. Without ``steps`` the
     lag bound follows the length of each data set.
     """
-    if steps is None:
-        sets = df.groupBy("dataset").agg((F.max("t") - F.min("t") + 1).alias("n")).collect()
-        lengths = {adf_max_lag(r["n"]): r["n"] for r in sets} or {0: 0}
-        parts = [adf(df.where(F.col("dataset").isin([r["dataset"] for r in sets if adf_max_lag(r["n"]) == top])), n) for top, n in sorted(lengths.items())]
-        return reduce(DataFrame.unionByName, parts)
-    top = adf_max_lag(steps)
+    if steps is not None:
+        return _adf(df, adf_max_lag(steps))
+    sets = df.groupBy("dataset").agg((F.max("t") - F.min("t") + 1).alias("n")).withColumn("top", _max_lag(F.col("n")))
+    # the bound grows with the fourth root of the length: few values, however many data sets there are
+    tops = {r["top"]: r["n"] for r in sets.groupBy("top").agg(F.max("n").alias("n")).collect()} or {0: 0}
+    tagged = df.join(sets.select("dataset", "top"), "dataset")
+    return reduce(DataFrame.unionByName, [adf(tagged.where(F.col("top") == top).drop("top"), n) for top, n in sorted(tops.items())])
+
+
+def _adf(df: DataFrame, top: int) -> DataFrame:
+    """``adf`` with one lag bound for all series."""
     c = centred(df).select(*K, "t", F.col("xc").alias("value"))
     width = top + 3
 

@@ -21,3 +21,8 @@ def test_lag_bound_follows_the_data(series, monkeypatch):
     monkeypatch.setattr(acf, "adf_max_lag", lambda n: asked.append(n) or real(n))
     long = acf.adf(df.where("dataset = 'a' OR t < 40"))
     assert set(asked) == {90, 40} and {r.dataset for r in long.collect()} == {"a", "b"}
+
+
+def test_lag_bound_as_a_column(spark):
+    df = spark.range(1, 5000).withColumn("top", acf._max_lag(F.col("id")))
+    assert all(r["top"] == acf.adf_max_lag(r["id"]) for r in df.collect())
