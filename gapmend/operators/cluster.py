@@ -30,6 +30,8 @@ KSHAPE_ROUNDS, REST = 100, 1e-3
 GRAM_STEPS = 512
 # values of the series that one task holds
 BLOCK_VALUES = 1 << 20
+# correlations of series and centroids that a group inside one task keeps
+BLOCK_TABLE = 1 << 22
 # fixed values: complexity bounds and number of cluster counts to try
 GRID_TESTS = [(50_000, 20), (100_000, 16), (150_000, 13), (200_000, 9), (float("inf"), 6)]
 GRID_RUNS = {"small": 6, "medium": 4, "large": 3}
@@ -60,19 +62,36 @@ def _aligned(rows: np.ndarray, shifts: np.ndarray) -> np.ndarray:
     return y - y.mean(axis=1, keepdims=True)
 
 
+def _shifts(series: Spectra, cents: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Best correlation over all shifts, to 9 digits, and that shift, of every series (row) and centroid (column)."""
+    c = Spectra(cents)
+    n, size, m = len(series.rows), series.size, c.m
+    top, shift = np.zeros((n, len(cents))), np.zeros((n, len(cents)), np.int32)
+    step = max(1, BLOCK_VALUES // (len(cents) * size))
+    for i in range(0, n, step):
+        cc = np.fft.irfft(c.freq[None] * np.conj(series.freq[i:i + step])[:, None], size)
+        at = cc[..., :m].argmax(axis=2)
+        value = np.take_along_axis(cc, at[..., None], 2)[..., 0]
+        if m > 1:
+            back = cc[..., size - (m - 1):].argmax(axis=2) + size - (m - 1)
+            other = np.take_along_axis(cc, back[..., None], 2)[..., 0]
+            # of equal shifts the first from the left counts
+            at, value = np.where(other >= value, back - size, at), np.maximum(value, other)
+        top[i:i + step], shift[i:i + step] = value.round(9), at
+    return top, shift
+
+
 def _nearest(series: Spectra, cents: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best correlation over all shifts, index of that centroid and shift, of every series; ties go to the first centroid."""
-    c = Spectra(cents)
-    n, size = len(series.rows), series.size
+    n = len(series.rows)
     best, which, shift = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    step = max(1, BLOCK_VALUES // (len(cents) * size))
-    lags = np.r_[size - (c.m - 1):size, 0:c.m]
+    # the table of all series and centroids may be large: some series at a time
+    step = max(1, BLOCK_VALUES // len(cents))
     for i in range(0, n, step):
-        cc = np.fft.irfft(c.freq[None] * np.conj(series.freq[i:i + step])[:, None], size)[..., lags]
-        top = cc.max(axis=2).round(9)
+        top, at = _shifts(series.part(slice(i, i + step)), cents)
         j = top.argmax(axis=1)
-        at = np.arange(len(j))
-        best[i:i + step], which[i:i + step], shift[i:i + step] = top[at, j], j, cc[at, j].argmax(axis=1) - (c.m - 1)
+        row = np.arange(len(j))
+        best[i:i + step], which[i:i + step], shift[i:i + step] = top[row, j], j, at[row, j]
     return best, which, shift
 
 
@@ -94,20 +113,41 @@ def _far(new: np.ndarray, old: np.ndarray) -> bool:
 
 
 def _kshape_block(sid: np.ndarray, rows: np.ndarray, k: int, seed: int, rounds: int) -> tuple[np.ndarray, bool]:
-    """Labels of a group that is one block, and whether they have settled."""
+    """Labels of a group that is one block, and whether they have settled.
+
+    A cluster with the members and shifts of the round before has the same centroid again, up to ``GRAM_STEPS`` steps; neither it nor its
+    correlations are computed anew.
+    """
     order = np.lexsort((sid, (sid % 10007 * 7919 + 104729 + 31 * seed) % 10007))
-    series = Spectra(rows)
-    vec, ids, labels, moved = rows[order[:k]], np.arange(min(k, len(rows))), None, True
+    series, at = Spectra(rows), np.arange(len(rows))
+    vec, ids, labels, shift, moved = rows[order[:k]], np.arange(min(k, len(rows))), None, None, True
+    top, lag = _shifts(series, vec)
     for _ in range(rounds):
-        _, which, shift = _nearest(series, vec)
-        y = _aligned(series.rows, shift)
+        which = top.argmax(axis=1)
+        now, turn = ids[which], lag[at, which]
         stay = np.unique(which)
-        new = np.stack([_centroid(_part(y[which == j], vec[j]), vec[j]) for j in stay])
-        moved = labels is None or bool((ids[which] != labels).any()) or any(_far(v, vec[j]) for v, j in zip(new, stay))
-        labels, ids, vec = ids[which], ids[stay], new
+        if labels is None or rows.shape[1] > GRAM_STEPS:
+            other = stay
+        else:
+            new = (now != labels) | (turn != shift)
+            other = stay[np.isin(ids[stay], np.r_[now[new], labels[new]])]
+        moved = labels is None or bool((now != labels).any())
+        fresh = []
+        for j in other:
+            mine = which == j
+            cent = _centroid(_part(_aligned(series.rows[mine], turn[mine]), vec[j]), vec[j])
+            moved |= _far(cent, vec[j])
+            if not np.array_equal(cent, vec[j]):
+                vec[j] = cent
+                fresh.append(j)
+        if fresh:
+            top[:, fresh], lag[:, fresh] = _shifts(series, vec[fresh])
+        labels, shift, ids, vec = now, turn, ids[stay], vec[stay]
+        if len(stay) < top.shape[1]:
+            top, lag = top[:, stay], lag[:, stay]
         if not moved:
             break
-    return ids[_nearest(series, vec)[1]], not moved
+    return ids[top.argmax(axis=1)], not moved
 
 
 def kshape(arrays: DataFrame, keys: list[str], rounds: int = KSHAPE_ROUNDS, flag: bool = False) -> DataFrame:
@@ -119,7 +159,7 @@ def kshape(arrays: DataFrame, keys: list[str], rounds: int = KSHAPE_ROUNDS, flag
     iteration a round. A group rests when no label changes and no centroid moves by ``REST``, so that labels
     and eigenvectors have both settled. A group still moving after ``rounds`` rounds is not converged.
 
-    A group that is one block, of at most ``BLOCK_VALUES`` values and ``BLOCK`` centroids, settles inside one task. Larger groups are laid out
+    A group that is one block, of at most ``BLOCK_VALUES`` values and ``BLOCK_TABLE`` pairs of series and centroids, settles inside one task. Larger groups are laid out
     in blocks once. A task sees one block and the centroids of its group, and returns one sum, one count and
     one checksum of the members per cluster; only the centroids pass from round to round. A group with more than ``BLOCK``
     centroids compares in blocks of both first. Resting groups take no part; labels are read off once, at the end.
@@ -127,7 +167,7 @@ def kshape(arrays: DataFrame, keys: list[str], rounds: int = KSHAPE_ROUNDS, flag
     rows = arrays.select(*keys, "series_id", "vals", "k", "seed")
     head = key_schema(arrays, keys)
     sizes = rows.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * F.max(F.size("vals")) / BLOCK_VALUES)).cast("bigint").alias("nl"),
-                                    F.ceil(F.max("k") / BLOCK).cast("bigint").alias("nr"))
+                                    F.ceil(F.max("k") / BLOCK).cast("bigint").alias("nr"), (F.count(F.lit(1)) * F.max("k") <= BLOCK_TABLE).alias("fits"))
     data = cut_lineage(rows.join(sizes, keys).withColumn("lb", F.pmod(F.hash("series_id"), F.col("nl"))).repartition(*keys, "lb"))
     tail = "series_id bigint, cluster_id bigint, converged boolean"
 
@@ -139,8 +179,8 @@ def kshape(arrays: DataFrame, keys: list[str], rounds: int = KSHAPE_ROUNDS, flag
             out[name] = v
         return out[[*keys, "series_id", "cluster_id", "converged"]]
 
-    out = data.where("nl = 1 AND nr = 1").groupBy(*keys).applyInPandas(settle, f"{head}, {tail}")
-    large = data.where("nl > 1 OR nr > 1")
+    out = data.where("nl = 1 AND fits").groupBy(*keys).applyInPandas(settle, f"{head}, {tail}")
+    large = data.where("nl > 1 OR NOT fits")
     if not large.isEmpty():
         out = out.unionByName(_kshape_blocks(large, keys, head, rounds))
     out = cut_lineage(out)

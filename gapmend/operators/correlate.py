@@ -95,6 +95,14 @@ class Spectra:
         # a constant series has correlation 0 with all others
         self.freq = np.fft.rfft(self.rows, self.size) * np.where(norm > 0, 1 / np.where(norm > 0, norm, 1.0), 0.0)[:, None]
 
+    def part(self, which: slice) -> Spectra:
+        """Some of the rows."""
+        if which.start <= 0 and which.stop >= len(self.rows):
+            return self
+        out = object.__new__(Spectra)
+        out.rows, out.m, out.size, out.freq = self.rows[which], self.m, self.size, self.freq[which]
+        return out
+
     def against(self, other: Spectra, i: int, which=slice(None)) -> np.ndarray:
         """Normalised cross-correlation at every shift of the rows ``which`` with row ``i`` of another block."""
         cc = np.fft.irfft(self.freq[which] * np.conj(other.freq[i]), self.size)

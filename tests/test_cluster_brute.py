@@ -172,6 +172,26 @@ def test_kshape(walks, monkeypatch, blocks):
         assert {r.series_id: r.cluster_id for r in rows if r.dataset == ds} == dict(zip(ids, want))
 
 
+def test_kshape_with_many_centroids_stays_in_its_task(walks, monkeypatch):
+    """The table of series and centroids decides, not their blocks in pair comparisons."""
+    df, _ = walks
+    monkeypatch.setattr(C, "BLOCK", 2)
+    monkeypatch.setattr(C, "_kshape_blocks", None)
+    arr = C.z_arrays(df).select("dataset", "series_id", "vals", F.lit(3).cast("bigint").alias("k"), F.lit(2).alias("seed"))
+    assert not C.kshape(arr, ["dataset"]).isEmpty()
+
+
+def test_kshape_keeps_centroids_that_rest(monkeypatch):
+    rng = np.random.default_rng(5)
+    ids, rows = np.arange(60), [z(np.cumsum(rng.normal(size=30))) for _ in range(60)]
+    seen, plain = [], C._shifts
+    monkeypatch.setattr(C, "_shifts", lambda s, c: (seen.append(len(c)), plain(s, c))[1])
+    labels, done = C._kshape_block(ids, np.array(rows), 12, 2, 100)
+    assert done and list(labels) == plain_kshape(list(ids), rows, 12, 2)
+    # the first round compares all twelve; later ones fewer and fewer
+    assert seen[0] == 12 and seen[-1] < 12 and len(seen) > 2
+
+
 def test_vector_sums(spark):
     rng = np.random.default_rng(2)
     rows = [("g%d" % (i % 3), i % 2, [float(v) for v in rng.normal(size=5)]) for i in range(50)]
