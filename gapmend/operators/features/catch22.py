@@ -150,14 +150,23 @@ def motifs(df: DataFrame) -> DataFrame:
     return to_long(a, {"SB_MotifThree_quantile_hh": F.col("m")[0], "SB_TransitionMatrix_3ac_sumdiagcov": F.nanvl(F.col("m")[1], F.lit(None))})
 
 
+def _first_zero(ac: np.ndarray) -> float:
+    """As ``first_zero``, inside a task."""
+    at = np.flatnonzero(ac.round(9) <= 0)
+    return float(at[0]) if len(at) else float(len(ac))
+
+
+def _zero_ratio(x: np.ndarray) -> np.ndarray:
+    """First zero of the differences' autocorrelation over that of the series, NaN for a constant one; nothing without differences."""
+    d, first = np.diff(x), _first_zero(_acf(x))
+    return np.array([_first_zero(_acf(d)) / first if first else np.nan] if len(d) else [])
+
+
 def local_simple(df: DataFrame) -> DataFrame:
-    a = acf_arrays(df).withColumn("y1", first_zero(F.col("ac"), F.col("n")))
-    a = a.withColumn("res", F.transform(_range(1, F.col("n") - 1), lambda i: F.col("x")[i] - F.col("x")[i - 1]))
-    a = map_arrays(a, "rac", _acf, "res")
-    ratio = first_zero(F.col("rac"), F.size("res")) / F.col("y1")
+    a = map_arrays(arrays(df).select(*K, "x"), "ratio", _zero_ratio, keep=False).where(F.size("ratio") > 0)
     d = neighbours(df, {f"l{k}": (lambda w, k=k: F.lag("value", k).over(w)) for k in (1, 2, 3)}, 3, 0)
     r = F.col("value") - (F.col("l1") + F.col("l2") + F.col("l3")) / 3
-    w = a.select(*K, ratio.alias("ratio")).join(d.groupBy(*K).agg(F.stddev_samp(r).alias("sd")), K)
+    w = a.select(*K, F.nanvl(F.col("ratio")[0], F.lit(None)).alias("ratio")).join(d.groupBy(*K).agg(F.stddev_samp(r).alias("sd")), K)
     return to_long(w, {"FC_LocalSimple_mean1_tauresrat": F.col("ratio"), "FC_LocalSimple_mean3_stderr": F.col("sd")})
 
 

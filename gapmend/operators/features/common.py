@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from gapmend.functions.columns import SERIES
 
 K = SERIES
+BATCH_VALUES = 1 << 17
 
 
 def to_long(wide: DataFrame, exprs: dict[str, Column]) -> DataFrame:
@@ -57,14 +58,19 @@ def regression(wide: DataFrame, n: Column, sx: Column, sxx: Column, sy: Column,
     return slope, (sy - slope * sx) / n, r, stderr
 
 
-def map_arrays(df: DataFrame, name: str, fn: Callable[[np.ndarray], np.ndarray], source: str = "x") -> DataFrame:
-    """Add an array column computed by numpy from one array per series."""
-    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+def map_arrays(df: DataFrame, name: str, fn: Callable[[np.ndarray], np.ndarray], source: str = "x", keep: bool = True) -> DataFrame:
+    """Add an array column computed by numpy from one array per series; without ``keep`` the source does not come back.
+
+    A few rows at a time leave the task, of at most ``BATCH_VALUES`` source values unless one row has more.
+    """
+    head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if keep or f.name != source)
 
     def run(batches):
         for pdf in batches:
-            yield pdf.assign(**{name: [fn(np.asarray(v, dtype=float)) for v in pdf[source]]}) if len(pdf) else \
-                pdf.assign(**{name: pd.Series(dtype=object)})
+            rest = pdf if keep else pdf.drop(columns=source)
+            step = max(1, BATCH_VALUES // max(1, pdf[source].map(len).max())) if len(pdf) else 1
+            for i in range(0, len(pdf), step):
+                yield rest.iloc[i:i + step].assign(**{name: [fn(np.asarray(v, dtype=float)) for v in pdf[source].iloc[i:i + step]]})
     return df.mapInPandas(run, f"{head}, `{name}` array<double>")
 
 

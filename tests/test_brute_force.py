@@ -187,3 +187,22 @@ def test_als_keeps_known_cells(factor_cluster):
     masked = I.mask_miss_perc(factor_cluster, 60, [20, 40])
     out = I.impute_als(masked, factor_cluster).collect()
     assert len(out) == 120 and all(r["imputed"] == r["value"] for r in out if not r["hidden"])
+
+
+def test_local_simple_of_short_and_constant_series(spark):
+    """Only the series goes to Python and one number comes back; a constant series has no ratio."""
+    rows = [("a", i, t, v) for i, x in enumerate([[1.0], [3.0, 3.0, 3.0], [1.0, 2.0, 1.0, 2.0], [0.0, 0.0, 1.0, 5.0, 2.0]]) for t, v in enumerate(x)]
+    got = values(catch22.local_simple(spark.createDataFrame(rows, "dataset string, series_id bigint, t bigint, value double")))
+    ratio = {k[1]: v for k, v in got.items() if k[2] == "FC_LocalSimple_mean1_tauresrat"}
+    assert ratio == {1: None, 2: 1.0, 3: 0.5}
+
+
+def test_mapped_arrays_leave_in_small_batches(series, monkeypatch):
+    from gapmend.operators.features import common
+    monkeypatch.setattr(common, "BATCH_VALUES", 180)  # two series of 90 steps
+    df, data = series
+    sizes = []
+    arr = common.arrays(df).coalesce(1)
+    monkeypatch.setattr(type(arr), "mapInPandas", lambda self, fn, schema: sizes.extend(len(p) for p in fn([self.toPandas()])) or self)
+    common.map_arrays(arr, "y", lambda x: x[:1])
+    assert sum(sizes) == len(data) and max(sizes) == 2
