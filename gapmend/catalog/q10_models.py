@@ -208,11 +208,12 @@ def _(spark, d):
         long = f if long is None else long.unionByName(f)
     wide = long.groupBy("series_id").agg(*[F.transform(F.array_sort(F.collect_list(F.when(
         F.col("family") == k, F.struct("feature", F.coalesce("value", F.lit(0.0)).alias("value"))))), lambda v: v["value"]).alias(k) for k in fams])
-    wide = wide.join(lab, "series_id").persist()
+    # the split looks at ids and labels only, so one serves all combinations
+    wide = T.stratified_split(wide.join(lab, "series_id"), 0.35).persist()
     rows = []
     for mask in range(1, 8):
         use = [k for i, k in enumerate(fams) if mask >> i & 1]
-        data = T.stratified_split(wide.select("series_id", "label", F.concat(*use).alias("features")), 0.35)
+        data = wide.select("series_id", "label", F.concat(*use).alias("features"), "split")
         model = M.fit(data.where("split = 'train'").drop("split"), M.Spec("lda", scaler="standard"))
         m = E.eval_classification(E.predict_label(model.predict(data.where("split = 'test'").drop("split")))).first()
         rows.append(("+".join(use), m["n"], round(m["accuracy"], 6), round(m["f1"], 6)))

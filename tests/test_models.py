@@ -76,3 +76,13 @@ def test_pca_with_fewer_rows_than_features(spark):
     rows = [(i, f"L{i % 2}", [float(v) for v in rng.normal(size=20)]) for i in range(8)]
     df = spark.createDataFrame(rows, "series_id bigint, label string, features array<double>")
     assert M.fit(df, M.Spec("lda", reduction="pca")).predict(df).count() == 16
+
+
+def test_feature_sweep_splits_once(spark, sf, monkeypatch):
+    """The split depends on ids and labels only; seven combinations share it."""
+    from gapmend.catalog import load_catalog
+    from gapmend.operators import training as T
+    calls, plain = [], T.stratified_split
+    monkeypatch.setattr(T, "stratified_split", lambda *a, **k: (calls.append(1), plain(*a, **k))[1])
+    rows = load_catalog()[0]["feature_set_sweep"](spark, sf).collect()
+    assert len(calls) == 1 and len(rows) == 7 and len({r["n"] for r in rows}) == 1
