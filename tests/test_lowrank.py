@@ -139,3 +139,45 @@ def test_selection_beside_a_hot_cluster(spark):
     for r in picks.where("role = 'random'").collect():
         got.setdefault(r["cluster_id"], set()).add(r["series_id"])
     assert got == direct_selection(groups, 10)
+
+
+def by_hand(name, sums, known, rounds):
+    """The coefficients after that many rounds of one table, round by round."""
+    p, m = known.shape
+    full = np.zeros((p, m + 1, m))
+    full[:, np.arange(m), np.arange(m)] = known
+    full[:, m, :] = np.where(known, 0.0, sums[:, :m, m].sum(axis=0) / np.maximum(np.einsum("pm,p->m", known, sums[:, m, m]), 1))
+    for _ in range(rounds):
+        gram = (full.transpose(0, 2, 1) @ sums @ full).sum(axis=0)
+        full = np.where(known[:, None, :], full, full @ R._round_map(name, gram[None])[0].T)
+    return full
+
+
+def test_stacks_and_circles(monkeypatch):
+    """Tables of a stack end as each alone; rounds that run in a circle are not all computed, and end in the same state."""
+    rng = np.random.default_rng(1)
+    tables = []
+    for _ in range(40):
+        x = rng.poisson(7, (12, 60)) * rng.uniform(15, 35, (12, 60))
+        x[rng.random((12, 60)) < 0.01] = np.nan
+        x[0, 4:40] = np.nan
+        sets, at = np.unique(~np.isnan(x), axis=1, return_inverse=True)
+        x = np.vstack([np.nan_to_num(x), np.ones(60)])
+        tables.append((np.stack([x[:, at == i] @ x[:, at == i].T for i in range(sets.shape[1])]), sets.T))
+    p = max(len(k) for _, k in tables)
+    sums, known = np.zeros((40, p, 13, 13)), np.ones((40, p, 12), bool)
+    for i, (s, k) in enumerate(tables):
+        sums[i, :len(s)], known[i, :len(k)] = s, k
+    calls, plain = [], R._round_map
+    monkeypatch.setattr(R, "_round_map", lambda name, gram: calls.append(name) or plain(name, gram))
+    circles = 0
+    for name in ("cdrec_k3", "softimp"):
+        coef, n, rest = R.complete(name, sums, known, R.ROUNDS, R.TOLERANCE)
+        assert (n[~rest] == R.ROUNDS).all() and (n >= 1).all()
+        done = len(calls)
+        circles += (~rest).sum()
+        for i, (s, k) in enumerate(tables):
+            assert coef[i, :len(k)] == pytest.approx(by_hand(name, s, k, int(n[i])), rel=1e-8, abs=1e-8), (name, i)
+        if name == "cdrec_k3":
+            assert circles and done < R.ROUNDS / 2
+        calls.clear()
