@@ -475,7 +475,8 @@ def merge_clusters(df: DataFrame, assignment: DataFrame, threshold: float = SIMI
 
     In a round, clusters that are each other's best choice merge.
     """
-    cells = df.select(*SERIES, "t", "value")
+    # statistics, distances to centroids and vectors all read the series: they are built once
+    cells = cut_lineage(df.select(*SERIES, "t", "value"))
     asg = _merge_rounds(cells, assignment, threshold, F.when(F.col("gain") > 0, F.col("gain")), max_rounds)
     return _move_far(cells, asg, far)
 
@@ -516,7 +517,7 @@ def merge_clusters_ratio(df: DataFrame, assignment: DataFrame, threshold: float
     into_b = div("phi_union", "phi_b") >= need("n_b")
     into_a = div("phi_union", "phi_a") >= need("n_a")
     diff = F.greatest(F.when(into_b, F.col("phi_union") - F.col("phi_b")), F.when(into_a, F.col("phi_union") - F.col("phi_a")))
-    return _merge_rounds(df.select(*SERIES, "t", "value"), assignment, threshold, diff, max_rounds)
+    return _merge_rounds(cut_lineage(df.select(*SERIES, "t", "value")), assignment, threshold, diff, max_rounds)
 
 
 def cross_sums(arr: DataFrame) -> DataFrame:

@@ -83,3 +83,22 @@ def test_mean_corr_equals_pair_average(shapes):
     c = np.corrcoef(x)
     want = np.mean([c[i, j] for i, j in itertools.combinations(range(30), 2)])
     assert R.mean_corr(one).first()["mean_corr"] == pytest.approx(want, abs=1e-9)
+
+
+def test_merges_read_the_series_once(spark):
+    """Merging builds its series once, however many statistics it takes from them."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    rows = [("d", s, t, float((t * (1 + s % 3) + s * s) % 11)) for s in range(12) for t in range(24)]
+    df = spark.createDataFrame(rows, "dataset string, series_id bigint, t bigint, value double").mapInPandas(
+        count, "dataset string, series_id bigint, t bigint, value double")
+    asg = spark.createDataFrame([("d", s, s // 3) for s in range(12)], "dataset string, series_id bigint, cluster_id bigint")
+    for merge in (C.merge_clusters, C.merge_clusters_ratio):
+        before = seen.value
+        assert merge(df, asg, 0.05).count() == 12
+        assert seen.value - before == len(rows), merge.__name__
