@@ -29,8 +29,8 @@ SHINGLE = 5
 SIMILAR, OUT_OF = 80, 100
 #: Bytes of text hashed together.
 CHUNK_BYTES = 1 << 19
-#: Region keys that two linked sets have in common at least.
-COMMON = 8
+#: Region keys that two linked sets have in common at least: one for FEW shingles up to COMMON, then one for MANY.
+COMMON, FEW, MANY = 8, 4, 10
 #: Shingles per task of the search for region keys that two classes share.
 KEYS_PER_BUCKET = 500_000
 #: Documents looked at to find frequent shingles, which come last in the order; it has no influence on the result.
@@ -41,8 +41,8 @@ MAX_FREQUENT = 500_000
 SPREAD = 64
 #: Parts of the shingle universe in a profile.
 PARTS = 256
-#: New pivots of a region in each further round.
-PIVOTS = 8
+#: New pivots of each kind in a region in the second round; each further one doubles them.
+PIVOTS = 32
 #: Regions are joined directly when at most so many pairs per class remain.
 DIRECT_PAIRS = 20
 #: Profiles (280 bytes each) of at most so many classes are broadcast after they have been counted.
@@ -141,11 +141,17 @@ def _sample_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             pa.array(np.repeat(np.array([class_key(s) for s in sets], np.int64), [len(s) for s in sets]))], names=["token", "k"])
 
 
+def common(n: int) -> int:
+    """How many region keys a set of n shingles gives to share. It grows with n, so that a few shingles met by chance do
+    not make a long text a candidate, and is small for short ones, whose frequent shingles stay out of their keys."""
+    return max(1, min(COMMON, n // FEW), n // MANY)
+
+
 def prefix(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The region keys of a set: its first n - ceil(0.8 n) + COMMON shingles, rare ones first; and
-    which of them are frequent. Two sets with similarity 0.8 have COMMON of them in common (as many as
-    the smaller set can ask for, if it is tiny)."""
-    size = min(len(s), len(s) - -(-SIMILAR * len(s) // OUT_OF) + COMMON)
+    """The region keys of a set: its first n - ceil(0.8 n) + common(n) shingles, rare ones first; and
+    which of them are frequent. Two sets with similarity 0.8 share common(m) of them, m being the smaller size: the c-th
+    shingle they share is followed by all but c of 0.8 n shared ones at least."""
+    size = len(s) - -(-SIMILAR * len(s) // OUT_OF) + common(len(s)) if len(s) else 0
     if not len(frequent):
         return s[:size], np.zeros(size, bool)
     hot = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
@@ -215,13 +221,22 @@ def profile(s: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount((s >> np.uint64(7)).astype(np.int64) % PARTS, minlength=PARTS), 127).astype(np.int8)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for i in range(0, whole.num_rows, 1000):
-            b = whole.slice(i, 1000)
-            sets = shingle_sets(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([class_key(s) for s in sets], pa.int64()), _lists(sets),
-                                              pa.array([profile(s) for s in sets], pa.list_(pa.int8()))], names=["first_id", "k", "s", "q"])
+def reach(s: np.ndarray, frequent: np.ndarray) -> int:
+    """The place of a set's last region key in the common order, as a number."""
+    p, hot = prefix(s, frequent)
+    return ((int(hot[-1]) << 63) | int(p[-1]) >> 1) - (1 << 63) if len(p) else 0
+
+
+def _sets(frequent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot_list = frequent.value
+        for whole in batches:
+            for i in range(0, whole.num_rows, 1000):
+                b = whole.slice(i, 1000)
+                sets = shingle_sets(b.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([f(s) for s in sets], pa.int64()) for f in (class_key, lambda s: reach(s, hot_list))], _lists(sets),
+                                                  pa.array([profile(s) for s in sets], pa.list_(pa.int8()))], names=["first_id", "k", "last", "s", "q"])
+    return run
 
 
 def _small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
@@ -229,14 +244,54 @@ def _small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
 
 
 def _asked(n: Column) -> Column:
-    """How many region keys a set of n shingles has in common with any partner: COMMON, less only for
-    sets of a few shingles (a partner has 0.8 n at least, of which 0.8 are common)."""
-    return F.greatest(F.lit(1), F.least(F.lit(COMMON), F.floor(n * (SIMILAR / OUT_OF) ** 2).cast("int")))
+    """How many region keys a set of n shingles has in common with any partner: ``common`` of the least
+    size that a partner can have."""
+    least = F.floor((n * SIMILAR + OUT_OF - 1) / OUT_OF)
+    return F.greatest(F.lit(1), F.least(F.lit(COMMON), F.floor(least / FEW)), F.floor(least / MANY))
+
+
+def _key_count(n: Column) -> Column:
+    """The number of region keys of a set of n shingles, as in ``prefix``."""
+    return F.floor(n * (OUT_OF - SIMILAR) / OUT_OF) + F.greatest(F.lit(1), F.least(F.lit(COMMON), F.floor(n / FEW)), F.floor(n / MANY))
 
 
 def _fits(a: str, b: str):
-    """Sizes that allow similarity 0.8."""
-    return OUT_OF * F.least(a, b) >= SIMILAR * F.greatest(a, b)
+    """Whether two classes can have similarity 0.8 by their sizes and keys.
+
+    A pair needs nx + ny <= 2.25 * intersection. Of the one whose keys end first in the common order, every
+    shared shingle up to there is a key of the other one too, so its keys without a partner (``alone``) are outside the intersection.
+    """
+    n = {c: F.col("n" + c) for c in (a, b)}
+    def room(c):
+        return F.col("room" + c)
+    sizes = OUT_OF * F.least(*n.values()) >= SIMILAR * F.greatest(*n.values())
+    return sizes & (n[a] + n[b] <= F.when(F.col("last" + a) < F.col("last" + b), room(a)).when(F.col("last" + b) < F.col("last" + a), room(b)).otherwise(F.least(room(a), room(b))))
+
+
+def _partnered(full: DataFrame) -> DataFrame:
+    """The members (token, k, n, last, room, ...) that may have a partner in their region, with ``able`` and ``least``.
+
+    A member goes if even the least one is too large for its own room and none whose keys end before its own has room.
+    """
+    least = full.groupBy("token").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "least")
+    full = full.drop("least", "able").join(least, "token")
+    able = full.where("n + least <= room").groupBy("token").agg(F.min("last").alias("able"))
+    return full.join(able, "token").where("n + least <= room OR able < last")
+
+
+def _roomed(region: DataFrame, ends: DataFrame) -> DataFrame:
+    """(token, k, n, last, room) of the members (token, k) that may have a partner in their region.
+
+    ``room`` bounds the sizes of a linked pair together: 2.25 times the size without the keys that no region holds any
+    more. A class goes if it is left in fewer regions than a link asks for. What goes leaves others alone, hence the rounds.
+    """
+    share = (OUT_OF + SIMILAR) / SIMILAR
+    for _ in range(2):
+        kept = region.groupBy("k").agg(F.count(F.lit(1)).alias("c")).join(_small(ends), "k").where(F.col("c") >= _asked(F.col("n")))
+        kept = staged(kept.select("k", "n", "last", F.floor((F.col("n") - _key_count(F.col("n")) + F.col("c")) * share).alias("room")), "kept")
+        full = staged(region.select("token", "k").join(_small(kept), "k"), "roomed")
+        region = staged(_partnered(full).select("token", "k", "n", "last", "room"), "regions")
+    return region
 
 
 def _distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -300,18 +355,27 @@ def linked_classes(docs: DataFrame, heads: DataFrame, text_col: str, id_col: str
     ids = chosen.select(F.coalesce("first_id", F.lit(NO_ID)).alias("first_id"), "k")
     some = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("first_id"), F.col(text_col).alias("text"))
     some = some.join(_small(ids.select("first_id").distinct()), "first_id", "left_semi")
-    sets = some.mapInArrow(_sets, "first_id bigint, k bigint, s array<bigint>, q array<tinyint>").join(_small(ids), ["first_id", "k"], "left_semi").select("k", F.size("s").alias("n"), "s", "q")
+    sets = some.mapInArrow(_sets(frequent), "first_id bigint, k bigint, last bigint, s array<bigint>, q array<tinyint>").join(_small(ids), ["first_id", "k"], "left_semi")
+    sets = sets.select("k", F.size("s").alias("n"), "last", "s", "q")
     if not heads.groupBy("doc_id", "k").count().where("count > 1").isEmpty():
         sets = sets.dropDuplicates(["k"])  # repeated rows
     sets = staged(sets, "sets")
 
+    going = _roomed(region, sets.select("k", "n", "last"))
     known = component = None
-    # the first pivot of a region is its least member
-    pivots = region.groupBy("token").agg(F.min(F.struct("k", "n")).alias("p")).select("token", F.col("p.k").alias("p"), F.col("p.n").alias("np"))
-    going = region
+    held = ["k", "n", "last", "room"]
+
+    def side(c, *more):
+        return ["token", F.col("k").alias(c), *[F.col(v).alias(v + c) for v in (*held[1:], *more)]]
+    # the first pivot of a region is the member with the largest share of partnered keys, so that the regions of one group agree
+    rank = F.struct(-F.col("room") / F.col("n"), "k")
+    pivots = going.groupBy("token").agg(F.min(F.struct(rank.alias("r"), *held)).alias("p")).select("token", "p.*").select(*side("p"))
+    rounds, more = 0, []
     while True:
         pivots = staged(pivots, "pivots")
-        around = going.join(pivots, "token").where((F.col("k") != F.col("p")) & _fits("n", "np"))
+        around = going.select(*side("k", *more)).join(pivots, "token").where((F.col("k") != F.col("p")) & _fits("k", "p"))
+        if known is not None:
+            around = around.where("ck <> cp")
         pairs = around.select(F.least("k", "p").alias("x"), F.greatest("k", "p").alias("y")).distinct()
         fresh = pairs if known is None else pairs.join(known.select("x", "y"), ["x", "y"], "left_anti")
         dist = staged(_distances(fresh, sets), "distances")
@@ -321,23 +385,29 @@ def linked_classes(docs: DataFrame, heads: DataFrame, text_col: str, id_col: str
         # a pivot has met all of its region and leaves it; a region with members of several components
         # goes on, its largest component is the main one
         rest = going.join(pivots.select("token", F.col("p").alias("k")), ["token", "k"], "left_anti")
-        named = rest.select("token", "k", "n").join(component.select(F.col("node").alias("k"), "root"), "k", "left").select("token", "k", "n", F.coalesce("root", "k").alias("c"))
+        named = rest.select("token", *held).join(component.select(F.col("node").alias("k"), "root"), "k", "left").select("token", *held, F.coalesce("root", "k").alias("c"))
         parts = named.groupBy("token", "c").agg(F.count(F.lit(1)).alias("m"))
         mixed = parts.groupBy("token").agg(F.max(F.struct("m", "c")).alias("main"), F.sum("m").alias("m")).where("main.m < m")
-        mixed = staged(mixed.select("token", F.col("main.c").alias("main"), "m", (F.col("m") - F.col("main.m")).alias("others")), "mixed")
-        todo = mixed.agg(F.coalesce(F.sum(F.col("m") * F.col("others")), F.lit(0))).first()[0]
+        mixed = staged(mixed.select("token", F.col("main.c").alias("main")), "mixed")
+        going = staged(named.join(mixed, "token").select("token", *held, "c", (F.col("c") != F.col("main")).alias("other")), "going")
+        going = staged(_partnered(going), "partnered")
+        sizes = going.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.count_if("other").alias("others"))
+        todo = sizes.agg(F.coalesce(F.sum(F.col("m") * F.col("others")), F.lit(0))).first()[0]
         if not todo:
             return component
-        going = staged(named.join(mixed.select("token", "main"), "token").select("token", "k", "n", "c", (F.col("c") != F.col("main")).alias("other")), "going")
         if todo <= DIRECT_PAIRS * n_docs:
             break
-        # the next pivots: members outside the main component
-        place = F.row_number().over(Window.partitionBy("token").orderBy("k"))
-        pivots = going.where("other").withColumn("place", place).where(F.col("place") <= PIVOTS).select("token", F.col("k").alias("p"), F.col("n").alias("np"))
+        # the next pivots: members outside the main component; and those with room whose keys end first, as others have no room for more
+        more = ["c"]
+        place = F.row_number().over(Window.partitionBy("token").orderBy(rank))
+        early = F.row_number().over(Window.partitionBy("token").orderBy("last", "k"))
+        pivots = going.where("other").withColumn("place", place).unionByName(going.where("n + least <= room").withColumn("place", early))
+        pivots = pivots.where(F.col("place") <= PIVOTS << rounds).select(*side("p", "c")).distinct()
+        rounds += 1
     # a pair that no pivot has met shares all its keys here; each region counts it once
-    a = going.where("other").select("token", F.col("k").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    b = going.select("token", F.col("k").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), F.col("other").alias("oy"))
-    met = a.join(b, "token").where((F.col("cx") != F.col("cy")) & (~F.col("oy") | (F.col("x") < F.col("y"))) & _fits("nx", "ny"))
+    a = going.where("other").select(*side("x", "c"))
+    b = going.select(*side("y", "c"), F.col("other").alias("oy"))
+    met = a.join(b, "token").where((F.col("cx") != F.col("cy")) & (~F.col("oy") | (F.col("x") < F.col("y"))) & _fits("x", "y"))
     pairs = met.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("nx", "ny")).alias("n"))
     pairs = pairs.where(F.col("c") >= _asked(F.col("n"))).select("x", "y")
     pairs = staged(pairs.join(known.select("x", "y"), ["x", "y"], "left_anti"), "pairs")
