@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gapmend.session import scratch_path
@@ -66,3 +69,27 @@ def worker_cache(name: str) -> dict:
 
     m = sys.modules.setdefault("gapmend_worker_cache", types.ModuleType("gapmend_worker_cache"))
     return m.__dict__.setdefault(name, {})
+
+
+def drop_worker_caches() -> None:
+    """Forgets the look-up tables of other operators: an operator that needs its worker's memory for
+    itself calls this where its work begins."""
+    import sys
+
+    m = sys.modules.get("gapmend_worker_cache")
+    if m is not None:
+        for name in [n for n, x in vars(m).items() if isinstance(x, dict) and not n.startswith("__")]:
+            delattr(m, name)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is run inside sends at most so many rows in an Arrow batch: whole texts are long, and an
+    executor holds batches outside its heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

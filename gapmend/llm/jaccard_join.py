@@ -22,13 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-from gapmend.llm.common import staged
+from gapmend.llm.common import arrow_rows, drop_worker_caches, staged
 from gapmend.llm.components import connected
 
 SHINGLE = 5
 SIMILAR, OUT_OF = 80, 100
 #: Bytes of text hashed together.
 CHUNK_BYTES = 1 << 19
+#: Texts whose shingles a task holds at a time, and keys of classes that it remembers.
+TEXTS = 1000
+SEEN = 50_000
 #: Region keys that two linked sets have in common at least: one for FEW shingles up to COMMON, then one for MANY.
 COMMON, FEW, MANY = 8, 4, 10
 #: Shingles per task of the search for region keys that two classes share.
@@ -128,13 +131,15 @@ def class_key(s: np.ndarray) -> int:
 
 
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drop_worker_caches()
     for b in batches:
         each = [(class_key(s), len(s)) for s in _in_parts(b.column(1))]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array([x[i] for x in each], pa.int64()) for i in (0, 1)]], names=["doc_id", "t", "k", "n"])
 
 
 def _sample_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    drop_worker_caches()
+    for b in _slices(batches):
         sets = shingle_sets(b.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([
             pa.array(np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)),
@@ -159,6 +164,12 @@ def prefix(s: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return s[order], hot[order]
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, TEXTS):
+            yield b.slice(i, TEXTS)
+
+
 def _in_parts(texts) -> Iterator[np.ndarray]:
     for i in range(0, len(texts), 500):
         yield from shingle_sets(texts.slice(i, 500).to_pylist())
@@ -167,8 +178,12 @@ def _in_parts(texts) -> Iterator[np.ndarray]:
 def _keys(frequent, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_list = frequent.value
-        for b in batches:
-            seen, tokens, hots, keys, sizes = set(), [], [], [], []
+        drop_worker_caches()
+        seen = set()
+        for b in _slices(batches):
+            tokens, hots, keys, sizes = [], [], [], []
+            if len(seen) > SEEN:
+                seen.clear()
             for s in _in_parts(b.column(0)):
                 k = class_key(s)
                 if len(s) and k not in seen:
@@ -230,12 +245,10 @@ def reach(s: np.ndarray, frequent: np.ndarray) -> int:
 def _sets(frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_list = frequent.value
-        for whole in batches:
-            for i in range(0, whole.num_rows, 1000):
-                b = whole.slice(i, 1000)
-                sets = shingle_sets(b.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([f(s) for s in sets], pa.int64()) for f in (class_key, lambda s: reach(s, hot_list))], _lists(sets),
-                                                  pa.array([profile(s) for s in sets], pa.list_(pa.int8()))], names=["first_id", "k", "last", "s", "q"])
+        for b in _slices(batches):
+            sets = shingle_sets(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([f(s) for s in sets], pa.int64()) for f in (class_key, lambda s: reach(s, hot_list))], _lists(sets),
+                                              pa.array([profile(s) for s in sets], pa.list_(pa.int8()))], names=["first_id", "k", "last", "s", "q"])
     return run
 
 
@@ -420,8 +433,9 @@ def classed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
     """Rows (doc_id, t, k, n, root) of documents with shingles, and those without (root null); t is a hash of the text."""
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("t"))
-    heads = staged(rows.mapInArrow(_heads, "doc_id bigint, t bigint, k bigint, n bigint"), "heads")
-    linked = staged(linked_classes(docs, heads.where("n > 0"), text_col, id_col), "linked")
+    with arrow_rows(docs.sparkSession, TEXTS):
+        heads = staged(rows.mapInArrow(_heads, "doc_id bigint, t bigint, k bigint, n bigint"), "heads")
+        linked = staged(linked_classes(docs, heads.where("n > 0"), text_col, id_col), "linked")
     full = heads.where("n > 0").join(linked.select(F.col("node").alias("k"), "root"), "k", "left")
     full = staged(full.select("doc_id", "t", "k", "n", F.coalesce("root", "k").alias("root")), "classed")
     return full, heads.where("n = 0")

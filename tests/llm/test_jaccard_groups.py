@@ -69,3 +69,38 @@ def test_common_keys_of_linked_sets(monkeypatch):
             _, first, other = ends[0]
             alone = len(np.setdiff1d(jaccard_join.prefix(first, frequent)[0], jaccard_join.prefix(other, frequent)[0]))
             assert len(a) + len(b) <= 2.25 * (len(first) - alone)
+
+
+def test_keys_are_made_for_few_texts_at_a_time():
+    """A long Arrow batch leaves as several, each class once; tables of other operators are forgotten."""
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from gapmend.llm import jaccard_join as J
+    from gapmend.llm.common import worker_cache
+
+    worker_cache("another")["table"] = 1
+    texts = [" ".join(f"w{i % 2500}_{j}" for j in range(40)) for i in range(5000)]
+    out = list(J._keys(SimpleNamespace(value=np.zeros(0, np.uint64)), 16)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
+    classes = [set(np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in b.column(2)]).tolist()) for b in out]
+    assert len(classes) > 1 and max(map(len, classes)) <= 1000
+    assert sum(map(len, classes)) == len(set().union(*classes)) == 2500
+    assert worker_cache("another") == {}
+
+
+def test_texts_travel_in_small_arrow_batches(spark, monkeypatch):
+    from gapmend.llm import jaccard_join as J
+
+    def sizes(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([b.num_rows] * b.num_rows, pa.int64()), pa.array([0] * b.num_rows, pa.int64())], names=["doc_id", "t", "k", "n"])
+    monkeypatch.setattr(J, "_heads", sizes)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(0, 5000, 1, 1).selectExpr("id AS doc_id", "'a b' AS text")
+    _, empty = J.classed(docs, "doc_id", "text")
+    assert empty.agg({"k": "max"}).first()[0] <= J.TEXTS and empty.count() == 5000
+    assert spark.conf.get(key) == before
