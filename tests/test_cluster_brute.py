@@ -202,3 +202,39 @@ def test_vector_sums(spark):
     for key, (n, sums) in got.items():
         mine = np.array([v for k, j, v in rows if (k, j) == key])
         assert n == len(mine) and np.allclose(sums, mine.sum(axis=0))
+
+
+def rerun(ids, raw, k, runs, retries):
+    """Labels of the best scored run; a run with a lone member is clustered again at most ``retries`` times and scores 0 if no try is valid."""
+    rows, best = np.array([z(x) for x in raw]), None
+    for run in range(runs):
+        for turn in range(retries + 1):
+            labels = plain_kshape(ids, list(rows), k, run + turn * runs)
+            members = [[x for x, lab in zip(raw, labels) if lab == c] for c in set(labels)]
+            if min(map(len, members)) > 1:
+                break
+        ok = min(map(len, members)) > 1
+        score = round(np.mean([np.mean([best_shift(x, y) for x, y in itertools.combinations(m, 2)]) for m in members]), 9) if ok else 0.0
+        if best is None or score > best[0]:
+            best = score, turn, labels
+    return best
+
+
+@pytest.mark.parametrize("k, runs", [(3, 1), (4, 3)])
+def test_best_rerun_tries_rejected_runs_again(spark, k, runs):
+    rng = np.random.default_rng(2)
+    shapes = np.cumsum(rng.normal(size=(4, 24)), axis=1)
+    ids = [5 * i + 1 for i in range(9)]
+    raw = [shapes[i % 4] + rng.normal(scale=3.0, size=24) for i in range(9)]
+    once, often = rerun(ids, raw, k, runs, 0), rerun(ids, raw, k, runs, C.MAX_RETRIES)
+    # without retries every run is rejected; the best of the tries that follow is not the first
+    assert once[0] == 0 and often[0] > 0 and often[1] > 0 and once[2] != often[2]
+    df = spark.createDataFrame([("d", i, t, float(v)) for i, x in zip(ids, raw) for t, v in enumerate(x)], "dataset string, series_id bigint, t bigint, value double")
+    assert {r.series_id: r.cluster_id for r in C.best_rerun(df, k, runs).collect()} == dict(zip(ids, often[2]))
+
+
+def test_best_rerun_keeps_a_run_when_none_is_valid(spark):
+    """Two series in two clusters are never valid; their assignment is returned with the score 0 of a rejected run."""
+    rows = [("d", i, t, float((t * (i + 2) * (i + 3)) % 7)) for i in (1, 2) for t in range(20)]
+    df = spark.createDataFrame(rows, "dataset string, series_id bigint, t bigint, value double")
+    assert sorted(r.cluster_id for r in C.best_rerun(df, 2, 2).collect()) == [0, 1]
