@@ -2,8 +2,6 @@
 
 import re
 
-from pyspark.sql import DataFrame
-
 from gapmend.operators import impute as I
 
 
@@ -11,7 +9,7 @@ def test_pattern_search_sends_flat_arrays(spark, series, monkeypatch):
     """A struct for every cell would be a Python object for every cell of a batch of rows."""
     df, data = series
     cells = df.selectExpr("dataset", "CAST(0 AS BIGINT) AS cluster_id", "series_id", "t", "value")
-    seen, plain = [], DataFrame.mapInPandas
+    seen, plain = [], type(df).mapInPandas
 
     def spy(self, fn, schema, *args, **kwargs):
         out = plain(self, fn, schema, *args, **kwargs)
